@@ -16,8 +16,14 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treesift.llm.decontaminate import decontamination_report
+
+    return decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard,)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op4_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
