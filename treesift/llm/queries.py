@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treesift.llm.common import read
+from treesift.llm.common import read, tokenizer_file
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treesift.llm.token_files import token_file_report
+
+    return token_file_report(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op4_decontaminate)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op4_decontaminate, op6_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
