@@ -22,6 +22,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treesift.llm.quality import quality_report
+
+    return quality_report(read(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treesift.llm.token_files import token_file_report
 
@@ -29,7 +35,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op4_decontaminate, op6_token_files)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op4_decontaminate, op5_quality_rules, op6_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
