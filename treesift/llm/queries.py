@@ -34,8 +34,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treesift.llm.secrets import secret_report
+
+    return secret_report(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op4_decontaminate, op5_quality_rules, op6_token_files)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op4_decontaminate, op5_quality_rules, op6_token_files, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
