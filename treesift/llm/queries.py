@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from treesift.llm.common import read, tokenizer_file
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treesift.llm.pii import pii_report
+
+    return pii_report(read(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treesift.llm.jaccard_join import jaccard_components
 
@@ -41,7 +47,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op4_decontaminate, op5_quality_rules, op6_token_files, op8_secret_scan)}
+    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op4_decontaminate, op5_quality_rules, op6_token_files, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
