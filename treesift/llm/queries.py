@@ -46,9 +46,48 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treesift.llm import url_filter
+
+    return url_filter.url_report(read(spark, sf_dir, "pages"), url_filter.publish(url_filter.entries(spark)))
+
+
+OP9_SQL = """
+WITH parts AS (
+  SELECT page_id, coalesce(instr(url, '://'), 0) AS at, substr(url, instr(url, '://') + 3) AS rest FROM pages
+), hosts AS (
+  SELECT page_id, CASE WHEN at > 0 THEN regexp_extract(rest, '^[^/?#]*') ELSE '' END AS raw_host, at, rest FROM parts
+), named AS (
+  SELECT page_id,
+         translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         CASE WHEN at > 0 THEN regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') ELSE '' END AS path
+  FROM hosts
+), entries(entry, host_part, path_part, kind) AS (
+  VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+         ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+  UNION ALL
+  SELECT name || '.example.' || top || '/', name || '.example.' || top, '/', 'listed'
+  FROM unnest(['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) n(name), unnest(['com', 'net', 'org']) t(top)
+), fits AS (
+  SELECT n.page_id, n.host, n.path, e.entry, e.kind
+  FROM named n JOIN entries e ON (n.host = e.host_part OR ends_with(n.host, '.' || e.host_part)) AND starts_with(n.path, e.path_part)
+), best AS (
+  SELECT page_id, host, path,
+         arg_min(entry, (-length(entry), entry)) FILTER (WHERE kind <> 'listed') AS rule,
+         arg_min(kind, (-length(entry), entry)) FILTER (WHERE kind <> 'listed') AS rule_kind,
+         arg_max(entry, (length(entry), entry)) FILTER (WHERE kind = 'listed') AS listed
+  FROM fits GROUP BY page_id, host, path
+)
+SELECT n.page_id, n.host, n.path, b.rule,
+       CASE WHEN b.rule IS NOT NULL THEN b.rule_kind WHEN b.listed IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       b.listed
+FROM named n LEFT JOIN best b USING (page_id, host, path)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op4_decontaminate, op5_quality_rules, op6_token_files, op8_secret_scan)}
+    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op4_decontaminate, op5_quality_rules, op6_token_files, op8_secret_scan, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filter": OP9_SQL}
