@@ -54,13 +54,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH parts AS (
-  SELECT page_id, coalesce(instr(url, '://'), 0) AS at, substr(url, instr(url, '://') + 3) AS rest FROM pages
+  SELECT page_id, coalesce(instr(url, '://'), 0) AS sep, substr(url, instr(url, '://') + 3) AS rest FROM pages
 ), hosts AS (
-  SELECT page_id, CASE WHEN at > 0 THEN regexp_extract(rest, '^[^/?#]*') ELSE '' END AS raw_host, at, rest FROM parts
+  SELECT page_id, CASE WHEN sep > 0 THEN regexp_extract(rest, '^[^/?#]*') ELSE '' END AS raw_host, sep, rest FROM parts
 ), named AS (
   SELECT page_id,
          translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         CASE WHEN at > 0 THEN regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') ELSE '' END AS path
+         CASE WHEN sep > 0 THEN regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') ELSE '' END AS path
   FROM hosts
 ), entries(entry, host_part, path_part, kind) AS (
   VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
