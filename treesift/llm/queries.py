@@ -22,6 +22,12 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treesift.llm.html_text import page_report
+
+    return page_report(read(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treesift.llm.decontaminate import decontamination_report
 
@@ -86,7 +92,7 @@ FROM named n LEFT JOIN best b USING (page_id, host, path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op4_decontaminate, op5_quality_rules, op6_token_files, op8_secret_scan, op9_url_filter)}
+    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_html_extraction, op4_decontaminate, op5_quality_rules, op6_token_files, op8_secret_scan, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
