@@ -46,6 +46,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treesift.llm.unigram_counts import token_counts
+
+    return token_counts(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treesift.llm.secrets import secret_report
 
@@ -58,6 +64,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_report(read(spark, sf_dir, "pages"), url_filter.publish(url_filter.entries(spark)))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treesift.llm.mixing import mix_report
+
+    return mix_report(read(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 WITH parts AS (
   SELECT page_id, coalesce(instr(url, '://'), 0) AS sep, substr(url, instr(url, '://') + 3) AS rest FROM pages
@@ -92,7 +104,7 @@ FROM named n LEFT JOIN best b USING (page_id, host, path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_html_extraction, op4_decontaminate, op5_quality_rules, op6_token_files, op8_secret_scan, op9_url_filter)}
+    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_html_extraction, op4_decontaminate, op5_quality_rules, op6_token_files, op7_token_counts, op8_secret_scan, op9_url_filter, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
