@@ -36,6 +36,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from treesift.llm.common import bound_batches, ids_and_texts, kept
 from treesift.llm.components import components
@@ -222,16 +223,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _may_link(percent: int, one: str, two: str):
+    """Whether two sets that share a token can be similar enough: before it in
+    rarity order they share at most the lesser number of tokens that stand
+    there and occur elsewhere, and so behind it."""
+    a, b = (lambda c: F.col(f"{c}{one}")), (lambda c: F.col(f"{c}{two}"))
+    most = F.least(a("at"), b("at")) + F.least(a("seen") - a("at"), b("seen") - b("at"))
+    return 100 * most >= percent * (a("n") + b("n") - most)
+
+
 def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs across components within each token's list: whoever is not in the
     list's largest component meets all of the list."""
     sizes = rows.groupBy("token", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("size", "root")).alias("top")).select("token", F.col("top.root").alias("top"))
     few = rows.join(largest, "token").where("root <> top").drop("top")
-    other = rows.select("token", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "ell", "root", "long")])
-    met = few.join(other, "token").where(
-        (F.col("root") != F.col("root_2")) & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2"))
-    )
+    other = rows.select("token", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "seen", "at", "ell", "root", "long")])
+    met = few.join(other, "token").where((F.col("root") != F.col("root_2")) & _may_link(percent, "", "_2"))
     return (
         met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"), "token", F.least("ell", "ell_2").alias("ell"), F.least("long", "long_2").alias("long"))
         .distinct()
@@ -243,7 +251,7 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def node_components(nodes: DataFrame, percent: int = 80) -> DataFrame:
     """(node, root) for the nodes of ``nodes`` (node, n, ell, prefix, tokens) that link with another."""
     spark = nodes.sparkSession
-    listed = nodes.select("node", "n", "ell", F.explode("prefix").alias("token"))
+    listed = nodes.select("node", "n", F.size("tokens").alias("seen"), "ell", F.posexplode("prefix").alias("at", "token"))
     lists = listed.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     rows = listed.join(lists, "token")
     marks = rows.where(F.col("size") > SHORT_LIST).groupBy("node").agg(F.count("*").alias("long"))
@@ -251,12 +259,14 @@ def node_components(nodes: DataFrame, percent: int = 80) -> DataFrame:
     roots, links = None, None
     for turn in range(PIVOT_ROUNDS + 1):
         live = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = live.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root", "n")).alias("pivot")).where("low <> high")
+        # first the set with the smallest share of shingles of its own, then others
+        order = (F.lit(1) - F.col("seen") / F.col("n")) if turn == 0 else F.lit(0.0)
+        pivot = F.min(F.struct(order, F.xxhash64("node", F.lit(turn)), "node", "root", "n", "seen", "at"))
+        mixed = live.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot.alias("pivot")).where("low <> high")
         live = kept(live.join(mixed.select("token", "pivot"), "token"), "live")
         if not live.take(1):
             break
-        alike = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
-        pivots = live.where(alike & (F.col("root") != F.col("pivot.root"))).select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), "size")
+        pivots = live.withColumns({f"{c}_2": F.col(f"pivot.{c}") for c in ("n", "seen", "at")}).where(_may_link(percent, "", "_2") & (F.col("root") != F.col("pivot.root"))).select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), "size")
         if turn == 0:  # every list, to let components grow before any pairs are formed
             candidates = pivots.select("a", "b").distinct()
         elif turn < PIVOT_ROUNDS:
@@ -290,3 +300,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         F.col("n").alias("n_shingles"),
         F.nullif(F.coalesce("component", "doc_id"), no_id).alias("component_id"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that come first in their
+    component: the least doc_id stays, and of rows that repeat it the one whose
+    text has the least hash.  Rows with a null doc_id stay.  Column names of the
+    input may repeat."""
+    report = jaccard_components(docs, width, percent)
+    first = report.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    held = docs.toDF(*names).withColumn("key", F.col(names[docs.columns.index("doc_id")]).cast("long"))
+    same = Window.partitionBy("key").orderBy(F.xxhash64(text))
+    unique = held.join(first, "key", "left_semi").withColumn("turn", F.row_number().over(same)).where("turn = 1")
+    return unique.select(names).union(held.where("key is null").select(names)).toDF(*docs.columns)
