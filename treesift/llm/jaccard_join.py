@@ -54,6 +54,8 @@ SHORT_LIST = 24
 #: across components are formed.
 PIVOT_ROUNDS = 4
 MOST_MATCHES = 8
+#: Parts of the token space in which each set's tokens are counted, to bound overlaps.
+PARTS = 32
 NO_ID = np.iinfo(np.int64).max
 
 _BLOCK = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
@@ -175,7 +177,7 @@ def _gather_block(percent: int):
         for i, (doc, n) in enumerate(zip(ids.tolist(), sizes.tolist(), strict=True)):
             base, unseen = n - least_overlap(n, percent) + 1, n - int(seen[i])
             if not n or unseen >= base:
-                out.append((doc, n, None, None, None, None))
+                out.append((doc, n, None, None, None, None, None))
                 continue
             own, c = tokens[ends[i] - seen[i] : ends[i]], counts[ends[i] - seen[i] : ends[i]]
             ell = _choose_matches(c, base, unseen, n)
@@ -184,16 +186,16 @@ def _gather_block(percent: int):
             if unseen:  # it has shingles that no other document has, so it equals none
                 mark += mix(np.array([number + np.uint64(i)]))
             mark = int(mix(mark)[0])
-            out.append((doc, n, mark >> 1, ell, own[: base + ell - 1 - unseen], own))
-        return pd.DataFrame(out, columns=["doc_id", "n", "node", "ell", "prefix", "tokens"])
+            out.append((doc, n, mark >> 1, ell, own[: base + ell - 1 - unseen], own, np.bincount(own % PARTS, minlength=PARTS)))
+        return pd.DataFrame(out, columns=["doc_id", "n", "node", "ell", "prefix", "tokens", "parts"])
 
     return gather
 
 
 def linked_sets(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n, node, ell, prefix, tokens) for every row: the last four are null
-    where frequencies alone show that the document has no partner; ``node`` is
-    one number for all documents of equal sets."""
+    """(doc_id, n, node, ell, prefix, tokens, parts) for every row: the last five are
+    null where frequencies alone show that the document has no partner; ``node``
+    is one number for all documents of equal sets."""
     spark = docs.sparkSession
     texts = ids_and_texts(docs)
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -201,7 +203,7 @@ def linked_sets(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     bound_batches(spark)
     blocks = texts.mapInArrow(_blocks(n_ranges, width, BITS), "range int, block long, tokens binary, owners binary, ids binary, sizes binary")
     counted = blocks.groupBy("range").applyInPandas(_count_range, "block long, tokens binary, owners binary, counts binary, ids binary, sizes binary")
-    return counted.groupBy("block").applyInPandas(_gather_block(percent), "doc_id long, n long, node long, ell int, prefix array<long>, tokens array<long>")
+    return counted.groupBy("block").applyInPandas(_gather_block(percent), "doc_id long, n long, node long, ell int, prefix array<long>, tokens array<long>, parts array<int>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -232,14 +234,22 @@ def _may_link(percent: int, one: str, two: str):
     return 100 * most >= percent * (a("n") + b("n") - most)
 
 
+def _may_link_by_parts(percent: int, one: str, two: str):
+    """A closer bound: in each part of the token space they share at most the
+    lesser of their numbers of tokens there that occur elsewhere."""
+    a, b = (lambda c: F.col(f"{c}{one}")), (lambda c: F.col(f"{c}{two}"))
+    most = F.aggregate(F.zip_with(a("parts"), b("parts"), lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return 100 * most >= percent * (a("n") + b("n") - most)
+
+
 def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs across components within each token's list: whoever is not in the
     list's largest component meets all of the list."""
     sizes = rows.groupBy("token", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("size", "root")).alias("top")).select("token", F.col("top.root").alias("top"))
     few = rows.join(largest, "token").where("root <> top").drop("top")
-    other = rows.select("token", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "seen", "at", "ell", "root", "long")])
-    met = few.join(other, "token").where((F.col("root") != F.col("root_2")) & _may_link(percent, "", "_2"))
+    other = rows.select("token", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "seen", "at", "parts", "ell", "root", "long")])
+    met = few.join(other, "token").where((F.col("root") != F.col("root_2")) & _may_link(percent, "", "_2") & _may_link_by_parts(percent, "", "_2"))
     return (
         met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"), "token", F.least("ell", "ell_2").alias("ell"), F.least("long", "long_2").alias("long"))
         .distinct()
@@ -249,9 +259,9 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def node_components(nodes: DataFrame, percent: int = 80) -> DataFrame:
-    """(node, root) for the nodes of ``nodes`` (node, n, ell, prefix, tokens) that link with another."""
+    """(node, root) for the nodes of ``nodes`` (node, n, ell, prefix, tokens, parts) that link with another."""
     spark = nodes.sparkSession
-    listed = nodes.select("node", "n", F.size("tokens").alias("seen"), "ell", F.posexplode("prefix").alias("at", "token"))
+    listed = nodes.select("node", "n", F.size("tokens").alias("seen"), "parts", "ell", F.posexplode("prefix").alias("at", "token"))
     lists = listed.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     rows = listed.join(lists, "token")
     marks = rows.where(F.col("size") > SHORT_LIST).groupBy("node").agg(F.count("*").alias("long"))
@@ -288,7 +298,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     some = sets.where("node is not null")
     classes = some.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("n").alias("n"))
     first = some.join(classes.select("node", F.col("least").alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"])
-    nodes = kept(first.select("node", "n", "ell", "prefix", "tokens"), "nodes")
+    nodes = kept(first.select("node", "n", "ell", "prefix", "tokens", "parts"), "nodes")
     roots = kept(node_components(nodes, percent), "roots")
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
