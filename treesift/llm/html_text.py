@@ -65,6 +65,8 @@ _MARKUP = re.compile(r"<(?=[A-Za-z/!?])")
 _STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 TEXT, OPEN, CLOSE = 0, 1, 2
+#: The score of elements in a row that are never main text.
+BOX = -1.5
 
 
 def pieces(page: str) -> list[tuple[int, str, tuple[str, ...]]]:
@@ -134,11 +136,14 @@ class Model:
 
 def best_region(items: list[tuple[int, str, tuple[str, ...]]], around: list[bool], model: Model) -> tuple[int, int]:
     """The contiguous pieces with the highest sum, of equals the longest that
-    begins first.  Words in elements that are never main text count nothing."""
+    begins first.  An element that is never main text costs the same whatever is
+    in it, as it may stand between two paragraphs."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, value, names) in enumerate(items):
-        if kind == TEXT:
-            score = 0.0 if around[i] else model.word * len(value.split())
+        if around[i]:
+            score = 0.0 if i and around[i - 1] else BOX
+        elif kind == TEXT:
+            score = model.word * len(value.split())
         else:
             score = model.score(kind, value, names)
         if total <= 0.0:
