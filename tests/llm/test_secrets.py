@@ -1,0 +1,57 @@
+import base64
+import hashlib
+import random
+import re
+import string
+
+from tests.llm.helpers import awkward, with_clashes
+from treesift.llm import secrets
+from treesift.llm.common import tokenizer_file
+
+PATH = tokenizer_file("byte_bpe_50k.tiktoken")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def test_base_spans_against_the_patterns():
+    rng = random.Random(5)
+    parts = ["token", "PassWord", "api_key", "ApiKey", " = ", ":", "'", '"', "abcdefgh", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "deadbeef", " ", "é", "K", "ſecret", "\n", "x"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert secrets.base_spans(text) == brute(text), text
+
+
+def test_random_strings_are_found_and_names_are_not():
+    count, rng = secrets.counter(PATH), random.Random(3)
+    alphabet = string.ascii_letters + string.digits
+    codes = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (20, 24, 32, 40, 64, 300) for _ in range(50)]
+    codes += [base64.b64encode(rng.randbytes(n)).decode() for n in (18, 24, 33, 48) for _ in range(50)]
+    hits = sum(any(k == 3 for _, k, _ in secrets.all_spans(f"see {c} there", count)[1]) for c in codes)
+    assert hits >= 0.98 * len(codes)
+    for name in ("getElementsByClassNameAndParent", "internationalization-of-words", "my_long_variable_name_with_parts", "src/main/java/org/apache/spark/sql",
+                 "550e8400-e29b-41d4-a716-446655440000", "2024-01-01-release-notes-v2-final", "HTTPServerRequestHandlerFactoryBean", "1234567890123456789012345", "a" * 60,
+                 "D41D8CD98F00B204E9800998ECF8427E", "Donaudampfschifffahrtsgesellschaft"):
+        assert not secrets.all_spans(f"see {name} there", count)[1], name
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    from treesift.llm.queries import queries
+
+    texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    for r in queries()["op8_secret_scan"](spark, sf_dir).collect():
+        want = brute(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in secrets.KINDS[:3]] == [sum(k == i for _, k, _ in want) for i in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(secrets.joined(want).encode()).hexdigest()
+
+
+def test_awkward_rows(spark):
+    docs = awkward(spark)
+    got = secrets.secret_report(with_clashes(docs), PATH).collect()
+    assert len(got) == docs.count() and all(r["spans"] == "" for r in got if r["doc_id"] in (1, 2, 3, 4, 6))
+    assert secrets.secret_report(docs.limit(0), PATH).count() == 0
