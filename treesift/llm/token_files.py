@@ -45,10 +45,12 @@ PAGE_BYTES = 256 << 10
 #: Bytes of text in one part, about.
 PART_BYTES = 32 << 20
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
+#: White space other than blanks and line feeds, by Python's or by the tokenizer's account.
+_ODD_ASCII = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+_ODD_OTHER = tuple("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 class PieceEncoder:
@@ -58,27 +60,64 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each token: byte-level tokens are written with one character a byte.
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # a word stands for itself after a blank
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _plain(self, text: str) -> bool:
+        """Whether the text may be cut before blanks and line feeds."""
+        if any(c in text for c in _ODD_ASCII) or any(s in text for s in self.special):
+            return False
+        return text.isascii() or not any(c in text for c in _ODD_OTHER)
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces; one that begins with a blank is given without it, one that
+        begins with no white space after a zero byte."""
+        if any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or text[0] in " \n" or text[-1] == " ":
+            pieces = _PIECES.findall(text)
+            return [p[1:] if p[:1] == " " and len(p) > 1 and p[1] not in " \n" else p if p[:1] in " \n" else f"\0{p}" for p in pieces]
+        lines = text.split("\n")
+        out = lines[0].split(" ")
+        out[0] = f"\0{out[0]}"
+        for line in lines[1:]:
+            words = line.split(" ")
+            words[0] = f"\n{words[0]}"
+            out += words
+        return out
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces: one call for all that can stand in a row, as no token
+        crosses from one into the next."""
+        in_row = lambda p: p[:1] not in ("\0", " ") and (p[0] != "\n" or p[1:2] not in ("", " ", "\n"))
+        out = {p: self.whole(p[1:] if p[0] == "\0" else p) for p in pieces if not in_row(p)}
+        row = [p for p in pieces if in_row(p)]
+        for first in range(0, len(row), 20_000):
+            some = row[first : first + 20_000]
+            written = [p if p[0] == "\n" else f" {p}" for p in some]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(written)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in written])
+            last = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "right")
+            data, begin = ids.tobytes(), 0
+            for p, end in zip(some, (4 * last).tolist(), strict=True):
+                out[p] = data[begin:end]
+                begin = end
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        split = [None if _ODD_SPACE.search(t) or any(s in t for s in self.special) else _PIECES.findall(t) for t in texts]
-        new = list({p for pieces in split if pieces for p in pieces if p not in known})
-        extra = dict(zip(new, self.whole(new), strict=True))
-        room = REMEMBERED - len(known)
-        if room > 0:
-            known.update((p, extra[p]) for p in new[:room])
-        look = extra.get
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
-            if pieces is None:
-                out.append(self.whole([text])[0])
-            else:
-                out.append(b"".join([known.get(p) or look(p, b"") for p in pieces]))
+        cut = [self._cut(t) if t and "\0" not in t and self._plain(t) else None for t in texts]
+        new = self._learn(list({p for pieces in cut if pieces for p in pieces}.difference(known)))
+        known.update(new)
+        ids = known.__getitem__
+        out = [b"".join(map(ids, pieces)) if pieces else self.whole(text) for text, pieces in zip(texts, cut, strict=True)]
+        for p in list(new)[max(0, len(new) - max(0, len(known) - REMEMBERED)) :]:
+            del known[p]
         return out
 
 
