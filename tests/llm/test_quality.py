@@ -46,7 +46,8 @@ def test_lines_that_fail():
     assert not fails(good) and not fails("A heading without a stop")
     for bad in ("Home | About | Contact | Help", "#### *** $$$ a b", "BUY!! NOW!! IT!! IS!! CHEAP!!", "go go go go go go go go go go go go", "Login", "We use, as everyone uses cookies. Read more here."):
         assert fails(bad), bad
-    text = "\n".join([good] * 1 + ["Home | About | Contact | Help"] * 1 + [good.replace("plain", f"{w}") for w in ("fine", "short", "clear")])
+    more = [" ".join(f"{w}{i}" for i in range(10)) + "." for w in ("ab", "cd", "ef")]
+    text = "\n".join([good, "Home | About | Contact | Help", *more])
     j = quality.judge(text)
     assert j.kept and "Home" not in j.clean_text and good in j.clean_text
     assert not quality.judge("Home | About | Contact | Help\n" * 30).kept

@@ -35,7 +35,7 @@ def test_random_strings_are_found_and_names_are_not():
     hits = sum(any(k == 3 for _, k, _ in secrets.all_spans(f"see {c} there", count)[1]) for c in codes)
     assert hits >= 0.98 * len(codes)
     for name in ("getElementsByClassNameAndParent", "internationalization-of-words", "my_long_variable_name_with_parts", "src/main/java/org/apache/spark/sql",
-                 "550e8400-e29b-41d4-a716-446655440000", "2024-01-01-release-notes-v2-final", "HTTPServerRequestHandlerFactoryBean", "1234567890123456789012345", "a" * 60,
+                 "550e8400-e29b-41d4-a716-446655440000", "2024-01-01-release-notes-v2-final", "HTTPServerRequestHandlerFactoryBean", "1234567890123456789012345", "z" * 60,
                  "D41D8CD98F00B204E9800998ECF8427E", "Donaudampfschifffahrtsgesellschaft"):
         assert not secrets.all_spans(f"see {name} there", count)[1], name
 
