@@ -49,6 +49,20 @@ def safe_evidence(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(lines, _safe_line), lambda x: x != ""), "\n")
 
 
+#: Credentials in any text that comes from a source.
+SOURCE_ASSIGNMENT = r"""(?i)\b(token|password|secret|api[_-]?key|access[_-]?token|client[_-]?secret|_authToken|_password)\b\s*[=:]\s*(?:"(?:\\.|[^"])*"|'(?:\\.|[^'])*'|[^\s,;]+)"""
+SOURCE_CREDENTIALS = (*CREDENTIALS[:5], r"(?i)(?:https?|ssh)://[^/@\s]+@", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----")
+
+
+def sanitized(text: Column) -> Column:
+    """Text fit to be shown in its full length: control characters and credentials out."""
+    v = F.regexp_replace(text, r"[\x00-\x1F\x7F-\x9F]", "�")
+    v = F.regexp_replace(v, to_java(SOURCE_ASSIGNMENT), r"$1=[REDACTED]")
+    for pattern in SOURCE_CREDENTIALS:
+        v = F.regexp_replace(v, to_java(pattern), REDACTED)
+    return v
+
+
 def is_dangerous(line: Column) -> Column:
     return contains_any(F.lower(line), DANGEROUS)
 

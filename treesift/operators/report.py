@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from treesift.functions import policy
 from treesift.functions.ranks import CONFIDENCES, DISPOSITIONS, SEVERITIES
@@ -60,6 +61,38 @@ def validation(results: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
+def capped_locations(locations: DataFrame, per_finding: int, per_repo: int) -> DataFrame:
+    """Locations (repo_id, finding, at, ...) of loaded reports under both limits, in
+    their own order.  Repeated ones are not merged: a report has them as they are.
+
+    How many of a finding's locations count follows from numbers by finding, so
+    no task sorts all locations of a repository."""
+    sizes = locations.groupBy("repo_id", "finding").agg(F.least(F.count("*"), F.lit(per_finding)).alias("n"))
+    chunk = F.floor(F.col("finding") / 4096)
+    chunks = sizes.withColumn("chunk", chunk).groupBy("repo_id", "chunk").agg(F.sum("n").alias("chunk_n"))
+    so_far = Window.partitionBy("repo_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("chunk_start", F.coalesce(F.sum("chunk_n").over(so_far), F.lit(0))).drop("chunk_n")
+    within = Window.partitionBy("repo_id", "chunk").orderBy("finding").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("chunk", chunk).withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0))).join(chunks, ["repo_id", "chunk"])
+    allowed = starts.select("repo_id", "finding", F.greatest(F.least("n", per_repo - F.col("start") - F.col("chunk_start")), F.lit(0)).alias("allowed"))
+    turn = F.row_number().over(Window.partitionBy("repo_id", "finding").orderBy("at"))
+    return locations.join(allowed.where("allowed > 0"), ["repo_id", "finding"]).withColumn("turn", turn).where("turn <= allowed").drop("turn", "allowed")
+
+
+def with_rule_info(findings: DataFrame, catalogue: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
+    """Findings with what the catalogue (rule_id, category, disposition) says of their
+    rule.  Ids of package advisories fall back to the family's entry, and are filled
+    from ``advisories`` (advisory_id, description); unknown rules keep their own data."""
+    looked_up = F.when(F.col("rule_id").startswith("IOC-PKG-"), "IOC-PKG-*").otherwise(F.col("rule_id"))
+    entry = catalogue.select(F.col("rule_id").alias("entry_id"), F.col("category").alias("entry_category"), F.col("disposition").alias("entry_disposition"))
+    out = findings.withColumn("entry_id", looked_up).join(entry, "entry_id", "left").withColumn("known", F.col("entry_category").isNotNull()).drop("entry_id")
+    out = out.withColumns({"entry_category": F.coalesce("entry_category", "category"), "entry_disposition": F.coalesce("entry_disposition", "disposition")})
+    if advisories is None:
+        return out.withColumn("description", F.col("message"))
+    first = advisories.groupBy(F.concat(F.lit("IOC-PKG-"), "advisory_id").alias("rule_id")).agg(F.min("description").alias("described"))
+    return out.join(first, "rule_id", "left").withColumn("description", F.coalesce(F.nullif(F.col("described"), F.lit("")), F.col("message"))).drop("described")
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
     """One SARIF result for each finding, as JSON."""
     place = F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.when(F.col("line") > 0, F.struct(F.col("line").alias("startLine"))).alias("region"))

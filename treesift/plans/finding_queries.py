@@ -123,6 +123,13 @@ def report_validate_f(spark, sf_dir):
     return report.validation(results.select("repo_id", "complete", "error", "verdict"), broken)
 
 
+def report_caps_f(spark, sf_dir):
+    """Rows of the projection as locations of findings in a loaded report: a finding is an order."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("repo"), (F.col("l_suppkey") % 7).cast("string")).alias("repo_id"), F.col("l_orderkey").alias("finding"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"))
+    kept = report.capped_locations(rows, 2, PER_REPO // 4)
+    return kept.groupBy("repo_id", "finding").agg(F.count("*").alias("kept"))
+
+
 _RESULTS = f"""
 WITH {raw_sql()}, {coverage_sql()},
 flags AS (
@@ -199,6 +206,8 @@ SQL = {
     "fix_count_f": f"""WITH {raw_sql()} SELECT repo_id, count(*) FILTER (WHERE rule_id IN ('R1', 'R3', 'R5') AND disposition <> 'informational') AS fixes FROM found GROUP BY repo_id""",
     "location_tree_f": f"""{_STORED} SELECT repo_id, rule_id, path, message, context, severity, confidence,
         string_agg(CAST(start_line AS varchar), ',' ORDER BY start_line) AS lines, count(*) AS n_lines FROM stored GROUP BY ALL""",
+    "report_caps_f": f"""WITH r AS (SELECT 'repo' || CAST(l_suppkey % 7 AS varchar) AS repo_id, l_orderkey AS finding, row_number() OVER (PARTITION BY l_suppkey % 7, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem),
+        c AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY finding, n) AS m FROM r WHERE n <= 2) SELECT repo_id, finding, count(*) AS kept FROM c WHERE m <= {PER_REPO // 4} GROUP BY ALL""",
     "report_validate_f": f"""{_RESULTS} SELECT repo_id,
         CASE WHEN repo_id = 'repo3' THEN (SELECT count(*) FROM found WHERE repo_id = 'repo3' AND rule_id = 'R2') ELSE 0 END AS invalid_findings,
         repo_id = 'repo9' AS error_claims_complete, repo_id <> 'repo4' AS verdict_matches, repo_id NOT IN ('repo3', 'repo4', 'repo9') AS valid FROM results""",

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from treesift.functions import policy, versions
 from treesift.functions.paths import classify_context
-from treesift.operators import active, content, intelligence, packages, rules, supply_chain
+from treesift.operators import active, content, intelligence, packages, report, rules, supply_chain
 from treesift.operators.rule_table import RULES
 from treesift.operators.structured_table import STRUCTURED
 from treesift.plans import fixtures as fx
 from treesift.plans.fixtures import expected_sql, values_sql
-from treesift.sources import archives, manifests
+from treesift.sources import archives, feeds, manifests
 
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
@@ -438,3 +438,48 @@ def snapshot_merge_x(spark, sf_dir):
     merged = intelligence.merge_candidates(c, intelligence.alias_components(c.select("id", "aliases"), keep=lambda df: df))
     base = spark.createDataFrame(BASE, "ecosystem string, name string, advisory_id string, affected array<string>")
     return intelligence.merge_snapshot(base, merged).select("ecosystem", "name", "advisory_id", F.array_join("affected", "|").alias("affected"))
+
+
+@query(
+    expected_sql(
+        "rule_id, entry_category, entry_disposition, known, description",
+        [("EXEC-001", "dynamic-execution", "review", True, "m"), ("IOC-PKG-ADV-1", "known-malicious-package", "block", True, "Steals keys"), ("IOC-PKG-ADV-9", "known-malicious-package", "block", True, "m"), ("OWN-1", "own", "review", False, "m")],
+    )
+)
+def rule_explain_x(spark, sf_dir):
+    found = spark.createDataFrame([(i, "own", "review", "m") for i in ("EXEC-001", "IOC-PKG-ADV-1", "IOC-PKG-ADV-9", "OWN-1")], "rule_id string, category string, disposition string, message string")
+    described = spark.createDataFrame([("ADV-1", "Steals keys"), ("ADV-9", "")], "advisory_id string, description string")
+    return report.with_rule_info(found, rule_catalog_x(spark, sf_dir), described).select("rule_id", "entry_category", "entry_disposition", "known", "description")
+
+
+@query(expected_sql("path, name, line", [("package.json", "evil-pkg", 4), ("package.json", "fork", 4), ("package.json", "fork", 4), ("package.json", "other", 4), ("package.json", "huge", 5), ("go.mod", "github.com/a/b", 2), ("go.mod", "github.com/c/d", 4)]))
+def dependency_lines_x(spark, sf_dir):
+    files = fx.files(spark)
+    some = manifests.npm(files).where("name in ('evil-pkg', 'fork', 'other', 'huge')").unionByName(manifests.go_mod(files))
+    return manifests.with_lines(some, files).select("path", "name", "line")
+
+
+FEED_GITHUB = '{"type": "malware", "ghsa_id": "GHSA-1", "identifiers": [{"value": "CVE-1"}, {"value": "GHSA-1"}], "published_at": "2024-01-02T00:00:00Z", "updated_at": "2024-01-03T00:00:00Z", "vulnerabilities": [{"package": {"ecosystem": "npm", "name": "x"}, "vulnerable_version_range": " = 1.0.0 "}, {"package": {"ecosystem": "PyPI", "name": "y"}}]}'
+FEED_OSV = '{"id": "MAL-1", "aliases": ["CVE-1"], "published": "2024-02-01T00:00:00Z", "database_specific": {"review_status": "REJECTED"}, "affected": [{"package": {"ecosystem": "crates.io", "name": "z"}, "versions": ["1.0.0", "bad version"], "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}]}, {"type": "ECOSYSTEM", "events": [{"introduced": "1"}, {"fixed": "2"}]}, {"type": "GIT", "events": [{"introduced": "0"}]}]}]}'
+
+
+@query(
+    expected_sql(
+        "id, aliases, ecosystem, name, affected, published, withdrawn",
+        [("GHSA-1", "CVE-1|GHSA-1", "npm", "x", "= 1.0.0", "2024-01-02", False), ("GHSA-1", "CVE-1|GHSA-1", "pip", "y", "", "2024-01-02", False), ("MAL-1", "CVE-1|MAL-1", "rust", "z", "= 1.0.0|>= 0", "2024-02-01", True)],
+    )
+)
+def advisory_feeds_x(spark, sf_dir):
+    parse = lambda text, schema: spark.createDataFrame([(text,)], "t string").select(F.from_json("t", schema).alias("d")).select("d.*")
+    both = feeds.github_candidates(parse(FEED_GITHUB, feeds.GITHUB)).unionByName(feeds.osv_candidates(parse(FEED_OSV, feeds.OSV)))
+    return both.select("id", F.array_join("aliases", "|").alias("aliases"), "ecosystem", "name", F.array_join("affected", "|").alias("affected"), "published", "withdrawn")
+
+
+DIRTY = ["a\x07b", "_authToken=abc def", "ssh://user@host/x", "-----BEGIN RSA PRIVATE KEY-----", "plain text stays " + "w" * 60, 'password: "a b" c']
+
+
+@query(expected_sql("shown", [("a�b",), ("_authToken=[REDACTED] def",), ("[REDACTED]host/x",), ("[REDACTED]",), (DIRTY[4],), ("password=[REDACTED] c",)]))
+def sanitize_x(spark, sf_dir):
+    from treesift.functions.text import sanitized
+
+    return spark.createDataFrame([(d,) for d in DIRTY], "t string").select(sanitized(F.col("t")).alias("shown"))
