@@ -78,3 +78,9 @@ def test_query_against_brute_force(spark, sf_dir):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(k == i for k, _, _ in want) for i in range(4)]
         assert r["base_sha256"] == hashlib.sha256(pii.joined(want).encode()).hexdigest()
         assert set(filter(None, pii.joined(want).split(","))) <= set(filter(None, r["spans"].split(",")))
+
+
+def test_redacted_text(spark):
+    docs = spark.createDataFrame([(1, "é write x.34@mail7.example.com or +1 (243) 555-5526 now"), (2, "plain"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redacted(pii.find_spans(docs)).collect()}
+    assert got == {1: "é write [email] or [phone] now", 2: "plain", 3: ""}

@@ -29,7 +29,6 @@ other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -37,7 +36,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from treesift.llm.common import bound_batches, ids_and_texts, record_batch
 
@@ -393,20 +393,57 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def pii_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every document."""
+SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
+
+
+def find_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, spans) of every document of ``docs`` (doc_id, text): all spans
+    by kind as in ``KINDS``, then start; ``base`` tells the patterns' from the field's."""
     bound_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
+    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(span))])
     model = weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [all_spans(t, model) for t in batch.column("text").to_pylist()]
-            numbers = [[sum(k == i for k, _, _ in b) for b, _ in found] for i in range(NONE)]
-            yield record_batch(
-                schema, batch.column("doc_id"), *numbers, [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found],
-                [joined(a) for _, a in found], [len(a) - len(b) for b, a in found],
-            )
-
-    kinds = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
-    return ids_and_texts(docs).mapInArrow(run, kinds)
+            out = []
+            for text in batch.column("text").to_pylist():
+                base, every = all_spans(text, model)
+                certain = set(base) if every else ()
+                out.append([{"kind": KINDS[k], "start": a, "end": b, "base": (k, a, b) in certain} for k, a, b in every])
+            yield record_batch(schema, batch.column("doc_id"), batch.column("text"), out)
+
+    return ids_and_texts(docs).mapInArrow(run, f"doc_id long, text string, spans {SPANS}")
+
+
+def redacted(found: DataFrame) -> DataFrame:
+    """(doc_id, text) with every span of ``find_spans`` replaced by its kind in brackets."""
+    starts = F.array_sort("spans", lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(y["end"] - x["end"]))
+    begin = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    step = lambda a, s: F.when(
+        s["start"] >= a["at"],
+        F.struct(F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]")).alias("text"), s["end"].alias("at")),
+    ).otherwise(F.struct(a["text"].alias("text"), F.greatest(a["at"], s["end"]).alias("at")))
+    clean = F.aggregate(starts, begin, step, lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    return found.select("doc_id", clean.alias("text"))
+
+
+def listed(spans: Column) -> Column:
+    """Spans as ``kind:start:end``, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def pii_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every document."""
+    base = F.filter("spans", lambda s: s["base"])
+    return find_spans(docs).select(
+        "doc_id",
+        *[F.size(F.filter("spans", _base_of(k))).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("long").alias("n_added"),
+    )
+
+
+def _base_of(kind: str):
+    return lambda s: s["base"] & (s["kind"] == kind)

@@ -18,12 +18,12 @@ results; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from treesift.llm.common import bound_batches, ids_and_texts, record_batch
 
@@ -125,20 +125,27 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def secret_report(docs: DataFrame, rank_path: str) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of every document."""
+def find_spans(docs: DataFrame, rank_path: str) -> DataFrame:
+    """(doc_id, text, spans) of every document of ``docs`` (doc_id, text): all spans by
+    start, then kind as in ``KINDS``; those of kind random are the method's own."""
     bound_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:3]), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_random", pa.int64())])
+    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(rank_path)
         for batch in batches:
-            found = [all_spans(t, count) for t in batch.column("text").to_pylist()]
-            numbers = [[sum(k == i for _, k, _ in both) for _, both in found] for i in range(len(KINDS))]
-            yield record_batch(
-                schema, batch.column("doc_id"), *numbers[:3],
-                [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], [joined(a) for _, a in found], numbers[3],
-            )
-
-    kinds = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
-    return ids_and_texts(docs).mapInArrow(run, kinds)
+            found = [all_spans(t, count)[1] for t in batch.column("text").to_pylist()]
+            yield record_batch(schema, batch.column("doc_id"), batch.column("text"), [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x] for x in found])
+
+    return ids_and_texts(docs).mapInArrow(run, "doc_id long, text string, spans array<struct<kind: string, start: int, end: int>>")
+
+
+def secret_report(docs: DataFrame, rank_path: str) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of every document."""
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return find_spans(docs, rank_path).select(
+        "doc_id", *[of(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(listed(F.filter("spans", lambda s: s["kind"] != KINDS[3])), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"), of(KINDS[3]).alias("n_random"),
+    )
