@@ -51,10 +51,11 @@ def word_count(text: str = "text") -> Column:
 
 
 def source_totals(docs: DataFrame) -> DataFrame:
-    """(source, n_docs, n_tokens, share) from (source, n_tokens) rows."""
-    totals = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    every = totals.agg(F.sum("n_tokens").alias("all_tokens"))
-    return totals.join(F.broadcast(every)).withColumn("share", F.when(F.col("all_tokens") > 0, F.col("n_tokens") / F.col("all_tokens")).otherwise(F.lit(0.0)))  # one row
+    """(source, n_docs, n_tokens, all_tokens, share) from (source, n_tokens) rows, as a table."""
+    totals = kept(docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), "totals")
+    every = totals.agg(F.sum("n_tokens")).first()[0] or 0
+    share = F.col("n_tokens") / F.lit(float(every)) if every else F.lit(0.0)
+    return totals.withColumns({"all_tokens": F.lit(every).cast("long"), "share": share})
 
 
 def _at_exponents(totals: DataFrame, low: float, high: float, budget: float | None) -> list[tuple[float, float, float]]:
@@ -109,14 +110,14 @@ def source_weights(totals: DataFrame, target: MixTarget) -> DataFrame:
     """``totals`` with weight, target_tokens, epochs, whole (passes) and rest (tokens of the last pass)."""
     alpha = find_exponent(totals, target)
     powered = totals.withColumn("power", F.when(F.col("share") > 0, F.pow("share", F.lit(alpha))).otherwise(F.lit(0.0)))
-    sums = powered.agg(F.sum("power").alias("z"), F.max(F.when(F.col("power") > 0, F.col("n_tokens") / F.col("power"))).alias("cover"))
-    budget = F.col("cover") * F.col("z") if target.budget is None else F.lit(float(target.budget))
+    z, cover = powered.agg(F.sum("power"), F.max(F.when(F.col("power") > 0, F.col("n_tokens") / F.col("power")))).first()
+    z = z or 0.0
+    budget = F.lit(float(target.budget if target.budget is not None else (cover or 0.0) * z))
     # a source that is to be read a whole number of times is so, whatever the last bit of the division
     epochs = F.when(F.col("power") > 0, F.round(F.col("target_tokens") / F.col("n_tokens"), 9)).otherwise(F.lit(1.0))
     return (
-        powered.join(F.broadcast(sums))  # one row
-        .withColumn("exponent", F.lit(alpha))
-        .withColumn("weight", F.when(F.col("z") > 0, F.col("power") / F.col("z")).otherwise(F.lit(0.0)))
+        powered.withColumn("exponent", F.lit(alpha))
+        .withColumn("weight", F.col("power") / F.lit(z) if z > 0 else F.lit(0.0))
         .withColumn("target_tokens", F.col("weight") * budget)
         .withColumn("epochs", epochs)
         .withColumn("whole", F.floor("epochs").cast("int"))
@@ -186,7 +187,7 @@ def mix_report(docs: DataFrame, target: MixTarget = MixTarget()) -> DataFrame:
     read: (doc_id, source, pass, block, n_tokens, weight, mix_order).  In the order
     of ``mix_order`` the sources stand in the target proportions all along."""
     counted = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("n_tokens")), "counted")
-    weights = kept(source_weights(kept(source_totals(counted), "totals"), target), "weights")
+    weights = kept(source_weights(source_totals(counted), target), "weights")
     cuts = kept(last_pass_cuts(counted, weights, target.seed), "cuts")
     planned = _with_plan(counted, weights, cuts, target.seed)
     read = planned.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("fraction", _fraction(_place(F.col("pass"), target.seed)))
@@ -205,7 +206,7 @@ def mixed(docs: DataFrame, target: MixTarget = MixTarget()) -> DataFrame:
     of = {c: names[docs.columns.index(c)] for c in ("doc_id", "source", "text")}
     held = plain.select(F.struct(*names).alias("row"), F.col(of["doc_id"]).cast("long").alias("doc_id"), F.col(of["source"]).cast("string").alias("source"), F.col(of["text"]).alias("text"))
     counted = kept(held.select("doc_id", "source", word_count().alias("n_tokens")), "counted")
-    weights = kept(source_weights(kept(source_totals(counted), "totals"), target), "weights")
+    weights = kept(source_weights(source_totals(counted), target), "weights")
     cuts = kept(last_pass_cuts(counted, weights, target.seed), "cuts")
     planned = _with_plan(held.drop("text"), weights, cuts, target.seed)
     read = planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
