@@ -321,7 +321,17 @@ def _write(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         every = forms(kind)
         items.append((kind, every[0] if rng.random() < 0.7 else rng.choice(every)))
         items += [(kind, rng.choice(every)) for _ in range(rng.randint(0, 3))]
-    noise = [lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"{digits(2)}.{digits(2)}", lambda: digits(rng.randint(1, 5)), lambda: f"v{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}", lambda: digits(16), lambda: digits(rng.randint(7, 12)), lambda: word() + digits(2), lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((8, 32, 40))))]
+    noise = [
+        lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
+        lambda: f"{digits(2)}.{digits(2)}",
+        lambda: digits(rng.randint(1, 5)),
+        lambda: f"v{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}",
+        lambda: digits(16),
+        lambda: digits(rng.randint(7, 12)),
+        lambda: word() + digits(2),
+        lambda: f"{digits(1)},{digits(3)},{digits(3)}",
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((8, 32, 40)))),
+    ]
     for _ in range(rng.randint(2, 5)):
         code = rng.choice(noise)()
         items += [(NONE, rng.choice((code, code.upper()))) for _ in range(rng.choice((1, 1, 1, 2, 3)))]
