@@ -1,6 +1,7 @@
 """Files that keep arriving, scanned as a stream.
 
-An extension beside the batch scan.  New text files under a folder are against the rules as they arrive."""
+An extension beside the batch scan.  New text files under a folder
+are matched against the rules as they arrive."""
 
 from __future__ import annotations
 
