@@ -171,12 +171,14 @@ def last_pass_cuts(docs: DataFrame, weights: DataFrame, seed: int) -> DataFrame:
 
 def _with_plan(docs: DataFrame, weights: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
     """``docs`` (with source and doc_id) and a column ``copies``."""
-    plan = weights.select(F.col("source").alias("s"), "n_docs", "weight", "epochs", "whole").join(
+    both = weights.select(F.col("source").alias("s"), "n_docs", "weight", "epochs", "whole").join(
         cuts.select(F.col("source").alias("cs"), "cut"), F.col("s").eqNullSafe(F.col("cs")), "left"
     )
+    # as a table its size is known, so while sources are few the planner sends it to the documents
+    plan = kept(both.drop("cs"), "plan")
     here = F.struct(_ordered(_place(F.col("whole"), seed)).alias("place"), F.col("doc_id"))
     return (
-        docs.join(plan.drop("cs"), F.col("source").eqNullSafe(F.col("s")))
+        docs.join(plan, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("copies", F.col("whole") + F.coalesce((here <= F.col("cut")).cast("int"), F.lit(0)))
         .where("copies > 0")
     )
