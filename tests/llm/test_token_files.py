@@ -69,3 +69,11 @@ def test_file_format_and_selective_read(spark, tmp_path):
     assert "PushedFilters" in plan and "GreaterThanOrEqual(doc_id,100)" in plan
     plain = Tokenizer.from_file(PATH)
     assert {r["doc_id"]: list(r["ids"]) for r in some.collect()} == {i: plain.encode(f"text number {i} " * (i % 7)).ids + [0] for i in (100, 101, 102)}
+
+
+def test_slices_hold_every_row_once_and_few_characters():
+    most = token_files.CHARS_AT_ONCE
+    for sizes in ([], [0], [most + 1], [0, most, 1, most + 5, 0, 3], [most // 3] * 10, [0] * 1000):
+        runs = list(token_files._slices(sizes))
+        assert [i for first, n in runs for i in range(first, first + n)] == list(range(len(sizes)))
+        assert all(n == 1 or sum(sizes[first : first + n]) <= most for first, n in runs)

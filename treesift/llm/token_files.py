@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ PAGE_BYTES = 256 << 10
 PART_BYTES = 32 << 20
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 400_000
+#: Characters of text that a worker cuts into pieces at once; a longer text goes alone.
+CHARS_AT_ONCE = 500_000
 
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space other than blanks and line feeds, by Python's or by the tokenizer's account.
@@ -131,6 +134,23 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def release_encoders() -> None:
+    """Free what a worker that has encoded still holds; reading has no use for it."""
+    _encoders.clear()
+
+
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of rows with at most CHARS_AT_ONCE characters, one row at least."""
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and held + size > CHARS_AT_ONCE:
+            yield first, i - first
+            first, held = i, 0
+        held += size
+    if sizes:
+        yield first, len(sizes) - first
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id, text) and write the files to the folder ``out``."""
     texts = ids_and_texts(docs)
@@ -148,8 +168,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, before = encoder(tokenizer_path), 0
         for whole in batches:
-            for first in range(0, whole.num_rows, 250):
-                batch = whole.slice(first, 250)
+            for first, rows in _slices(pc.utf8_length(whole.column("text")).to_pylist()):
+                batch = whole.slice(first, rows)
                 ids = [x + end for x in own.encode_batch(batch.column("text").to_pylist())]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(sizes)
@@ -188,6 +208,7 @@ def with_checksums(tokens: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for batch in batches:
             lists = batch.column("ids")
             at = lists.offsets.to_numpy()
