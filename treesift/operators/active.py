@@ -4,7 +4,8 @@ Formats that need a parser: each detector takes one file and yields (rule_id,
 start_line, end_line, reason).  Spark chooses the files by name and by cheap
 substrings first, so only candidates cross into Python, in Arrow batches.
 Work is bounded by sizes and counts, never by a clock, so results do not
-depend on the machine."""
+depend on the machine.  Only data flows have such limits; a file that one of
+them leaves out, in whole or in part, is a row of ``skipped_files``."""
 
 from __future__ import annotations
 
@@ -26,26 +27,37 @@ from treesift.functions.code_projection import project
 from treesift.functions.paths import SCRIPT, contains_any, extension, inner_path
 
 Hit = tuple[str, int, int, str]
-#: Bytes of a file that flow detectors look at, hits of one file, bytes between a source and its sink.
-MAX_SOURCE, MAX_HITS, MAX_REACH = 1 << 20, 64, 64 << 10
+#: Bytes of a file that flow detectors look at, their hits of one file, bytes between a source and its sink.
+MAX_FLOW_SOURCE, MAX_FLOW_HITS, MAX_REACH = 1 << 20, 64, 64 << 10
 STAGED_LINES = 40
+_HITS = "repo_id string, path string, rule_id string, start_line int, end_line int, reason string"
 
 
-def detect(files: DataFrame, gate: Column, detector: Callable[[str, str], Iterator[Hit]]) -> DataFrame:
-    """(repo_id, path, rule_id, start_line, end_line, reason) of the files that pass ``gate``."""
+def inspected(files: DataFrame, gate: Column, detector: Callable[[str, str], Iterator[Hit]], what: str = "", max_bytes: int | None = None, max_hits: int | None = None) -> DataFrame:
+    """(repo_id, path, rule_id, start_line, end_line, reason) of the files that pass ``gate``;
+    a file of which a limit leaves something out has a row without rule_id that names the limit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for repo, path, text in batch.itertuples(index=False):
+                if text is None:
+                    rows.append((repo, path, None, 0, 0, f"{what} source-byte limit"))
+                    continue
                 for n, hit in enumerate(detector(path, text)):
-                    if n == MAX_HITS:
+                    if n == max_hits:
+                        rows.append((repo, path, None, 0, 0, f"{what} finding limit"))
                         break
                     rows.append((repo, path, *hit))
             yield pd.DataFrame(rows, columns=["repo_id", "path", "rule_id", "start_line", "end_line", "reason"])
 
-    chosen = files.where(gate & (F.octet_length("text") <= MAX_SOURCE)).select("repo_id", "path", "text")
-    return chosen.mapInPandas(run, "repo_id string, path string, rule_id string, start_line int, end_line int, reason string")
+    text = F.col("text") if max_bytes is None else F.when(F.octet_length("text") <= max_bytes, F.col("text"))
+    return files.where(gate & F.col("text").isNotNull()).select("repo_id", "path", text.alias("text")).mapInPandas(run, _HITS)
+
+
+def detect(files: DataFrame, gate: Column, detector: Callable[[str, str], Iterator[Hit]]) -> DataFrame:
+    """The hits of a detector without limits."""
+    return inspected(files, gate, detector)
 
 
 def _ext() -> Column:
@@ -378,6 +390,8 @@ def workflow_findings(files: DataFrame) -> DataFrame:
 
 # --- JavaScript ---------------------------------------------------------------------------------
 
+#: Fixed value: bytes of a file whose literals are decoded.
+MAX_DECODE_SOURCE = 2 << 20
 _JS_STRING = re.compile(r"""(['"])((?:\\.|(?!\1)[^\\\n]){2,})\1(?:\s*\+\s*(['"])((?:\\.|(?!\3)[^\\\n])*)\3)*""")
 _ONE_STRING = re.compile(r"""(['"])((?:\\.|(?!\1)[^\\\n])*)\1""")
 _JS_ESCAPE = re.compile(r"\\(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|(.))", re.S)
@@ -457,10 +471,22 @@ def js_flow(path: str, text: str) -> Iterator[Hit]:
     yield from sorted(set(found), key=lambda h: (h[2], h[1]))
 
 
+def _script() -> Column:
+    return _ext().isin(*SCRIPT)
+
+
+def _js_flows(files: DataFrame) -> DataFrame:
+    calls = F.col("text").contains("axios") & contains_any(F.col("text"), ("eval", "Function", "runIn"))
+    return inspected(files, _script() & calls, js_flow, "JavaScript flow", MAX_FLOW_SOURCE, MAX_FLOW_HITS)
+
+
+def _js_decoded(files: DataFrame) -> DataFrame:
+    worth = F.col("text").rlike(r"\\[xu][0-9A-Fa-f]|[A-Za-z0-9+/]{32}|[\"']\s*\+\s*[\"']")
+    return inspected(files, _script() & worth, js_decoded, "JavaScript decoder", MAX_DECODE_SOURCE)
+
+
 def js_findings(files: DataFrame) -> DataFrame:
-    script = _ext().isin(*SCRIPT)
-    flows = detect(files, script & F.col("text").contains("axios") & contains_any(F.col("text"), ("eval", "Function", "runIn")), js_flow)
-    return flows.unionByName(detect(files, script & F.col("text").rlike(r"\\[xu][0-9A-Fa-f]|[A-Za-z0-9+/]{32}|[\"']\s*\+\s*[\"']"), js_decoded))
+    return _js_flows(files).union(_js_decoded(files)).where("rule_id is not null")
 
 
 # --- Python -------------------------------------------------------------------------------------
@@ -513,9 +539,19 @@ def py_flow(path: str, text: str) -> Iterator[Hit]:
             values.pop(d[1], None)
 
 
-def py_findings(files: DataFrame) -> DataFrame:
+def _py_flows(files: DataFrame) -> DataFrame:
     text = F.col("text")
-    return detect(files, _ext().isin(".py", ".pyw") & contains_any(text, ("requests", "httpx", "urlopen")) & contains_any(text, ("exec", "eval", "compile")), py_flow)
+    calls = contains_any(text, ("requests", "httpx", "urlopen")) & contains_any(text, ("exec", "eval", "compile"))
+    return inspected(files, _ext().isin(".py", ".pyw") & calls, py_flow, "Python flow", MAX_FLOW_SOURCE, MAX_FLOW_HITS)
+
+
+def py_findings(files: DataFrame) -> DataFrame:
+    return _py_flows(files).where("rule_id is not null")
+
+
+def skipped_files(files: DataFrame) -> DataFrame:
+    """(repo_id, path, reason) of every file that a limit of a detector leaves out, in whole or in part."""
+    return _js_flows(files).union(_js_decoded(files)).union(_py_flows(files)).where("rule_id is null").select("repo_id", "path", "reason")
 
 
 # --- documents ----------------------------------------------------------------------------------
@@ -542,4 +578,4 @@ def pdf_findings(files: DataFrame) -> DataFrame:
     return some.where(F.size("labels") > 0).select("repo_id", "path", F.lit("DOC-001").alias("rule_id"), F.array_join("labels", ", ").alias("reason"))
 
 
-__all__ = ["detect", "hidden_findings", "js_findings", "pdf_findings", "py_findings", "staged_findings", "svg_findings", "workflow_findings"]
+__all__ = ["detect", "hidden_findings", "js_findings", "pdf_findings", "py_findings", "skipped_files", "staged_findings", "svg_findings", "workflow_findings"]

@@ -74,15 +74,22 @@ def duplicate_files(files: DataFrame) -> DataFrame:
     return digests.groupBy("sha256").agg(F.count("*").alias("copies"), F.min("path").alias("first_path"), F.max("bytes").alias("bytes")).where("copies > 1")
 
 
-def coverage(files: DataFrame, max_bytes: int) -> DataFrame:
-    """Counters of each repository's scan; what is too large is skipped and makes it incomplete."""
+def coverage(files: DataFrame, max_bytes: int, skipped: DataFrame | None = None) -> DataFrame:
+    """Counters of each repository's scan; what is too large is skipped and makes it
+    incomplete, and so does each row of ``skipped`` (repo_id, path, reason)."""
     size = F.octet_length("text")
-    return files.groupBy("repo_id").agg(
+    out = files.groupBy("repo_id").agg(
         F.count("*").alias("files_scanned"),
         F.sum(F.when(size <= max_bytes, size).otherwise(0)).alias("bytes_scanned"),
         F.count_if(size > max_bytes).alias("skipped"),
         F.bool_and(size <= max_bytes).alias("complete"),
     )
+    if skipped is None:
+        return out
+    more = skipped.groupBy("repo_id").agg(F.count("*").alias("more"))
+    return out.join(more, "repo_id", "left").select(
+        "repo_id", "files_scanned", "bytes_scanned", (F.col("skipped") + F.coalesce("more", F.lit(0))).alias("skipped"), (F.col("complete") & F.col("more").isNull()).alias("complete")
+    )
 
 
 def hygiene(repos: DataFrame, files: DataFrame) -> DataFrame:

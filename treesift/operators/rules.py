@@ -27,7 +27,6 @@ from treesift.operators.rule_table import RULES
 
 #: Rules that look at code without comments and strings.
 CODE_SCOPED = ("EXEC-001", "EXEC-002", "BACKDOOR-001", "IMPORT-001", "IMPORT-003", "PROTO-001", "ENV-001", "FINGERPRINT-001", "UNSERIALIZE-001", "PATH-001")
-MAX_LINES = 250_000
 #: Registries that packages may come from.
 TRUSTED_REGISTRIES = ("registry.npmjs.org", "registry.yarnpkg.com", "files.pythonhosted.org", "repo1.maven.org", "repo.maven.apache.org")
 LITERAL_IMPORT = r"""(?i)^\s*(?:import|require|__import__|Class\.forName)\s*\(\s*["']"""
@@ -117,9 +116,7 @@ def line_matches(files: DataFrame, rules: list[Rule]) -> DataFrame:
     ``n`` counts qualifying matches and may be 0 where all were disqualified."""
     usable = [(i, r) for i, r in enumerate(rules) if r.match_scope() != "structured"]
     sets = list(dict.fromkeys(r.globs for _, r in usable))
-    marked = files.where(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) <= MAX_LINES).select(
-        "repo_id", "path", "text", *[applies(F.col("path"), g).alias(f"g{k}") for k, g in enumerate(sets)]
-    )
+    marked = files.select("repo_id", "path", "text", *[applies(F.col("path"), g).alias(f"g{k}") for k, g in enumerate(sets)])
     line = {"raw": F.col("raw"), "code": F.col("code")}
     found = []
     for i, r in usable:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treesift.functions.text import safe_evidence
-from treesift.operators import content, findings
+from treesift.operators import active, content, findings
 from treesift.operators.rules import Rule, scan
 from treesift.sources.files import CORPUS_SQL, corpus_files
 
@@ -61,7 +61,8 @@ def duplicate_files_t(spark, sf_dir):
 
 
 def repo_coverage_t(spark, sf_dir):
-    return content.coverage(corpus_files(spark, sf_dir), MAX_BYTES)
+    files = corpus_files(spark, sf_dir)
+    return content.coverage(files, MAX_BYTES, active.skipped_files(files))
 
 
 SQL = {
