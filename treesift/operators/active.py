@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import posixpath
 import re
 import shlex
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from treesift.functions.code_projection import project
-from treesift.functions.paths import SCRIPT, contains_any, extension, inner_path
+from treesift.functions.paths import SCRIPT, applies, contains_any, extension, inner_path
+from treesift.functions.regex import to_java
+from treesift.operators.rules import builtin_rules
 
 Hit = tuple[str, int, int, str]
 #: Bytes of a file that flow detectors look at, their hits of one file, bytes between a source and its sink.
@@ -392,38 +395,85 @@ def workflow_findings(files: DataFrame) -> DataFrame:
 
 #: Fixed value: bytes of a file whose literals are decoded.
 MAX_DECODE_SOURCE = 2 << 20
-_JS_STRING = re.compile(r"""(['"])((?:\\.|(?!\1)[^\\\n]){2,})\1(?:\s*\+\s*(['"])((?:\\.|(?!\3)[^\\\n])*)\3)*""")
-_ONE_STRING = re.compile(r"""(['"])((?:\\.|(?!\1)[^\\\n])*)\1""")
+#: The rules that decoded text is held against.
+DECODED_RULES = ("CRED-", "REVSHELL-", "PERSIST-", "SECRET-", "EXFIL-002", "IPURL-001")
+_ESCAPES = r"""\\(?:[nrtbf\\'"/]|x[0-9A-Fa-f]{2}|u(?![dD][89A-Fa-f])[0-9A-Fa-f]{4})"""
+_STRING = rf"""'(?:[^\\'\n\r]|{_ESCAPES})*+'|"(?:[^\\"\n\r]|{_ESCAPES})*+\""""
+_ONE_STRING = re.compile(_STRING)
+#: Comments and templates, which hold no literals, and strings with the strings joined to them.
+_JS_STRING = re.compile(rf"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|`(?:\\[\s\S]|[^`\\])*+(?:`|\\?\Z)|(?P<strings>(?:{_STRING})(?:[ \t\r\n]*\+[ \t\r\n]*(?:{_STRING}))*)")
 _JS_ESCAPE = re.compile(r"\\(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|(.))", re.S)
-_DECODED = re.compile(r"(?i)\beval\s*\(|\bnew\s+Function\s*\(|child_process|\bexecSync\b|(?:curl|wget)[^\n|;]{0,200}\|\s*(?:sh|bash|zsh|node|python[0-9.]*)\b|/dev/tcp/|powershell")
+_JS_CODES = re.compile(r"\bString\.fromCharCode\s*\(([^()]+)\)|\b(?:new\s+)?Uint8Array\s*\(\s*\[([^\]]+)\]\s*\)", re.A)
+_JS_CODES_START = re.compile(r"\bString\.fromCharCode\s*\(", re.A)
+#: Text that executes, which the rules for decoded text leave out.
+_DECODED = r"(?i)\beval\s*\(|\bnew\s+Function\s*\(|child_process|\bexecSync\b|(?:curl|wget)[^\n|;]{0,200}\|\s*(?:sh|bash|zsh|node|python[0-9.]*)\b|/dev/tcp/|powershell"
 _SIMPLE = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
+Decoded = tuple[int, int, str, str, str]
 
 
 def _unescape(value: str) -> str:
     return _JS_ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _SIMPLE.get(m[3], m[3]), value)
 
 
-def js_decoded(path: str, text: str) -> Iterator[Hit]:
-    """String literals that only say what they do once escapes, joins, base64 or hexadecimal are undone."""
+def _code(item: str) -> int:
+    """A number of one byte as JavaScript or Go writes it; ValueError for anything else."""
+    item = item.strip()
+    value = int(item, 8) if re.fullmatch("0[0-7]+", item) else int(item, 0)
+    if not item[:1].isdigit() or value > 255:
+        raise ValueError(item)
+    return value
+
+
+def js_decoded(path: str, text: str) -> tuple[list[Decoded], bool]:
+    """(start_line, end_line, method, raw, value) of literals that only say what they do
+    once escapes, joins, base64, hexadecimal, or arrays of codes are undone; and
+    whether there are arrays of codes that are no literals."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    out: list[Decoded] = []
+
+    def add(m: re.Match, method: str, raw: str, value: str) -> None:
+        if value:
+            out.append((bisect.bisect_left(ends, m.start()) + 1, bisect.bisect_left(ends, m.end()) + 1, method, raw, value))
+
     for m in _JS_STRING.finditer(text):
-        raw = "".join(x[2] for x in _ONE_STRING.finditer(m[0]))
+        if m["strings"] is None:
+            continue
+        literals = [x[0][1:-1] for x in _ONE_STRING.finditer(m[0])]
+        raw = "".join(literals)
         value = _unescape(raw)
-        forms = [("escapes", value)] if value != raw or "+" in m[0] else []
+        if len(literals) > 1 or "\\" in raw:
+            add(m, "literal concatenation" if len(literals) > 1 else "JavaScript escape", raw, value)
         if len(value) >= 32:
-            if re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", value) and len(value) % 4 == 0:
+            plain = value.replace("\r", "").replace("\n", "")
+            if re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", plain) and len(plain) % 4 == 0:
                 try:
-                    forms.append(("base64", base64.b64decode(value, validate=True).decode("utf-8")))
+                    add(m, "Base64 literal", raw, base64.b64decode(plain, validate=True).decode("utf-8"))
                 except (binascii.Error, UnicodeDecodeError):
                     pass
             if re.fullmatch(r"(?:[0-9A-Fa-f]{2})+", value):
                 try:
-                    forms.append(("hex", bytes.fromhex(value).decode("utf-8")))
+                    add(m, "hex literal", raw, bytes.fromhex(value).decode("utf-8"))
                 except UnicodeDecodeError:
                     pass
-        for how, decoded in forms:
-            if _DECODED.search(decoded) and not _DECODED.search(raw):
-                yield "DECODE-001", _line_of(text, m.start()), _line_of(text, m.end()), how
-                break
+    unsupported = False
+    if "fromCharCode" in text or "Uint8Array" in text:
+        # blanks stand for bytes, so places are those of bytes
+        data, code = text.encode().decode("latin-1"), (project(text, ".js") or "").encode().decode("latin-1")
+        ends = [m.start() for m in re.finditer("\n", data)]
+        for m in _JS_CODES.finditer(data):
+            if code[m.start()] != data[m.start()]:
+                continue
+            items = (m[1] or m[2]).split(",")
+            if not items[-1].strip():  # a comma at the end
+                items.pop()
+            try:
+                add(m, "literal character/byte array", m[0], bytes(_code(x) for x in items).decode("utf-8"))
+            except UnicodeDecodeError:
+                pass
+            except ValueError:
+                unsupported = True
+        unsupported |= any(not _JS_CODES.match(data, m.start()) for m in _JS_CODES_START.finditer(code))
+    return out, unsupported
 
 
 _AXIOS = r"\baxios(?:\s*\.\s*(?:get|post|put|patch|delete|request|head))?\s*\("
@@ -480,13 +530,44 @@ def _js_flows(files: DataFrame) -> DataFrame:
     return inspected(files, _script() & calls, js_flow, "JavaScript flow", MAX_FLOW_SOURCE, MAX_FLOW_HITS)
 
 
-def _js_decoded(files: DataFrame) -> DataFrame:
-    worth = F.col("text").rlike(r"\\[xu][0-9A-Fa-f]|[A-Za-z0-9+/]{32}|[\"']\s*\+\s*[\"']")
-    return inspected(files, _script() & worth, js_decoded, "JavaScript decoder", MAX_DECODE_SOURCE)
+def js_values(files: DataFrame) -> DataFrame:
+    """(repo_id, path, start_line, end_line, method, raw, value) of decoded literals;
+    a row without value names what was not decoded as its method."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for repo, path, text in batch.itertuples(index=False):
+                if text is None:
+                    rows.append((repo, path, 0, 0, "JavaScript decoder source-byte limit", None, None))
+                    continue
+                found, unsupported = js_decoded(path, text)
+                rows += [(repo, path, *x) for x in found]
+                if unsupported:
+                    rows.append((repo, path, 0, 0, "unsupported JavaScript literal expression", None, None))
+            yield pd.DataFrame(rows, columns=["repo_id", "path", "start_line", "end_line", "method", "raw", "value"])
+
+    worth = F.col("text").rlike(r"\\|[A-Za-z0-9+/]{30}|[\"']\s*\+\s*[\"']|fromCharCode|Uint8Array")
+    text = F.when(F.octet_length("text") <= MAX_DECODE_SOURCE, F.col("text"))
+    return files.where(_script() & worth).select("repo_id", "path", text.alias("text")).mapInPandas(run, "repo_id string, path string, start_line int, end_line int, method string, raw string, value string")
+
+
+def js_decoded_findings(files: DataFrame) -> DataFrame:
+    """DECODE-001 for each decoded value and rule that it meets, with the rule's severity and
+    its id as ``contributing``; and, without one, for each literal that hides text that executes."""
+    met = [
+        F.when(applies(F.col("path"), r.globs) & F.col("value").rlike(to_java(r.pattern)), F.struct(F.lit(r.id).alias("contributing"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message")))
+        for r in builtin_rules()
+        if r.id.startswith(DECODED_RULES)
+    ]
+    executes = F.col("value").rlike(to_java(_DECODED)) & ~F.col("raw").rlike(to_java(_DECODED))
+    own = F.when(executes, F.struct(F.lit(None).cast("string").alias("contributing"), F.lit("high").alias("severity"), F.lit("text that executes").alias("message")))
+    hits = js_values(files).where("value is not null").select("*", F.inline(F.array_compact(F.array(*met, own))))
+    return hits.select("repo_id", "path", F.lit("DECODE-001").alias("rule_id"), "start_line", "end_line", F.concat(F.lit("Static "), F.col("method"), F.lit(" reveals "), F.col("message")).alias("reason"), "severity", "contributing")
 
 
 def js_findings(files: DataFrame) -> DataFrame:
-    return _js_flows(files).union(_js_decoded(files)).where("rule_id is not null")
+    return _js_flows(files).where("rule_id is not null").unionByName(js_decoded_findings(files), allowMissingColumns=True)
 
 
 # --- Python -------------------------------------------------------------------------------------
@@ -551,7 +632,8 @@ def py_findings(files: DataFrame) -> DataFrame:
 
 def skipped_files(files: DataFrame) -> DataFrame:
     """(repo_id, path, reason) of every file that a limit of a detector leaves out, in whole or in part."""
-    return _js_flows(files).union(_js_decoded(files)).union(_py_flows(files)).where("rule_id is null").select("repo_id", "path", "reason")
+    flows = _js_flows(files).union(_py_flows(files)).where("rule_id is null").select("repo_id", "path", "reason")
+    return flows.union(js_values(files).where("value is null").select("repo_id", "path", F.col("method").alias("reason")))
 
 
 # --- documents ----------------------------------------------------------------------------------
