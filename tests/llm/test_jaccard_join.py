@@ -91,6 +91,21 @@ def test_awkward_rows(spark):
     assert ids == [1, 2, 3, 4, 5, 6, 7, 8, 10]
 
 
+def test_one_row_of_each_component_stays(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(100)) for k in "abcdef"}
+    near = {k: t + " more" for k, t in text.items()}
+    docs = [
+        (1, text["a"]), (7, near["a"]), (7, text["b"]), (7, text["c"]), (7, text["c"]),  # a repeated id: one row goes with 1, the others stay
+        (None, text["d"]), (None, near["d"]), (None, text["d"]), (9, near["c"]),
+        (None, text["e"]), (3, near["e"]), (None, text["f"]), (None, None), (None, ""), (None, ""), (8, " "), (8, " "),
+    ]
+    got = [(r["doc_id"], r["text"]) for r in jaccard_join.without_near_duplicates(documents(spark, docs)).collect()]
+    d = [t for i, t in got if i is None and t in (text["d"], near["d"])]
+    assert len(d) == 1
+    want = [(1, text["a"]), (7, text["b"]), (7, text["c"]), (None, d[0]), (3, near["e"]), (None, text["f"]), (None, None), (None, ""), (None, ""), (8, " "), (8, " ")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(200, 201), (201, 202)], "a long, b long")
     got = {r["id"]: r["root"] for r in components(edges).collect()}

@@ -292,14 +292,19 @@ def node_components(nodes: DataFrame, percent: int = 80) -> DataFrame:
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    sets = kept(linked_sets(docs, width, percent), "sets")
+def _classes_and_roots(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, least, copies, n) of all classes of equal sets, and (node, root) of those that link."""
     some = sets.where("node is not null")
     classes = some.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("n").alias("n"))
     first = some.join(classes.select("node", F.col("least").alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"])
     nodes = kept(first.select("node", "n", "ell", "prefix", "tokens", "parts"), "nodes")
-    roots = kept(node_components(nodes, percent), "roots")
+    return classes, kept(node_components(nodes, percent), "roots")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    sets = kept(linked_sets(docs, width, percent), "sets")
+    classes, roots = _classes_and_roots(sets, percent)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     of_node = named.join(least, "root").select("node", "component")
@@ -314,14 +319,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, that come first in their
-    component: the least doc_id stays, and of rows that repeat it the one whose
-    text has the least hash.  Rows with a null doc_id stay.  Column names of the
-    input may repeat."""
-    report = jaccard_components(docs, width, percent)
-    first = report.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    component: exactly one of each, by doc_id, nulls last, and of rows that repeat
+    it the one with the least hash of doc_id and text.  This hash of 64 bits is a
+    row's key, so rows that differ in neither are copies; a row that links with
+    none stays, whatever its doc_id.  Column names of the input may repeat."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    text = names[docs.columns.index("text")]
-    held = docs.toDF(*names).withColumn("key", F.col(names[docs.columns.index("doc_id")]).cast("long"))
-    same = Window.partitionBy("key").orderBy(F.xxhash64(text))
-    unique = held.join(first, "key", "left_semi").withColumn("turn", F.row_number().over(same)).where("turn = 1")
-    return unique.select(names).union(held.where("key is null").select(names)).toDF(*docs.columns)
+    own, text = F.col(names[docs.columns.index("doc_id")]).cast("long"), F.col(names[docs.columns.index("text")])
+    held = docs.toDF(*names).withColumn("key", F.xxhash64(own, text))
+    sets = kept(linked_sets(held.select(F.col("key").alias("doc_id"), text.alias("text")), width, percent), "sets")
+    _, roots = _classes_and_roots(sets, percent)
+    ids = held.groupBy("key").agg(F.min(own).alias("own"))
+    members = sets.where("node is not null").select(F.col("doc_id").alias("key"), "node").distinct().join(roots, "node", "left").join(ids, "key")
+    winners = members.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("own").isNull(), "own", "key"))["key"].alias("key"))
+    alone = sets.where("node is null").select(F.col("doc_id").alias("key"), F.lit(False).alias("copies"))
+    first = kept(winners.select("key", F.lit(True).alias("copies")).union(alone).groupBy("key").agg(F.min("copies").alias("copies")), "first")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return held.join(first, "key").withColumn("turn", turn).where("turn = 1 or not copies").select(names).toDF(*docs.columns)
