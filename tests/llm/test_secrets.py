@@ -40,6 +40,17 @@ def test_random_strings_are_found_and_names_are_not():
         assert not secrets.all_spans(f"see {name} there", count)[1], name
 
 
+def test_random_strings_of_one_case_and_in_groups_are_found():
+    count, rng = secrets.counter(PATH), random.Random(4)
+    group = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    codes = [group(letters, n) for letters in (string.ascii_lowercase, string.ascii_uppercase) for n in (20, 24, 32, 40, 200) for _ in range(50)]
+    codes += ["-".join(group(string.digits if i % 2 else string.ascii_uppercase, 5) for i in range(n)) for n in (4, 5, 6) for _ in range(50)]
+    hits = sum(any(k == 3 for _, k, _ in secrets.all_spans(f"see {c} there", count)[1]) for c in codes)
+    assert hits >= 0.97 * len(codes)
+    for name in ("SPARK-12345-FIX-PARQUET-READER", "MAX_CONNECTION_POOL_SIZE_LIMIT", "ISBN-978-3-16-148410-0-2020", "release-2024-06-30-version-12", "internationalizationofwords", "xyz" * 20):
+        assert not secrets.all_spans(f"see {name} there", count)[1], name
+
+
 def test_query_against_brute_force(spark, sf_dir):
     from treesift.llm.queries import queries
 

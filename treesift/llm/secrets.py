@@ -2,10 +2,9 @@
 
 Random strings cost a byte-pair vocabulary many tokens: a password or key of
 40 characters takes twenty or more, while prose, paths and names of that length
-take ten or less.  Long unbroken strings with mixed kinds of characters are
-encoded with a public rank vocabulary, and those with few characters per token
-are reported, after digests of known lengths, unique ids, numbers, versions,
-and names made of words are taken out.  Three base patterns stand beside this:
+take ten or less.  Long unbroken strings are encoded with a public rank vocabulary,
+and those with few characters per token are reported, after digests of known
+lengths, unique ids, numbers and fillers are taken out.  Three base patterns stand beside this:
 an assignment to a secret's name, access key ids, and long hexadecimal runs.
 
 Spans are code points, end exclusive.  Kinds: assign, access, hex (base), and
@@ -33,6 +32,11 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
 MIN_RANDOM = 20
 #: Random strings have fewer characters per token than this.
 MAX_CHARS_PER_TOKEN = 2.2
+#: The same for strings of the shape of names, which are only letters of few
+#: changes of case, or groups of letters and of digits; and the letters that these need.
+MAX_NAMED, MIN_LETTERS = 2.05, 8
+#: Strings of fewer different characters are fillers.
+LEAST_DISTINCT = 6
 #: A longer string is judged piece by piece.
 PIECE = 128
 
@@ -85,38 +89,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_identifier(text: str) -> bool:
-    """Digests, unique ids, numbers, and names made of words, which are public by nature."""
-    if _NUMBERS.match(text) or _UUID.match(text):
+    """Digests, unique ids, numbers and runs of few characters, which are public by nature."""
+    if _NUMBERS.match(text) or _UUID.match(text) or len(set(text)) < LEAST_DISTINCT:
         return True
+    return bool(_HEX_ONLY.match(text)) and len(text) in DIGEST_CHARS
+
+
+def is_named(text: str) -> bool:
+    """Whether a string has the shape of names: groups of one kind, or few changes of case inside words."""
     if _HEX_ONLY.match(text):
-        return len(text) in DIGEST_CHARS
-    digits = sum(c.isdigit() for c in text)
-    if digits:
-        parts = [p for p in re.split(r"[+/_=-]", text) if p]
-        return all(p.isdigit() or p.isalpha() and (p.islower() or p.isupper() or p.istitle()) for p in parts)
+        return False
+    if any(c.isdigit() for c in text):
+        return all(p.isdigit() or p.isalpha() and (p.islower() or p.isupper() or p.istitle()) for p in _groups(text))
     letters = "".join(c for c in text if c.isalpha())
-    # without digits, a change of case inside words tells a random string from a name
     changes = sum(a.islower() and b.isupper() for a, b in zip(letters, letters[1:], strict=False))
     return changes < len(letters) / 6
 
 
-def is_random(text: str, count: TokenCounter) -> bool:
+def _groups(text: str) -> list[str]:
+    return [p for p in re.split(r"[+/_=-]", text) if p]
+
+
+def is_random(text: str, count: TokenCounter, limit: float = MAX_CHARS_PER_TOKEN) -> bool:
     for i in range(0, len(text), PIECE):
         piece = text[i : i + PIECE]
-        if len(piece) >= MIN_RANDOM and len(piece) >= MAX_CHARS_PER_TOKEN * count(piece):
+        if len(piece) >= MIN_RANDOM and len(piece) >= limit * count(piece):
             return False
     return True
 
 
+def is_secret(text: str, count: TokenCounter) -> bool:
+    """By token efficiency; of names' shape less is enough to be one, and numbers beside
+    the letters say nothing, so the letters are judged by themselves."""
+    plain = text.strip("=")
+    if is_identifier(plain):
+        return False
+    if not is_named(plain):
+        return is_random(text, count)
+    letters = [p for p in _groups(plain) if p.isalpha()]
+    n = sum(map(len, letters))
+    return is_random(text, count, MAX_NAMED) and n >= MIN_LETTERS and (n == len(plain) or n < MAX_NAMED * sum(map(count, letters)))
+
+
 def all_spans(text: str, count: TokenCounter) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans)."""
     base = base_spans(text)
     more = []
     for m in _LONG.finditer(text):
         start, end = m.span()
-        if any(a < end and start < b for a, _, b in base) or is_identifier(m[0].strip("=")):
+        if any(a < end and start < b for a, _, b in base):
             continue
-        if is_random(m[0], count):
+        if is_secret(m[0], count):
             more.append((start, 3, end))
     return base, sorted(base + more) if more else base
 
