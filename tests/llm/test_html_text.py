@@ -39,6 +39,29 @@ def test_boxes_inside_an_article():
     assert html_text.main_text(page, html_text.model()) == "Head & more\nFirst paragraph here with words.\nSecond one<2."
 
 
+def test_wrappers_with_names_of_boxes():
+    rng, model = random.Random(78), html_text.model()
+    alone = html_text.Model({}, 1.0, model.around)
+    opened = ('<div class="layout has-sidebar">', '<div id="print-area">', '<div class="post comment-open">', '<div class="more-content">', '<form method="post" action="x.aspx">')
+    right = dict.fromkeys(opened, 0)
+    for wrapper in opened:
+        for _ in range(60):
+            before, main, after = html_text._labelled_page(rng)
+            page = before.replace("<body>", "<body>" + wrapper) + main + after.replace("</body>", "</form></body>" if "form" in wrapper else "</div></body>")
+            right[wrapper] += html_text.main_text(page, model) == html_text.main_text(f"<article>{main}</article>", alone)
+    assert min(right.values()) >= 54, right
+    text = " ".join(f"word{i}" for i in range(60))
+    page = f'<body><nav><a>Menu</a></nav><div class="post"><header><h1>The title of it</h1></header><p>{text}</p><div class="site-footer">end</div></div></body>'
+    assert html_text.main_text(page, model) == f"The title of it\n{text}"
+
+
+def test_long_comments_stay_out():
+    page = "<body><article><h1>Head</h1><p>Some words of a text.</p></article><ol class='comment-list'>" + "<li><article><p>a reader says much</p></article></li>" * 60 + "</ol></body>"
+    assert html_text.main_text(page, html_text.model()) == "Head\nSome words of a text."
+    plain = page.replace("<article><h1>Head</h1>", "<div class='post'>", 1).replace("</article>", "</div>", 1)
+    assert html_text.main_text(plain, html_text.model()) == "Some words of a text."
+
+
 def test_short_article_beside_long_menus():
     page = "<body><nav>" + "<a>many menu words here</a>" * 60 + "</nav><article><p>Short.</p></article><footer>" + "foot words " * 80 + "</footer>"
     assert html_text.main_text(page, html_text.model()) == "Short."

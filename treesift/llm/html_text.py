@@ -9,7 +9,8 @@ first, so that a paragraph costs next to nothing and the start of a menu a lot.
 
 The region may still hold an advert, a form or a box between two paragraphs,
 or touch the one before it.  So elements whose learned odds, or whose kind in
-HTML, say that they are never main text are taken out of the region.
+HTML, say that they are never main text are taken out of the region, unless
+they are wrapped around what seems to be the text of the whole page.
 
 The labelled pages are written by a seeded generator in several layouts, from
 semantic elements to plain nested divisions; nothing of the corpus is used.
@@ -45,6 +46,8 @@ NEVER_TEXT = frozenset(
     "script style noscript template head title nav footer aside form button select option textarea input label fieldset iframe object embed svg math canvas "
     "audio video map menu dialog datalist meter progress applet noframes".split()
 )
+#: Elements that may be wrapped around a whole page, and those that show where its main text is.
+WRAPPERS, MAIN = frozenset(("form", "fieldset")), frozenset(("article", "main", "h1"))
 RAW_TEXT = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Names in class and id of what surrounds an article.
@@ -71,7 +74,8 @@ BOX = -1.5
 
 def pieces(page: str) -> list[tuple[int, str, tuple[str, ...]]]:
     """(TEXT, text, ()), (OPEN, tag, names) and (CLOSE, tag, ()) in order; comments
-    and the contents of scripts, styles and the like are left out."""
+    and the contents of scripts, styles and the like are left out.  Parts of names
+    such as ``has-sidebar`` stand behind an empty one."""
     out: list[tuple[int, str, tuple[str, ...]]] = []
     at, n, tag_of = 0, len(page), _TAG
     while at < n:
@@ -99,15 +103,17 @@ def pieces(page: str) -> list[tuple[int, str, tuple[str, ...]]]:
             out.append((CLOSE, name, ()))
             continue
         attributes = tag[3]
-        names: tuple[str, ...] = ()
+        whole: list[str] = []
+        parts: list[str] = []
         if "=" in attributes:
-            values = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
-            names = tuple(x for x in _SPLIT_NAMES.split(values) if x)
+            for value in " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().split():
+                own = [x for x in _SPLIT_NAMES.split(value) if x]
+                (parts if len(own) > 1 else whole).extend(own)
             if _STYLE_HIDDEN.search(attributes):
-                names += ("hidden",)
+                whole.append("hidden")
         if re.search(r"\shidden(?:\s|=|/?$)", attributes):
-            names += ("hidden",)
-        out.append((OPEN, name, names))
+            whole.append("hidden")
+        out.append((OPEN, name, (*whole, "", *parts) if parts else tuple(whole)))
         if name in RAW_TEXT:
             close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
             at = close.start() if close else n
@@ -120,7 +126,7 @@ def _keys(kind: int, name: str, names: tuple[str, ...]) -> list[str]:
     """What a tag is looked up by, the most telling first."""
     if kind == CLOSE:
         return [f"/{name}"]
-    return [*(f".{x}" for x in names), name]
+    return [*(f".{x}" for x in names if x), name]
 
 
 class Model:
@@ -160,36 +166,64 @@ def _is_around(name: str, names: tuple[str, ...], model: Model, inside: bool) ->
     return name not in ("html", "body", "main", "article") and any(x in model.around for x in names)
 
 
-def _end_of(items: list, start: int) -> int:
-    """Just after the end of the element that opens at ``start``.  One that is
+def _ends(items: list) -> list[int]:
+    """For each piece that opens an element, just after the element's end.  One that is
     never closed ends where the main text's own element opens, or at the end."""
-    name, depth = items[start][1], 0
-    if name in VOID:
-        return start + 1
+    ends = [0] * len(items)
+    opened: dict[str, list[int]] = {}
+    for i, (kind, name, _) in enumerate(items):
+        if kind == OPEN:
+            if name in VOID:
+                ends[i] = i + 1
+            else:
+                opened.setdefault(name, []).append(i)
+        elif kind == CLOSE and opened.get(name):
+            ends[opened[name].pop()] = i + 1
     stop = len(items)
-    for i in range(start, len(items)):
-        kind, value, _ = items[i]
-        if kind == TEXT:
-            continue
-        if value == name:
-            depth += 1 if kind == OPEN else -1
-            if depth == 0:
-                return i + 1
-        elif kind == OPEN and value in ("article", "main", "h1") and stop == len(items):
-            stop = i
-    return stop
+    for i in range(len(items) - 1, -1, -1):
+        if items[i][0] == OPEN:
+            ends[i] = ends[i] or stop
+            if items[i][1] in MAIN:
+                stop = i
+    return ends
 
 
 def around_marks(items: list[tuple[int, str, tuple[str, ...]]], model: Model) -> list[bool]:
-    """For each piece, whether it lies in an element that is never main text."""
+    """For each piece, whether it lies in an element that is never main text.  An
+    element that seems so by its name, but is wrapped around the page's text, is
+    not marked: the scan decides, and only what is in it is marked."""
     marks = [False] * len(items)
+    ends = _ends(items)
+    words, articles, main, heads = ([0] for _ in range(4))  # numbers before each piece
+    for kind, value, _ in items:
+        words.append(words[-1] + (len(value.split()) if kind == TEXT else 0))
+        articles.append(articles[-1] + (kind == OPEN and value == "article"))
+        main.append(main[-1] + (kind == OPEN and value in ("article", "main")))
+        heads.append(heads[-1] + (kind == OPEN and value == "h1"))
+
+    def is_wrapper(i: int, end: int) -> bool:
+        name, names = items[i][1], items[i][2]
+        in_main, in_heads = main[end] - main[i], heads[end] - heads[i]
+        if main[-1] > in_main or heads[-1] > in_heads or name in NEVER_TEXT and name not in WRAPPERS:
+            return False
+        if name == "header" and in_heads:
+            return True
+        n_articles = articles[end] - articles[i]
+        if n_articles > 1 and n_articles == in_main and not in_heads:  # a list, as of comments
+            return False
+        whole = names[: names.index("")] if "" in names else names
+        by_name = any(x in model.around for x in whole)
+        if in_main and not by_name:
+            return True
+        return 2 * (words[end] - words[i]) > words[-1] and (in_main + in_heads > 0 or not by_name)
+
     i, inside = 0, 0
     while i < len(items):
         kind, value, names = items[i]
         if kind != TEXT and value in ("article", "main"):
             inside = max(0, inside + (1 if kind == OPEN else -1))
-        if kind == OPEN and _is_around(value, names, model, inside > 0):
-            end = max(i + 1, _end_of(items, i))
+        if kind == OPEN and _is_around(value, names, model, inside > 0) and not is_wrapper(i, max(i + 1, ends[i])):
+            end = max(i + 1, ends[i])
             marks[i:end] = [True] * (end - i)
             i = end
         else:
