@@ -10,8 +10,9 @@ Jaccard similarity of 0.8 or more.  The steps:
    ``n - ceil(0.8 n) + 1`` shingles with any partner; if so many of its
    shingles occur nowhere else, it has no partner and is done.
 3. For the others, the prefix is lengthened by ``ell - 1`` shingles where the
-   frequencies say that this is cheaper: a pair is then verified only if it
-   shares at least the smaller ``ell`` of the two in its prefixes.
+   frequencies say that this is cheaper: a pair of short lists is then verified
+   only if it shares at least the smaller ``ell`` of the two in its prefixes.
+   Pivots, and pairs of long lists in the last turn, are verified on one.
 4. Documents with equal sets become one class.  Within the list of a prefix
    shingle, classes are compared with a pivot first; what the pivot links needs
    no further comparison, as only components are asked for.  Pairs that are
