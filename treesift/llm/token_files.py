@@ -13,11 +13,12 @@ A file is (part, doc_id, n_tokens, start_in_part, ids); parts are in order, so
 an offset over all documents needs one number per part, which is read from the
 metadata columns alone.
 
-Encoding asks the tokenizer for pieces of text that it treats alone: no token
-goes across the border between a character and the single blank or line feed
-after it.  Pieces come back again and again, so their ids are remembered, up to
-a bound; texts with other white space, or with the name of a special token,
-go to the tokenizer whole.
+Encoding cuts the texts of a batch at places where the tokenizer's own pattern
+always begins a new word, finds the distinct pieces, and asks the tokenizer for
+those whose ids it does not remember.  What is remembered is an Arrow array of
+pieces beside an array of their ids, bounded in bytes; long pieces are not kept,
+and those not seen for longest go first.  A text with the name of a special
+token is one piece, and so is every text under a tokenizer of another pattern.
 
 Defined results: a null text is empty; an empty text has the end id alone.
 Documents with the same doc_id are put in order of their texts.  A null doc_id
@@ -27,6 +28,7 @@ the input are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,8 +38,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from treesift.llm.common import bound_batches, fresh_path, ids_and_texts, record_batch
+from treesift.llm.common import bound_batches, fresh_path, ids_and_texts, kept, record_batch
 
 END_ID = 0
 #: Writer settings: bytes of a row group and of a page.
@@ -45,83 +48,199 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Bytes of text in one part, about.
 PART_BYTES = 32 << 20
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
-#: Characters of text that a worker cuts into pieces at once; a longer text goes alone.
-CHARS_AT_ONCE = 500_000
-
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: White space other than blanks and line feeds, by Python's or by the tokenizer's account.
-_ODD_ASCII = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-_ODD_OTHER = tuple("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+#: Bytes of pieces and ids that a worker remembers, and the longest piece among them.
+REMEMBERED_BYTES = 24 << 20
+LONGEST_REMEMBERED = 64
+#: Bytes of text that a worker encodes at once; a longer text goes alone.
+BYTES_AT_ONCE = 4 << 20
+#: Characters of a text that decide about its part beside its doc_id, so that an id of very many rows is split.
+TEXT_KEY = 64
+#: Parts up to this number are broadcast with their offsets when files are read.
+BROADCAST_PARTS = 1_000_000
+#: Parts whose offsets are summed in one task.
+PARTS_IN_BLOCK = 1024
+
+_LETTER, _DIGIT, _SIGN, _BLANK, _LINE, _SPACE, _OTHER = range(7)
+
+
+def _byte_classes() -> np.ndarray:
+    out = np.full(256, _SIGN, np.uint8)
+    for b in range(128):
+        out[b] = _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SIGN
+    out[128:] = _OTHER
+    out[[9, 11, 12, 13, 28, 29, 30, 31]] = _SPACE
+    out[32], out[10] = _BLANK, _LINE
+    return out
+
+
+def _border_pairs() -> np.ndarray:
+    """Neighbouring classes between which a word always ends."""
+    out = np.zeros((7, 7), bool)
+    out[:3, :3] = ~np.eye(3, dtype=bool)
+    for before in (_LETTER, _DIGIT, _SIGN, _OTHER):
+        out[before, [_BLANK, _LINE]] = True
+    return out.ravel()
+
+
+_CLASSES, _BORDERS = _byte_classes(), _border_pairs()
+#: First bytes of two-byte characters that are all letters, but for the two signs below.
+_LETTER_LEADS = np.zeros(256, bool)
+_LETTER_LEADS[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
+_TIMES, _DIVIDED = 0x97, 0xB7
+#: The UTF-8 codes of white space outside ASCII.
+_WIDE_SPACES = np.array([int.from_bytes(c.encode()) for c in "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"])
+_JOINABLE = re.compile(r" ?\S+")
+
+
+def classes_of(data: np.ndarray) -> np.ndarray:
+    """The class of each byte; a letter of more bytes has it on each of them, and
+    white space outside ASCII at least on its last."""
+    out = _CLASSES[data]
+    if not len(data) or data.max() < 128:
+        return out
+    lead = np.flatnonzero(_LETTER_LEADS[data])
+    lead = lead[(data[lead] != 0xC3) | (data[lead + 1] != _TIMES) & (data[lead + 1] != _DIVIDED)]
+    out[lead] = out[lead + 1] = _LETTER
+    two = np.flatnonzero(data == 0xC2)
+    out[two[(data[two + 1] == 0x85) | (data[two + 1] == 0xA0)] + 1] = _SPACE
+    three = np.flatnonzero((data >= 0xE1) & (data <= 0xE3))
+    wide = data[three].astype(np.int64) << 16 | data[three + 1].astype(np.int64) << 8 | data[three + 2]
+    out[three[np.isin(wide, _WIDE_SPACES)] + 2] = _SPACE
+    return out
+
+
+def borders(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each place in the bytes of texts that lie one after another, and the end,
+    whether the pattern of byte-level tokenizers begins a word there whatever stands
+    around it.  White space before a word gives its last blank to the word and is a
+    word without it; a line feed before a word stands alone."""
+    n = len(data)
+    out = np.zeros(n + 1, bool)
+    if n:
+        first = np.zeros(n + 1, bool)
+        first[starts] = True
+        kind = classes_of(data)
+        out[1:n] = _BORDERS[kind[:-1] * np.uint8(7) + kind[1:]]
+        mark = np.flatnonzero(data[:-1] == 0x27)
+        out[mark[kind[mark + 1] == _LETTER] + 1] = False  # 's and the like
+        space = np.flatnonzero((kind[:-1] == _BLANK) | (kind[:-1] == _LINE))
+        space = space[(kind[space + 1] <= _SIGN) & ~first[space + 1]]
+        before = kind[space - 1]
+        out[space[(before == _BLANK) | (before == _LINE)]] = True
+        out[space[kind[space] == _LINE] + 1] = True
+    out[starts] = True
+    return out
+
+
+def _gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``begins``, one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class PieceEncoder:
-    """The ids of a text as little-endian 32-bit integers."""
+    """Token ids of texts, by the ids of their pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered_bytes: int = REMEMBERED_BYTES):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        #: Bytes of each token: byte-level tokens are written with one character a byte.
-        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.tokenizer, self.limit = Tokenizer.from_file(path), remembered_bytes
+        rules = json.loads(self.tokenizer.to_str())
+        cut = rules["pre_tokenizer"] or {}
+        self.cuts = not rules["normalizer"] and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # a word stands for itself after a blank
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _plain(self, text: str) -> bool:
-        """Whether the text may be cut before blanks and line feeds."""
-        if any(c in text for c in _ODD_ASCII) or any(s in text for s in self.special):
-            return False
-        return text.isascii() or not any(c in text for c in _ODD_OTHER)
-
-    def _cut(self, text: str) -> list[str]:
-        """Pieces; one that begins with a blank is given without it, one that
-        begins with no white space after a zero byte."""
-        if any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or text[0] in " \n" or text[-1] == " ":
-            pieces = _PIECES.findall(text)
-            return [p[1:] if p[:1] == " " and len(p) > 1 and p[1] not in " \n" else p if p[:1] in " \n" else f"\0{p}" for p in pieces]
-        lines = text.split("\n")
-        out = lines[0].split(" ")
-        out[0] = f"\0{out[0]}"
-        for line in lines[1:]:
-            words = line.split(" ")
-            words[0] = f"\n{words[0]}"
-            out += words
-        return out
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces: one call for all that can stand in a row, as no token
-        crosses from one into the next."""
-        in_row = lambda p: p[:1] not in ("\0", " ") and (p[0] != "\n" or p[1:2] not in ("", " ", "\n"))
-        out = {p: self.whole(p[1:] if p[0] == "\0" else p) for p in pieces if not in_row(p)}
-        row = [p for p in pieces if in_row(p)]
+        self.line_feed = self._ids("\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces, self.turn = pa.array([], pa.binary()), 0
+        self.begins, self.sizes, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, np.uint32)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begins, sizes) of new pieces.  Words with at most a blank before them
+        go to the tokenizer in rows, with line feeds between that stay alone."""
+        texts = [p.decode() for p in pieces]
+        row = [i for i, t in enumerate(texts) if len(t) <= LONGEST_REMEMBERED and _JOINABLE.fullmatch(t)] if self.cuts and len(self.line_feed) == 1 else []
+        begins, sizes = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int64)
+        found, n = [np.zeros(0, np.uint32)], 0
         for first in range(0, len(row), 20_000):
             some = row[first : first + 20_000]
-            written = [p if p[0] == "\n" else f" {p}" for p in some]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(written)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in written])
-            last = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "right")
-            data, begin = ids.tobytes(), 0
-            for p, end in zip(some, (4 * last).tolist(), strict=True):
-                out[p] = data[begin:end]
-                begin = end
-        return out
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        cut = [self._cut(t) if t and "\0" not in t and self._plain(t) else None for t in texts]
-        new = self._learn(list({p for pieces in cut if pieces for p in pieces}.difference(known)))
-        known.update(new)
-        ids = known.__getitem__
-        out = [b"".join(map(ids, pieces)) if pieces else self.whole(text) for text, pieces in zip(texts, cut, strict=True)]
-        for p in list(new)[max(0, len(new) - max(0, len(known) - REMEMBERED)) :]:
-            del known[p]
-        return out
+            ids = self._ids("\n".join([texts[i] for i in some]) + "\n")
+            ends = np.flatnonzero(ids == self.line_feed[0])
+            if len(ends) == len(some):
+                starts = np.concatenate(([0], ends[:-1] + 1))
+                begins[some], sizes[some] = n + starts, ends - starts
+                found.append(ids)
+                n += len(ids)
+        for i in np.flatnonzero(sizes < 0).tolist():
+            found.append(self._ids(texts[i]))
+            begins[i], sizes[i] = n, len(found[-1])
+            n += len(found[-1])
+        return np.concatenate(found), begins, sizes
+
+    def _remember(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Take in new pieces; over the bound, keep those seen last, up to half of it."""
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        self.used = np.concatenate([self.used, np.full(len(sizes), self.turn)])
+        cost = pc.binary_length(self.pieces).to_numpy() + 4 * self.sizes + 28
+        if cost.sum() <= self.limit:
+            return
+        newest = np.argsort(-self.used, kind="stable")
+        keep = np.sort(newest[np.cumsum(cost[newest]) <= self.limit // 2])
+        self.pieces, self.used = self.pieces.take(pa.array(keep)), self.used[keep]
+        self.ids = _gathered(self.ids, self.begins[keep], self.sizes[keep])
+        self.sizes = self.sizes[keep]
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def _ids_of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begins, sizes): the ids of each of ``distinct``, none of them twice."""
+        at = pc.index_in(distinct, value_set=self.pieces).fill_null(-1).to_numpy()
+        old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        self.turn += 1
+        self.used[at[old]] = self.turn
+        pieces = distinct.take(pa.array(new))
+        ids, begins, sizes = self._learn(pieces.to_pylist())
+        all_begins, all_sizes = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        all_begins[old], all_sizes[old] = self.begins[at[old]], self.sizes[at[old]]
+        all_begins[new], all_sizes[new] = begins + len(self.ids), sizes
+        every = np.concatenate([self.ids, ids])
+        short = np.flatnonzero(pc.binary_length(pieces).to_numpy() <= LONGEST_REMEMBERED)
+        self._remember(pieces.take(pa.array(short)), _gathered(ids, begins[short], sizes[short]), sizes[short])
+        return every, all_begins, all_sizes
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, how many of each), with ``end_id`` after each."""
+        texts = texts.cast(pa.large_string())
+        starts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+        starts = starts - starts[0]
+        if self.cuts:
+            border = borders(data, starts)
+            for name in self.special:
+                for i in np.flatnonzero(pc.match_substring(texts, name).to_numpy(zero_copy_only=False)):
+                    border[starts[i] + 1 : starts[i + 1]] = False
+            places = np.flatnonzero(border)
+        else:
+            places = np.unique(starts)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
+        ids, begins, sizes = self._ids_of(pieces.dictionary.cast(pa.binary()))
+        which = pieces.indices.to_numpy()
+        flat = _gathered(ids, begins[which], sizes[which])
+        before = np.concatenate(([0], np.cumsum(sizes[which])))[np.searchsorted(places, starts)]
+        n_tokens = np.diff(before)
+        if end_id is None:
+            return flat, n_tokens
+        out = np.full(len(flat) + len(texts), end_id, np.uint32)
+        text = np.ones(len(out), bool)
+        text[before[1:] + np.arange(len(texts))] = False
+        out[text] = flat
+        return out, n_tokens + 1
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -139,16 +258,33 @@ def release_encoders() -> None:
     _encoders.clear()
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of runs of rows with at most CHARS_AT_ONCE characters, one row at least."""
-    first, held = 0, 0
-    for i, size in enumerate(sizes):
-        if i > first and held + size > CHARS_AT_ONCE:
-            yield first, i - first
-            first, held = i, 0
-        held += size
-    if sizes:
-        yield first, len(sizes) - first
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` again, in runs of about BYTES_AT_ONCE bytes of text, one row at least."""
+    held: list[pa.RecordBatch] = []
+    n_held = 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
+        first = 0
+        while first < batch.num_rows:
+            room = BYTES_AT_ONCE - n_held + (sizes[first - 1] if first else 0)
+            last = int(np.searchsorted(sizes, room, "right"))
+            if last == first and held:
+                yield flush()
+                held, n_held = [], 0
+                continue
+            last = max(last, first + 1)
+            held.append(batch.slice(first, last - first))
+            n_held += int(sizes[last - 1] - (sizes[first - 1] if first else 0))
+            first = last
+            if n_held >= BYTES_AT_ONCE:
+                yield flush()
+                held, n_held = [], 0
+    if held:
+        yield flush()
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID) -> None:
@@ -157,26 +293,22 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     bound_batches(docs.sparkSession)
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(8, n_bytes / PART_BYTES))
+    key = F.col("doc_id").asc_nulls_first()
     ordered = (
-        texts.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        .withColumn("part", F.spark_partition_id())
+        texts.repartitionByRange(parts, key, F.substring("text", 1, TEXT_KEY))
+        .sortWithinPartitions(key, "text")
+        .select("doc_id", "text", F.spark_partition_id().alias("part"))
     )
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("start_in_part", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, before = encoder(tokenizer_path), 0
-        for whole in batches:
-            for first, rows in _slices(pc.utf8_length(whole.column("text")).to_pylist()):
-                batch = whole.slice(first, rows)
-                ids = [x + end for x in own.encode_batch(batch.column("text").to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(sizes)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), values)
-                yield record_batch(schema, batch.column("part"), batch.column("doc_id"), pa.array(sizes), pa.array(before + ends - sizes), lists)
-                before += int(ends[-1])
+        for batch in _slices(batches):
+            ids, sizes = own.encode(batch.column("text"), end_id)
+            ends = np.cumsum(sizes)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield record_batch(schema, batch.column("part"), batch.column("doc_id"), pa.array(sizes), pa.array(before + ends - sizes), lists)
+            before += int(ends[-1])
 
     (
         ordered.mapInArrow(encode, "part int, doc_id long, n_tokens long, start_in_part long, ids array<int>")
@@ -193,13 +325,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): ``start`` counts the ids of all documents before."""
     files = spark.read.schema("part int, doc_id long, n_tokens long, start_in_part long, ids array<int>").parquet(path)
-    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a number for each file
-    before, starts = 0, {}
-    for row in sorted(parts, key=lambda r: r["part"]):
-        starts[row["part"]] = before
-        before += row["n"]
-    offsets = spark.createDataFrame(list(starts.items()), "part int, before long")
-    return files.join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
+    sums = kept(files.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.expr(f"part div {PARTS_IN_BLOCK}")), "parts")
+    so_far = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("block").agg(F.sum("n").alias("n")).select("block", so_far(Window.orderBy("block")).alias("of_blocks"))
+    offsets = sums.withColumn("in_block", so_far(Window.partitionBy("block").orderBy("part"))).join(blocks, "block").select("part", (F.col("of_blocks") + F.col("in_block")).alias("before"))
+    if sums.count() <= BROADCAST_PARTS:
+        offsets = F.broadcast(offsets)
+    return files.join(offsets, "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
 def with_checksums(tokens: DataFrame) -> DataFrame:
