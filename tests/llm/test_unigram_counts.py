@@ -36,6 +36,20 @@ def test_ties_go_as_in_the_tokenizer():
                 assert own.count_word(word) == len(found.ids), (vocabulary, word)
 
 
+def test_memory_is_bounded_and_long_words_count():
+    own, plain, rng = unigram_counts.UnigramCounter(unigram_counts.zipf_vocabulary(PATH), 200_000), reference(), random.Random(3)
+    for k in range(5):
+        text = " ".join(f"w{k}x{i}" for i in range(3000))
+        assert own.count(text) == len(plain.encode(text, add_special_tokens=False).ids)
+        assert 0 < own.held + len(own.old) * unigram_counts.ENTRY_BYTES <= 200_000
+    before = len(own.young) + len(own.old)
+    for n in (3, 5_000, 60_000):
+        text = "".join(rng.choice("abeing漢字テキスト") for _ in range(n)) + "😀" * n
+        assert own.count(text) == len(plain.encode(text, add_special_tokens=False).ids)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(2000)) for _ in range(100)]
+    assert all(own.count(t) > 0 for t in texts) and len(own.young) + len(own.old) <= before + 1
+
+
 def test_query(spark, sf_dir):
     from treesift.llm.queries import queries
 

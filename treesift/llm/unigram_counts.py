@@ -10,7 +10,9 @@ characters fall back to their bytes.
 
 Words are segmented one by one, each with the blank before it, as the
 tokenizer's own pre-tokenizer cuts them, so the counts of words that come again
-are remembered, up to a bound.
+are remembered, up to a bound in bytes; those not seen for longest go first,
+and long words are not kept.  The search holds scores for as many places as the
+longest piece reaches back, so a text without blanks needs little memory.
 
 The public files have no unigram model.  So the vocabulary is that of the
 public piece model, in its order, with the log of a Zipf law over the rank as
@@ -23,6 +25,7 @@ results; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import ahocorasick
@@ -34,8 +37,13 @@ from treesift.llm.common import bound_batches, ids_and_texts, record_batch
 BLANK = "▁"
 #: How far an unknown character's score lies under the least of the vocabulary.
 UNKNOWN_PENALTY = 10.0
-#: Words whose counts a worker remembers.
-REMEMBERED = 500_000
+#: Bytes of words and counts that a worker remembers, about, and the longest word among them.
+REMEMBERED_BYTES = 64 << 20
+LONGEST_REMEMBERED = 64
+#: Bytes that an entry takes beside the word's own.
+ENTRY_BYTES = 100
+#: Places whose scores are held before those out of reach are dropped.
+PLACES_HELD = 1 << 14
 
 
 def zipf_vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -47,44 +55,72 @@ def zipf_vocabulary(model_path: str) -> list[tuple[str, float]]:
 
 
 class UnigramCounter:
-    def __init__(self, vocabulary: list[tuple[str, float]]):
+    def __init__(self, vocabulary: list[tuple[str, float]], remembered_bytes: int = REMEMBERED_BYTES):
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(p) for p, _ in vocabulary)
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
-        self.known: dict[str, int] = {}
+        #: Counts of words: the younger half and the one before it.
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.half, self.held = remembered_bytes // 2, 0
 
     def count_word(self, word: str) -> int:
         """Pieces of the best segmentation of one pre-token."""
         size = len(word)
-        best = [-math.inf] * (size + 1)
-        count = [0] * (size + 1)
-        best[0] = 0.0
-        done = 0  # places up to here are final
+        best, count = [0.0], [0]  # of the places from ``base`` on
+        base = done = 0  # places up to ``done`` are final
+        unset = -math.inf
+
+        def reach(end: int) -> None:
+            nonlocal base
+            if len(best) > PLACES_HELD + self.longest:
+                base += len(best) - self.longest - 1
+                del best[: -self.longest - 1], count[: -self.longest - 1]
+            more = end - base - len(best) + 1
+            if more > 0:
+                best.extend([unset] * more)
+                count.extend([0] * more)
+
+        def settle(end: int) -> None:
+            """A character without a piece of its own may be unknown."""
+            reach(end)
+            at = end - base
+            if word[end - 1] not in self.automaton:
+                total = best[at - 1] + self.unknown
+                if total > best[at]:
+                    best[at], count[at] = total, count[at - 1] + len(word[end - 1].encode())
+
         for last, (length, score) in self.automaton.iter(word):  # longest first at each place
             end = last + 1
             while done < last:
                 done += 1
-                self._settle(word, done, best, count)
-            start = end - length
+                settle(done)
+            reach(end)
+            start = end - length - base
             total = best[start] + score
-            if total > best[end]:
-                best[end], count[end] = total, count[start] + 1
+            if total > best[end - base]:
+                best[end - base], count[end - base] = total, count[start] + 1
             if length == 1:
                 done = end
         while done < size:
             done += 1
-            self._settle(word, done, best, count)
-        return count[size]
-
-    def _settle(self, word: str, end: int, best: list[float], count: list[int]) -> None:
-        """A character without a piece of its own may be unknown."""
-        if word[end - 1] in self.automaton:
-            return
-        total = best[end - 1] + self.unknown
-        if total > best[end]:
-            best[end], count[end] = total, count[end - 1] + len(word[end - 1].encode())
+            settle(done)
+        return count[size - base]
+
+    def _count_known(self, word: str) -> int:
+        """The count of a word that the younger half does not hold."""
+        n = self.old.get(word)
+        if n is None:
+            n = self.count_word(BLANK + word)
+        if len(word) <= LONGEST_REMEMBERED:
+            self.young[word] = n
+            self.held += sys.getsizeof(word) + ENTRY_BYTES
+            if self.held > self.half:
+                self.young, self.old, self.held = {}, self.young, 0
+        return n
 
     def count(self, text: str) -> int:
         if not text:
@@ -92,14 +128,10 @@ class UnigramCounter:
         marked = text.replace(" ", BLANK)
         if not marked.startswith(BLANK):
             marked = BLANK + marked
-        known, total = self.known, 0
+        total = 0
         for word in marked.split(BLANK)[1:]:
-            n = known.get(word)
-            if n is None:
-                n = self.count_word(BLANK + word)
-                if len(known) < REMEMBERED:
-                    known[word] = n
-            total += n
+            n = self.young.get(word)
+            total += self._count_known(word) if n is None else n
         return total
 
 
