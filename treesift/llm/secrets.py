@@ -135,9 +135,13 @@ def all_spans(text: str, count: TokenCounter) -> tuple[list[tuple[int, int, int]
     """(base spans, all spans)."""
     base = base_spans(text)
     more = []
+    at, reach = 0, 0  # base spans that begin before the string's end, and how far they go
     for m in _LONG.finditer(text):
         start, end = m.span()
-        if any(a < end and start < b for a, _, b in base):
+        while at < len(base) and base[at][0] < end:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach > start:
             continue
         if is_secret(m[0], count):
             more.append((start, 3, end))
@@ -149,19 +153,19 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_spans(docs: DataFrame, rank_path: str) -> DataFrame:
-    """(doc_id, text, spans) of every document of ``docs`` (doc_id, text): all spans by
+    """(doc_id, spans) of every document of ``docs`` (doc_id, text): all spans by
     start, then kind as in ``KINDS``; those of kind random are the method's own."""
     bound_batches(docs.sparkSession)
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(span))])
+    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(rank_path)
         for batch in batches:
             found = [all_spans(t, count)[1] for t in batch.column("text").to_pylist()]
-            yield record_batch(schema, batch.column("doc_id"), batch.column("text"), [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x] for x in found])
+            yield record_batch(schema, batch.column("doc_id"), [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x] for x in found])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, text string, spans array<struct<kind: string, start: int, end: int>>")
+    return ids_and_texts(docs).mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: int, end: int>>")
 
 
 def secret_report(docs: DataFrame, rank_path: str) -> DataFrame:
