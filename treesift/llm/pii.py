@@ -406,12 +406,14 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, spans) of every document of ``docs`` (doc_id, text): all spans
-    by kind as in ``KINDS``, then start; ``base`` tells the patterns' from the field's."""
+def find_spans(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """(doc_id, text, spans) of every document of ``docs`` (doc_id, text), or without
+    the text: all spans by kind as in ``KINDS``, then start; ``base`` tells the
+    patterns' from the field's."""
     bound_batches(docs.sparkSession)
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(span))])
+    text = [("text", pa.string())] if with_text else []
+    schema = pa.schema([("doc_id", pa.int64()), *text, ("spans", pa.list_(span))])
     model = weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,21 +423,30 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 base, every = all_spans(text, model)
                 certain = set(base) if every else ()
                 out.append([{"kind": KINDS[k], "start": a, "end": b, "base": (k, a, b) in certain} for k, a, b in every])
-            yield record_batch(schema, batch.column("doc_id"), batch.column("text"), out)
+            yield record_batch(schema, *(batch.column(n) for n in schema.names[:-1]), out)
 
-    return ids_and_texts(docs).mapInArrow(run, f"doc_id long, text string, spans {SPANS}")
+    return ids_and_texts(docs).mapInArrow(run, f"doc_id long, {'text string, ' if with_text else ''}spans {SPANS}")
 
 
 def redacted(found: DataFrame) -> DataFrame:
-    """(doc_id, text) with every span of ``find_spans`` replaced by its kind in brackets."""
-    starts = F.array_sort("spans", lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(y["end"] - x["end"]))
-    begin = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    step = lambda a, s: F.when(
-        s["start"] >= a["at"],
-        F.struct(F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]")).alias("text"), s["end"].alias("at")),
-    ).otherwise(F.struct(a["text"].alias("text"), F.greatest(a["at"], s["end"]).alias("at")))
-    clean = F.aggregate(starts, begin, step, lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return found.select("doc_id", clean.alias("text"))
+    """(doc_id, text) with every span of ``find_spans`` replaced by its kind in
+    brackets; of spans that overlap the one that begins first."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def clean(text: str, spans: list[dict]) -> str:
+        parts, at = [], 0
+        for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+            if s["start"] >= at:
+                parts += [text[at : s["start"]], f"[{s['kind']}]"]
+            at = max(at, s["end"])
+        return "".join([*parts, text[at:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield record_batch(schema, batch.column("doc_id"), [clean(t, s) for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)])
+
+    return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string")
 
 
 def listed(spans: Column) -> Column:
@@ -446,7 +457,7 @@ def listed(spans: Column) -> Column:
 def pii_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every document."""
     base = F.filter("spans", lambda s: s["base"])
-    return find_spans(docs).select(
+    return find_spans(docs, with_text=False).select(
         "doc_id",
         *[F.size(F.filter("spans", _base_of(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(listed(base), 256).alias("base_sha256"),
