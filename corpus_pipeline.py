@@ -14,8 +14,8 @@ from treesift.llm.common import kept, read, tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lose too much to the line rules go."""
-    return quality.quality_kept(docs)
+    """Lines that fail a rule go, and documents that fail the base rules or lose too much so."""
+    return quality.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import collections
 import random
+import re
 
 from tests.llm.helpers import awkward, rows, with_clashes, words
 from treesift.llm import quality
@@ -58,6 +59,54 @@ def test_awkward_rows(spark):
     got = rows(quality.quality_report(with_clashes(docs)), "doc_id", *BASE)
     assert got == sorted(((r["doc_id"], *brute(r["text"])) for r in docs.collect()), key=repr)
     assert not any(r["kept"] for r in quality.quality_report(docs).where("n_words = 0").collect())
-    kept = quality.quality_kept(with_clashes(docs))
+    kept = quality.cleaned(with_clashes(docs))
     assert kept.columns == with_clashes(docs).columns
-    assert quality.quality_report(docs.limit(0)).count() == 0 and quality.cleaned(docs).count() == kept.count()
+    assert quality.quality_report(docs.limit(0)).count() == 0 and quality.cleaned(docs.limit(0)).count() == 0
+    assert kept.count() == quality.quality_report(docs).where("kept").count()
+
+
+def plain_verdict(text):
+    """(lines that stay, kept) by the rules as the module's text states them, one condition after another."""
+    stay, lost, before = [], 0, set()
+    for line in text.split("\n"):
+        w = words(line)
+        n = len(w)
+        if not n:
+            stay.append(line)
+            continue
+        letters = [c for c in line if c.isalpha()]
+        bad = [
+            line in before,
+            sum(c in "#*$%&|<>" for c in line) > max(1, n / 4),
+            line.count("!") > max(2, n / 2) and (sum(c.isupper() for c in letters) > len(letters) / 2 or line.count("!") > n),
+            n >= 10 and (collections.Counter(w).most_common(1)[0][1] > n / 2 or sum(a == b for a, b in zip(w, w[1:])) > n / 2),
+            sum(x in ("|", "›", "»", ">", "/", "•", "·") for x in re.split(r"\s", line)) > max(1, n / 5),
+            n <= 6 and line.rstrip()[-1] not in ".!?…。！？:;\"'”’»)]" and any(x.strip(".,:;|").lower() in quality.MENU_WORDS for x in w),
+            n <= 25 and any(x in line.lower() for x in quality.NOTICES),
+            n > 200 and all(x[-1] not in ".!?…。！？:;" for x in w),
+        ]
+        before.add(line)
+        if any(bad):
+            lost += sum(map(len, w))
+        else:
+            stay.append(line)
+    return stay, not brute(text)[-1] and 100 * lost <= 40 * sum(map(len, words(text)))
+
+
+def test_verdicts_against_the_rules_stated_plainly(spark, sf_dir):
+    from treesift.llm.queries import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    want = {d: plain_verdict(t) for d, t in texts.items()}
+    assert {r["doc_id"]: r["kept"] for r in queries()["op5_quality_rules"](spark, sf_dir).collect()} == {d: k for d, (_, k) in want.items()}
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in quality.cleaned(docs).collect()}
+    assert got == {d: ("\n".join(lines), len("\n".join(lines))) for d, (lines, k) in want.items() if k}
+    assert any(t != texts[d] for d, (t, _) in got.items())
+    rng = random.Random(12)
+    parts = ["Home", "login", "|", ">", "word ", "Word. ", "WORD!! ", "# ", "go go go go go go ", "a1 b2 c3 d4 e5 f6 ", "\n", "\n", "read more ", "» ", "; "]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice(("", " ")) for _ in range(rng.randint(0, 60)))
+        j = quality.judge(text)
+        lines, keep = plain_verdict(text)
+        assert (j.clean_text, j.kept) == ("\n".join(lines), keep), text

@@ -18,7 +18,7 @@ words, and at most 30 of 100 words in eight-word windows that repeat.
 
 Defined results: a null text has no words and fails the base rules.  Repeated
 rows are judged alike; an empty table gives no rows.  The report reads doc_id
-and text alone; ``quality_kept`` keeps all columns.
+and text alone; ``cleaned`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -169,29 +169,22 @@ def quality_report(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame
 
 
 def cleaned(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """(doc_id, text) of the documents kept, without the lines that fail."""
-    bound_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [judge(t, rules) for t in batch.column("text").to_pylist()]
-            keep = pa.array([j.kept for j in found], pa.bool_())
-            yield record_batch(schema, batch.column("doc_id"), [j.clean_text for j in found]).filter(keep)
-
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, text string")
-
-
-def quality_kept(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The rows of ``docs`` that are kept, as they are, with all their columns
-    (names may repeat)."""
+    """The rows of ``docs`` that are kept, with all their columns (names may repeat):
+    ``text`` without the lines that fail, and ``n_chars``, where there is one column
+    of this name and it is a whole number, the characters that are left."""
     bound_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    text = names[docs.columns.index("text")]
+    text = docs.columns.index("text")
     plain = docs.toDF(*names)
+    sized = [i for i, f in enumerate(docs.schema) if f.name == "n_chars" and f.dataType.typeName() in ("long", "integer")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([judge(t or "", rules).kept for t in batch.column(text).to_pylist()], pa.bool_()))
+            found = [judge(t or "", rules) for t in batch.column(text).to_pylist()]
+            columns = list(batch.columns)
+            columns[text] = pa.array([j.clean_text for j in found], batch.schema.field(text).type)
+            if len(sized) == 1:
+                columns[sized[0]] = pa.array([len(j.clean_text) for j in found], batch.schema.field(sized[0]).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([j.kept for j in found], pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
