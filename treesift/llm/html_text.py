@@ -3,17 +3,22 @@
 A page is a sequence of words and tags.  Words score positive and tags
 negative, and one linear scan finds the contiguous region of the highest score:
 the article has many words between few tags, menus and lists of links have not.
-What a tag costs is learned from labelled pages as its log odds of standing
-inside the main text; a tag with a class or id is looked up by these names
-first, so that a paragraph costs next to nothing and the start of a menu a lot.
-
-The region may still hold an advert, a form or a box between two paragraphs,
-or touch the one before it.  So elements whose learned odds, or whose kind in
-HTML, say that they are never main text are taken out of the region, unless
-they are wrapped around what seems to be the text of the whole page.
+What a word and each kind of tag score is learned from labelled pages, so that
+the region of the highest score is the main text of as many of them as can be
+(an averaged perceptron over whole regions, begun from log odds).
+
+The region may hold an advert, a form or a box between two paragraphs.  Such an
+element is a negative subtree: what is learned of its names and its kind is
+added to what is learned of its share of the page's words and of the headings
+and articles in it, and it is left out where the sum is negative.  So a name
+alone decides nothing: an element that is named after a sidebar or is a form,
+but holds the page's text, stays and is left to the scan.  A left-out element
+costs the scan what boxes have been found to cost, whatever is in it.  Only
+elements that never hold text, such as scripts and form controls, go by kind.
 
 The labelled pages are written by a seeded generator in several layouts, from
-semantic elements to plain nested divisions; nothing of the corpus is used.
+semantic elements to nested divisions whose names say nothing; nothing of the
+corpus is used.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by a line feed.  Defined results: a null or empty page, and
@@ -29,6 +34,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -43,24 +49,27 @@ BLOCKS = frozenset(
     "header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 NEVER_TEXT = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea input label fieldset iframe object embed svg math canvas "
-    "audio video map menu dialog datalist meter progress applet noframes".split()
+    "script style noscript template head title button select option optgroup textarea input label legend iframe frame object embed svg math canvas "
+    "audio video map datalist meter progress applet noframes".split()
 )
-#: Elements that may be wrapped around a whole page, and those that show where its main text is.
-WRAPPERS, MAIN = frozenset(("form", "fieldset")), frozenset(("article", "main", "h1"))
 RAW_TEXT = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Names in class and id of what surrounds an article.
-AROUND = frozenset(
+#: Elements whose kind says what they are for; of others only the names tell.
+TELLING = frozenset("nav footer aside form header menu dialog fieldset".split())
+#: Names in class and id of what surrounds an article, and of articles; the labelled pages use them.
+AROUND = (
     "ad ads adv advert adverts advertisement advertising adsbox sponsor sponsored sponsors promo promotion banner banners "
     "nav navbar navigation navigate menu menus breadcrumb breadcrumbs pagination pager toc sidebar side aside widget widgets rail "
     "footer foot bottom copyright colophon masthead topbar toolbar "
     "cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login register paywall "
     "comment comments commentlist disqus respond reply replies discussion "
     "share sharing social follow related recommended recommendations popular trending more outbrain taboola tags taglist "
-    "form search searchbox hidden print skip".split()
-)
+    "form search searchbox hidden print skip"
+).split()
+WITHIN = "content post entry article story body text main prose document".split()
+
 _SPLIT_NAMES = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -68,14 +77,13 @@ _MARKUP = re.compile(r"<(?=[A-Za-z/!?])")
 _STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 TEXT, OPEN, CLOSE = 0, 1, 2
-#: The score of elements in a row that are never main text.
-BOX = -1.5
+WORD, BOX = "#word", "#box"
 
 
 def pieces(page: str) -> list[tuple[int, str, tuple[str, ...]]]:
     """(TEXT, text, ()), (OPEN, tag, names) and (CLOSE, tag, ()) in order; comments
-    and the contents of scripts, styles and the like are left out.  Parts of names
-    such as ``has-sidebar`` stand behind an empty one."""
+    and the contents of scripts, styles and the like are left out.  A name of class,
+    id or role is written ``.site-footer``, its parts ``~site`` and ``~footer``."""
     out: list[tuple[int, str, tuple[str, ...]]] = []
     at, n, tag_of = 0, len(page), _TAG
     while at < n:
@@ -103,17 +111,18 @@ def pieces(page: str) -> list[tuple[int, str, tuple[str, ...]]]:
             out.append((CLOSE, name, ()))
             continue
         attributes = tag[3]
-        whole: list[str] = []
-        parts: list[str] = []
+        names: list[str] = []
         if "=" in attributes:
-            for value in " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().split():
-                own = [x for x in _SPLIT_NAMES.split(value) if x]
-                (parts if len(own) > 1 else whole).extend(own)
+            for value in " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).split():
+                parts = [x for x in _SPLIT_NAMES.split(_CAMEL.sub("-", value).lower()) if x]
+                names.append("." + "-".join(parts))
+                if len(parts) > 1:
+                    names += [f"~{x}" for x in parts]
             if _STYLE_HIDDEN.search(attributes):
-                whole.append("hidden")
+                names.append(".hidden")
         if re.search(r"\shidden(?:\s|=|/?$)", attributes):
-            whole.append("hidden")
-        out.append((OPEN, name, (*whole, "", *parts) if parts else tuple(whole)))
+            names.append(".hidden")
+        out.append((OPEN, name, tuple(names)))
         if name in RAW_TEXT:
             close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
             at = close.start() if close else n
@@ -122,51 +131,41 @@ def pieces(page: str) -> list[tuple[int, str, tuple[str, ...]]]:
     return out
 
 
-def _keys(kind: int, name: str, names: tuple[str, ...]) -> list[str]:
-    """What a tag is looked up by, the most telling first."""
-    if kind == CLOSE:
-        return [f"/{name}"]
-    return [*(f".{x}" for x in names if x), name]
+Item = tuple[int, str, tuple[str, ...]]
 
 
+@dataclass
 class Model:
-    """Scores of tags, the score of a word, and names that never hold main text."""
-
-    def __init__(self, tags: dict[str, float], word: float, around: frozenset[str]):
-        self.tags, self.word, self.around = tags, word, around
+    """What is learned: of each tag, of a word and of a box for the scan; of names and
+    kinds, shares of words and headings for elements that may be boxes."""
 
-    def score(self, kind: int, name: str, names: tuple[str, ...]) -> float:
-        known = [self.tags[k] for k in _keys(kind, name, names) if k in self.tags]
-        return min(known) if known else -0.5
+    tags: dict[str, float]
+    word: float
+    box: float
+    unknown: float
+    names: dict[str, float]
+    shares: list[float]
+    heads: list[float]
 
+    def feature(self, kind: int, name: str, names: tuple[str, ...]) -> str:
+        """The most telling of what is known of a tag."""
+        if kind == CLOSE:
+            return f"/{name}"
+        return min((k for k in (*names, name) if k in self.tags), key=self.tags.__getitem__, default="")
 
-def best_region(items: list[tuple[int, str, tuple[str, ...]]], around: list[bool], model: Model) -> tuple[int, int]:
-    """The contiguous pieces with the highest sum, of equals the longest that
-    begins first.  An element that is never main text costs the same whatever is
-    in it, as it may stand between two paragraphs."""
-    best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, value, names) in enumerate(items):
-        if around[i]:
-            score = 0.0 if i and around[i - 1] else BOX
-        elif kind == TEXT:
-            score = model.word * len(value.split())
-        else:
-            score = model.score(kind, value, names)
-        if total <= 0.0:
-            total, start = 0.0, i
-        total += score
-        if total >= best and total > 0:
-            best, best_at = total, (start, i + 1)
-    return best_at
 
+@dataclass
+class Element:
+    """An element that holds words, and what tells whether it is a box."""
 
-def _is_around(name: str, names: tuple[str, ...], model: Model, inside: bool) -> bool:
-    if name in NEVER_TEXT or name == "header" and not inside:
-        return True
-    return name not in ("html", "body", "main", "article") and any(x in model.around for x in names)
+    start: int
+    end: int
+    names: tuple[str, ...]
+    share: int
+    heads: int
 
 
-def _ends(items: list) -> list[int]:
+def _ends(items: list[Item]) -> list[int]:
     """For each piece that opens an element, just after the element's end.  One that is
     never closed ends where the main text's own element opens, or at the end."""
     ends = [0] * len(items)
@@ -182,59 +181,102 @@ def _ends(items: list) -> list[int]:
     stop = len(items)
     for i in range(len(items) - 1, -1, -1):
         if items[i][0] == OPEN:
-            ends[i] = ends[i] or stop
-            if items[i][1] in MAIN:
+            ends[i] = max(i + 1, ends[i] or stop)
+            if items[i][1] in ("article", "main", "h1"):
                 stop = i
     return ends
 
 
-def around_marks(items: list[tuple[int, str, tuple[str, ...]]], model: Model) -> list[bool]:
-    """For each piece, whether it lies in an element that is never main text.  An
-    element that seems so by its name, but is wrapped around the page's text, is
-    not marked: the scan decides, and only what is in it is marked."""
-    marks = [False] * len(items)
-    ends = _ends(items)
+def elements(items: list[Item], ends: list[int]) -> Iterator[Element]:
+    """The elements whose names or kind may tell that they are boxes, in order.
+    ``share``: up to a twentieth of the page's words, up to half, or more.
+    ``heads``: no heading and article in it, some, many articles without a main
+    heading, or some where others stand outside."""
     words, articles, main, heads = ([0] for _ in range(4))  # numbers before each piece
     for kind, value, _ in items:
         words.append(words[-1] + (len(value.split()) if kind == TEXT else 0))
         articles.append(articles[-1] + (kind == OPEN and value == "article"))
         main.append(main[-1] + (kind == OPEN and value in ("article", "main")))
         heads.append(heads[-1] + (kind == OPEN and value == "h1"))
+    for i, (kind, name, names) in enumerate(items):
+        if kind != OPEN or name in NEVER_TEXT or not names and name not in TELLING or name in ("html", "body"):
+            continue
+        end = ends[i]
+        own_words, own_main, own_heads, own_articles = (x[end] - x[i] for x in (words, main, heads, articles))
+        share = 0 if 20 * own_words <= words[-1] else 1 if 2 * own_words <= words[-1] else 2
+        if not own_main + own_heads:
+            of = 0
+        elif own_articles > 1 and own_articles == own_main and not own_heads:
+            of = 2
+        else:
+            of = 3 if heads[-1] > own_heads or main[-1] > own_main + (name in ("article", "main")) else 1
+        yield Element(i, end, (*names, *([name] if name in TELLING else ())), share, of)
+
 
-    def is_wrapper(i: int, end: int) -> bool:
-        name, names = items[i][1], items[i][2]
-        in_main, in_heads = main[end] - main[i], heads[end] - heads[i]
-        if main[-1] > in_main or heads[-1] > in_heads or name in NEVER_TEXT and name not in WRAPPERS:
-            return False
-        if name == "header" and in_heads:
-            return True
-        n_articles = articles[end] - articles[i]
-        if n_articles > 1 and n_articles == in_main and not in_heads:  # a list, as of comments
-            return False
-        whole = names[: names.index("")] if "" in names else names
-        by_name = any(x in model.around for x in whole)
-        if in_main and not by_name:
-            return True
-        return 2 * (words[end] - words[i]) > words[-1] and (in_main + in_heads > 0 or not by_name)
-
-    i, inside = 0, 0
+def is_box(e: Element, model: Model) -> bool:
+    own = min((model.names[k] for k in e.names if k in model.names), default=0.0)
+    return own < 0.0 and own + model.shares[e.share] + model.heads[e.heads] < 0.0
+
+
+def box_marks(items: list[Item], model: Model) -> list[bool]:
+    """For each piece, whether it lies in an element that never holds text or is a negative subtree."""
+    marks = [False] * len(items)
+    ends = _ends(items)
+    boxes = {e.start for e in elements(items, ends) if is_box(e, model)}
+    i = 0
     while i < len(items):
-        kind, value, names = items[i]
-        if kind != TEXT and value in ("article", "main"):
-            inside = max(0, inside + (1 if kind == OPEN else -1))
-        if kind == OPEN and _is_around(value, names, model, inside > 0) and not is_wrapper(i, max(i + 1, ends[i])):
-            end = max(i + 1, ends[i])
-            marks[i:end] = [True] * (end - i)
-            i = end
+        if items[i][0] == OPEN and (items[i][1] in NEVER_TEXT or i in boxes):
+            marks[i : ends[i]] = [True] * (ends[i] - i)
+            i = ends[i]
         else:
             i += 1
     return marks
 
 
-def main_text(page: str | None, model: Model) -> str:
-    items = pieces(page or "")
-    around = around_marks(items, model)
-    begin, end = best_region(items, around, model)
+def scan_features(items: list[Item], boxes: list[bool], model: Model) -> list[tuple[str, int]]:
+    """(feature, how often) of each piece for the scan.  Boxes in a row count once,
+    by the tag that comes after them: a paragraph, or the end of what they stand in."""
+    out = []
+    known: dict[Item, str] = {}
+    after = ""
+    for i in range(len(items) - 1, -1, -1):
+        item = items[i]
+        kind, value, _ = item
+        if boxes[i]:
+            out.append((BOX, 0) if i and boxes[i - 1] else (BOX + after, 1))
+        elif kind == TEXT:
+            n = len(value.split())
+            out.append((WORD, n))
+            after = WORD if n else after
+        else:
+            feature = known.get(item)
+            if feature is None:
+                feature = known[item] = model.feature(*item)
+            out.append((feature, 1))
+            after = f"/{value}" if kind == CLOSE else value
+    out.reverse()
+    return out
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The contiguous pieces with the highest sum, of equals the longest that begins first."""
+    best, best_at, total, start = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        if total <= 0.0:
+            total, start = 0.0, i
+        total += score
+        if total >= best and total > 0:
+            best, best_at = total, (start, i + 1)
+    return best_at
+
+
+def _scores(features: list[tuple[str, int]], model: Model) -> list[float]:
+    known = {**dict.fromkeys({f for f, _ in features if f.startswith(BOX)}, model.box), **model.tags, WORD: model.word}
+    return [n * known.get(f, model.unknown) for f, n in features]
+
+
+def text_of(items: list[Item], boxes: list[bool]) -> str:
+    """The text of pieces that are in no box, block by block."""
     blocks: list[str] = []
     held: list[str] = []
 
@@ -245,7 +287,7 @@ def main_text(page: str | None, model: Model) -> str:
             if text:
                 blocks.append(text)
 
-    for (kind, value, _), skip in zip(items[begin:end], around[begin:end], strict=True):
+    for (kind, value, _), skip in zip(items, boxes, strict=True):
         if kind != TEXT and value in BLOCKS:
             close()
         elif not skip:
@@ -257,72 +299,194 @@ def main_text(page: str | None, model: Model) -> str:
     return "\n".join(blocks)
 
 
+def main_text(page: str | None, model: Model) -> str:
+    items = pieces(page or "")
+    boxes = box_marks(items, model)
+    begin, end = best_region(_scores(scan_features(items, boxes, model), model))
+    return text_of(items[begin:end], boxes[begin:end])
+
+
 # --- training ------------------------------------------------------------------------------------
 
 
-def _labelled_page(rng: random.Random) -> tuple[str, str, str]:
-    """(before, main, after) of a generated page; the main part is the text wanted
-    with its tags and whatever boxes stand inside it."""
+def labelled_page(rng: random.Random) -> list[tuple[str, bool]]:
+    """A generated page as runs of html, each with whether it is main text.  A third
+    of the layouts name what surrounds the article, the rest is divisions or tables
+    whose names say nothing; some wrap the page in an element named after a box."""
 
     def words(a: int, b: int) -> str:
         return " ".join("".join(rng.choice(("ba", "to", "ri", "en", "sol", "mar")) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(a, b)))
 
-    def links(n: int, wrap: str = "li") -> str:
+    def links(n: int, wrap: str) -> str:
         return "".join(f'<{wrap}><a href="/{words(1, 1)}">{words(1, 2)}</a></{wrap}>' for _ in range(n))
 
-    layout = rng.randrange(4)
-    box = lambda name, text: f'<div class="{name}">{text}</div>'
-    head = f"<html><head><title>{words(3, 9)}</title><style>p{{}}</style><script>x()</script></head><body>"
-    nav = f"<ul>{links(rng.randint(4, 12))}</ul>"
-    nav = f"<nav>{nav}</nav>" if layout < 2 else box(rng.choice(("menu", "nav", "navbar")), nav)
-    top = [nav]
+    layout = rng.randrange(6)
+    named, semantic = layout < 4, layout < 2
+    hashed = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(6))
+
+    def name(of: str) -> str:
+        """A name for an element, plain or as part of a longer one."""
+        if not named:
+            return rng.choice((f"c{hashed()}", f"css-{hashed()}"))
+        shape = rng.randrange(6)
+        return of if shape < 3 else f"{rng.choice(('site', 'page', 'main', 'top', 'left', 'right', 'post', 'entry', 'js'))}-{of}" if shape == 3 else f"{of}-{rng.choice(('box', 'list', 'wrap', 'area', 'inner', '1', 'block'))}" if shape == 4 else f"{of} {hashed()}"
+
+    def box(of: str, inner: str) -> str:
+        return f'<div {rng.choice(("class", "class", "class", "id"))}="{name(of)}">{inner}</div>'
+
+    boxed = lambda a, b: f"<p>{words(a, b)}</p>" if rng.random() < 0.4 else words(a, b)
+    out: list[tuple[str, bool]] = []
+    wrapper = rng.random()
+    page_head = f"<html><head><title>{words(3, 9)}</title><style>p{{}}</style><script>x()</script></head><body>"
+    opened, closed = "", ""
+    if wrapper < 0.18:
+        of, with_ = rng.choice(AROUND), rng.choice(("has", "with", "no", "show", "layout", "page"))
+        value = rng.choice((f"{with_}-{of}", f"{of}-{rng.choice(('open', 'enabled', 'visible', 'layout', 'page', 'area', 'content'))}", f"layout {with_}-{of}", f"{rng.choice(WITHIN)} {of}-{rng.choice(('open', 'closed', 'ready'))}"))
+        opened, closed = f'<div class="{value}">', "</div>"
+    elif wrapper < 0.28:
+        opened, closed = f'<form method="post" id="{rng.choice(("aspnetForm", "form1", "mainForm", hashed()))}">', "</form>"
+    elif wrapper < 0.5:
+        opened, closed = f'<div class="{rng.choice(("wrapper", "container", "page", "site", "outer", hashed()))}">', "</div>"
+    wrap = "li" if rng.random() < 0.6 else rng.choice(("div", "span", "td"))
+    nav = links(rng.randint(4, 12), wrap)
+    nav = f"<ul>{nav}</ul>" if wrap == "li" else nav
+    nav = f"<nav>{nav}</nav>" if semantic else box(rng.choice(("menu", "nav", "navbar", "navigation", "topbar")), nav)
+    before = [nav]
     if rng.random() < 0.5:
-        top.append(f"<header><h2>{words(1, 4)}</h2><p>{words(2, 6)}</p></header>" if layout < 2 else box("masthead", words(2, 6)))
-    for name in rng.sample(("ad", "cookie notice", "breadcrumbs", "banner", "newsletter"), rng.randint(0, 3)):
-        top.append(box(name, words(4, 25)))
-    before = head + "".join(top)
-    paragraphs = [f"<h1>{words(3, 10)}</h1>"] if rng.random() < 0.9 else []
+        inner = f"<h2>{words(1, 3)}</h2>{words(1, 4)}"
+        before.append(f"<header>{inner}</header>" if semantic else box("masthead", f"<div>{inner}</div>"))
+    for of in rng.sample(AROUND, rng.randint(0, 3)):
+        before.append(box(of, boxed(2, 25) if named else f"<div>{words(1, 4)}</div><button>{words(1, 1)}</button>"))
+    content = rng.choice(WITHIN)
+    begin, finish = (("<article>", "</article>"), ("<main><article>", "</article></main>"), (f'<div class="{name(content)}">', "</div>"), (f'<section id="{name(content)}">', "</section>"),
+                     (f'<div class="{name(content)}"><div>', "</div></div>"), (f'<table><tr><td class="{name("x")}">{links(rng.randint(2, 5), "div")}</td><td>', "</td></tr></table>"))[layout]
+    out.append((page_head + opened + "".join(before) + begin, False))
+    title = f"<h1>{words(3, 10)}</h1>"
+    parts = [rng.choice((title, title, f"<header>{title}</header>" if semantic else title))] if rng.random() < 0.9 else []
+    in_divs = layout == 3 or layout == 4 and rng.random() < 0.5
     for _ in range(rng.randint(2, 14)):
         p = words(1, 90)
         if rng.random() < 0.2:
-            p = f"<b>{p}</b>"
+            p = rng.choice((f"<b>{p}</b>", f"<b>{p}", f"<strong>{p}</strong>", f"<span>{p}</span>", f"<i>{p}</i>"))
         if rng.random() < 0.3:
             p += f' <a href="#">{words(1, 3)}</a> <em>{words(1, 3)}</em> {words(2, 20)}'
-        paragraphs.append(rng.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>")).format(p) if layout < 3 else f"<div>{p}</div>")
-    opening, closing = (("<article>", "</article>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div class="post">', "</div>"))[layout]
-    before += opening
-    bottom = []
-    for name in rng.sample(("comments", "related", "share", "sidebar", "ad"), rng.randint(0, 3)):
-        bottom.append(box(name, f"<p>{words(3, 30)}</p>" if name == "comments" else f"<ul>{links(rng.randint(2, 6))}</ul>{words(1, 8)}"))
-    if rng.random() < 0.3:
-        bottom.append(f"<aside>{words(5, 30)}</aside>")
-    if rng.random() < 0.3:
-        bottom.append(f'<form><label>{words(1, 3)}</label><input type="text"><button>{words(1, 1)}</button></form>')
-    bottom.append(f"<footer>&copy; {words(2, 15)}</footer>" if layout < 2 else box("footer", words(3, 15)))
-    return before, "".join(paragraphs), closing + "".join(bottom) + "</body></html>"
+        if rng.random() < 0.2:
+            p += rng.choice((f"<br>{words(1, 20)}", "<br>", f" <code>{words(1, 2)}</code>", '<img src="x">', f"<br/>{words(1, 9)}<br/>"))
+        parts.append(rng.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<h3>{}</h3>", "<ul><li>{}</li></ul>", "<ol><li>{}</li></ol>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>", "<figure><figcaption>{}</figcaption></figure>", "<table><tr><td>{}</td></tr></table>")).format(p) if not in_divs else f"<div>{p}</div>")
+    for i, part in enumerate(parts):
+        out.append((part, True))
+        if named and 0 < i < len(parts) - 1 and rng.random() < 0.06:
+            out.append((rng.choice((box(rng.choice(AROUND), boxed(2, 20)), f"<aside>{words(3, 20)}</aside>", f"<form>{words(1, 4)}<input><button>{words(1, 2)}</button></form>")), False))
+    after = [finish]
+    if named:
+        for of in rng.sample(AROUND, rng.randint(0, 3)):
+            after.append(box(of, f"<ul>{links(rng.randint(2, 6), 'li')}</ul>{words(1, 8)}" if rng.random() < 0.5 else boxed(3, 30)))
+        if rng.random() < 0.3:
+            reader = rng.choice(("<li><article><p>{}</p></article></li>", "<li><p>{}</p></li>", "<div><p>{}</p></div>"))
+            after.append(f'<{rng.choice(("ol", "ul", "div", "section"))} class="{name(rng.choice(("comments", "comment", "commentlist", "replies", "discussion")))}">' + "".join(reader.format(words(3, 40)) for _ in range(rng.choice((1, 3, 6, 30)))) + "</section>")
+            after[-1] = after[-1].replace("</section>", f"</{re.match('<([a-z]+)', after[-1])[1]}>")
+        if rng.random() < 0.3:
+            after.append(f"<aside>{words(5, 30)}</aside>")
+        if rng.random() < 0.3:
+            after.append(f'<form><label>{words(1, 3)}</label>{words(1, 4)}<input type="text"><button>{words(1, 1)}</button></form>')
+    else:
+        after += [box("x", f"<div>{links(rng.randint(3, 9), 'div')}</div>") for _ in range(rng.randint(0, 2))]
+    after.append(f"<footer>&copy; {words(2, 15)}</footer>" if semantic else box("footer", words(3, 15) if named else f"<div>{links(3, 'span')}</div><div>{words(1, 4)}</div>"))
+    out.append(("".join(after) + closed + "</body></html>", False))
+    return out
+
+
+def parsed(page: list[tuple[str, bool]]) -> tuple[list[Item], list[bool]]:
+    """The pieces of a labelled page and their labels."""
+    items: list[Item] = []
+    labels: list[bool] = []
+    for part, is_main in page:
+        own = pieces(part)
+        items += own
+        labels += [is_main] * len(own)
+    return items, labels
+
+
+def _odds(yes: float, no: float) -> float:
+    return math.log((yes + 0.5) / (no + 0.5))
+
+
+def _box_scores(pages: list[tuple[list[Item], list[bool]]]) -> tuple[dict[str, float], list[float], list[float]]:
+    """Log odds of names and kinds to hold main text; and by how much shares of words
+    and headings change these for elements whose names are of boxes."""
+    holds, not_ = Counter(), Counter()
+    seen = []
+    for items, labels in pages:
+        before = [0]
+        for (kind, value, _), label in zip(items, labels, strict=True):
+            before.append(before[-1] + (label and kind == TEXT and bool(value.split())))
+        for e in elements(items, _ends(items)):
+            main = before[e.end] > before[e.start]
+            (holds if main else not_).update(set(e.names))
+            seen.append((e, main))
+    names = {k: _odds(holds[k], not_[k]) for k in holds.keys() | not_.keys() if holds[k] + not_[k] >= 3}
+    shares, heads = [[0, 0] for _ in range(3)], [[0, 0] for _ in range(4)]
+    for e, main in seen:
+        if min((names[k] for k in e.names if k in names), default=0.0) < 0.0:
+            shares[e.share][main] += 1
+            heads[e.heads][main] += 1
+    n = [sum(x[k] for x in shares) for k in (0, 1)]
+    change = lambda counts: [_odds(c[1], c[0]) - _odds(n[1], n[0]) for c in counts]
+    return names, change(shares), change(heads)
 
 
 @lru_cache(1)
-def model(seed: int = 11, n_pages: int = 400) -> Model:
-    """Log odds of each tag, and of a word, to stand inside the main text."""
+def model(seed: int = 11, n_pages: int = 800, rounds: int = 5) -> Model:
+    """Learn from labelled pages; the same pages and order in every process."""
     rng = random.Random(seed)
-    within, without = Counter(), Counter()
-    word_in = word_out = 0
-    for _ in range(n_pages):
-        before, main, after = _labelled_page(rng)
-        for part, counts, is_main in ((before, without, False), (main, within, True), (after, without, False)):
-            for kind, value, names in pieces(part):
-                if kind == TEXT:
-                    n = len(value.split())
-                    word_in, word_out = word_in + n * is_main, word_out + n * (not is_main)
-                else:
-                    counts.update(_keys(kind, value, names))
-    tags = {}
-    for k in within.keys() | without.keys():
-        odds = math.log((within[k] + 0.5) / (without[k] + 0.5))
-        tags[k] = min(-0.01, odds - 1.0 if odds < 1.0 else -0.01)
-    learned = {k[1:] for k in without if k[0] == "." and not within[k] and without[k] >= 20} - {"content", "post"}
-    return Model(tags, math.log((word_in + 1) / (word_out + 1)), AROUND | learned)
+    pages = [parsed(labelled_page(rng)) for _ in range(n_pages)]
+    names, shares, heads = _box_scores(pages)
+    tags_in, tags_out = Counter(), Counter()
+    words = [0, 0]
+    for items, labels in pages:
+        for (kind, value, own), label in zip(items, labels, strict=True):
+            if kind == TEXT:
+                words[label] += len(value.split())
+            else:
+                (tags_in if label else tags_out).update((f"/{value}",) if kind == CLOSE else (*own, value))
+    tags = {k: min(-0.01, _odds(tags_in[k], tags_out[k])) for k in tags_in.keys() | tags_out.keys() if tags_in[k] + tags_out[k] >= 3}
+    out = Model(tags, max(0.05, _odds(words[1], words[0])), -1.0, min(-0.01, _odds(tags_in.total(), tags_out.total())), names, shares, heads)
+
+    # regions of the highest score should be the labelled ones
+    weights = {**out.tags, WORD: out.word, BOX: out.box, "": out.unknown}
+    box_in, box_out = Counter(), Counter()
+    late, steps = Counter(), 0  # each change times the steps before it, for the mean over all steps
+    ready = []
+    for items, labels in pages:
+        features = scan_features(items, box_marks(items, out), out)
+        first, last = labels.index(True), len(labels) - labels[::-1].index(True)
+        ready.append((features, first, last))
+        for i, (f, n) in enumerate(features):
+            if n and f.startswith(BOX):
+                (box_in if first <= i < last else box_out)[f] += 1
+    weights |= {f: min(-0.01, _odds(box_in[f], box_out[f])) for f in box_in.keys() | box_out.keys()}
+    weights[BOX] = min(-0.01, _odds(box_in.total(), box_out.total()))
+    for _ in range(rounds):
+        for features, first, last in ready:
+            begin, end = best_region([n * weights.get(f, weights[""]) for f, n in features])
+            lost, gained = features[first:last], features[begin:end]
+            change = Counter()
+            for f, n in lost:
+                change[f] += n
+            for f, n in gained:
+                change[f] -= n
+            for f, n in change.items():
+                if n:
+                    k = f if f in weights else ""
+                    moved = weights[k] + 0.02 * max(-5, min(5, n))
+                    moved = max(0.05, moved) if k == WORD else min(-0.01, moved)
+                    late[k] += steps * (moved - weights[k])
+                    weights[k] = moved
+            steps += 1
+    mean = {k: w - late[k] / max(1, steps) for k, w in weights.items()}
+    out.word, out.box, out.unknown = mean.pop(WORD), mean.pop(BOX), mean.pop("")
+    out.tags = mean
+    return out
 
 
 def page_report(pages: DataFrame) -> DataFrame:
