@@ -1,7 +1,11 @@
 import itertools
 import random
+import tracemalloc
+import types
 
-from treesift.llm import url_filter
+import pytest
+
+from treesift.llm import common, url_filter
 
 RULES = (*url_filter.RULES, ("a.b/x", "block"), ("b/x/y", "allow"), ("A.B/x/", "allow"))
 LISTED = ("bad.com/", "c/xy", "b/")
@@ -51,3 +55,36 @@ def test_empty_tables(spark):
     (row,) = url_filter.url_report(pages, files).collect()
     assert (row["page_id"], row["rule"], row["verdict"]) == (None, None, "allow")
     assert url_filter.url_report(pages.limit(0), files).count() == 0
+
+
+def test_very_long_urls(spark):
+    long = ["http://" + "a." * 500_000 + "net/", "http://b/" + "x/" * 500_000, "http://" + "a" * 1_000_000, "x" * 1_000_000, "http://" + "b." * 500_000 + "bad.com/?" + "y" * 1000]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(long)], "page_id long, url string")
+    files = url_filter.publish(url_filter.entries(spark, RULES, LISTED))
+    tracemalloc.start()
+    array = url_filter.DigestArray(files)
+    for u in long:
+        assert sum(map(len, array.candidates(*url_filter.host_and_path(u)))) < 1000
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+    for r in url_filter.url_report(pages, files).collect():
+        assert (r["host"], r["path"], r["rule"], r["verdict"], r["listed"]) == brute(long[r["page_id"]])
+
+
+def test_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "ENTRIES_IN_PART", 40)
+    listed = [f"h{i}.com/" for i in range(500)] + [f"h{i}.com/a" for i in range(0, 500, 7)]
+    for bits in (64, 4):
+        files = url_filter.publish(url_filter.entries(spark, (), listed), bits)
+        assert len(files.names) > 5
+        pages = spark.createDataFrame([(i, f"http://www.h{i}.com/abc") for i in range(600)], "page_id long, url string")
+        for r in url_filter.url_report(pages, files).collect():
+            i = r["page_id"]
+            assert r["listed"] == (None if i >= 500 else f"h{i}.com/a" if i % 7 == 0 else f"h{i}.com/"), i
+
+
+def test_no_folder_of_our_own_on_a_cluster():
+    conf = types.SimpleNamespace(get=lambda key, default=None: default)
+    context = types.SimpleNamespace(master="spark://somewhere:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(types.SimpleNamespace(conf=conf, sparkContext=context))

@@ -28,8 +28,9 @@ def tokenizer_file(name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share, as the cluster names it.
 
-    A folder of our own is made only where ``spark.checkpoint.dir`` is unset,
-    as it is in tests.
+    A folder of our own is made only where ``spark.checkpoint.dir`` is unset and
+    the driver runs all tasks itself, as in tests; on a cluster it would be another
+    folder on every machine, so there an unset one is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -38,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="treesift-"))
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='treesift-')}")
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 

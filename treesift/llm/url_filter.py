@@ -3,13 +3,17 @@
 A list entry is a host and the beginning of a path, written together
 (``example.net/en/``).  It fits its host and all subdomains, if the url's path
 begins with the entry's.  The list is an array of 64-bit xxhash keys in order,
-with a table of the full strings beside it, as files that each executor fetches
-once and maps into memory; a worker touches the pages that its probes need.
-
-For a batch of urls, every string that an entry could equal is made (each
-suffix of the host, with the path's beginnings of the lengths that the list
-has), hashed, and probed in one vectorised binary search.  A key that is found
-counts only if the stored string is equal.
+with a table of the full strings beside it.  Spark deals the list out by ranges
+of keys, and each task writes its part as files into the shared folder; nothing
+of it goes through the driver but a line for each part.  Workers map the files
+into memory, so that they touch only the pages that their probes need (from a
+store that is not mounted a worker copies them first).
+
+For a batch of urls, every string that an entry could equal is made (suffixes
+of the host and beginnings of the path, of the pairs of lengths that the list
+has, so that a long url makes no more than a short one), hashed, and probed in
+one vectorised binary search.  A key that is found counts only if the stored
+string is equal.
 
 Rules and the block list are entries of the same array: of the rules that fit
 the longest wins (then the one that sorts first); without a rule a url is
@@ -22,7 +26,6 @@ none; other columns are not read.
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
@@ -32,15 +35,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
+from pyarrow.fs import FileSystem, LocalFileSystem, copy_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treesift.llm.common import bound_batches, record_batch
+from treesift.llm.common import bound_batches, fresh_path, kept, record_batch
 
 #: The seed of Spark's own xxhash64, so that Spark can make and sort the keys.
 SEED = 42
 ALLOW, BLOCK, LISTED = 0, 1, 2
+#: Entries that one part of the array holds, about, and the files of a part.
+ENTRIES_IN_PART = 2_000_000
+KINDS_OF_FILES = ("keys", "ends", "strings")
 #: The rules of the query.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: The block list of the query: sites of advertising, adult content, betting, pills and links.
@@ -69,12 +75,13 @@ def key_of(text: str, bits: int = 64) -> int:
 
 @dataclass(frozen=True)
 class DigestFiles:
-    """Names of the files that executors fetch, and the lengths of paths in the list."""
+    """Where the parts of the array are, the least key of each, and for each length of
+    a host in the list the lengths of the paths beside it."""
 
-    keys: str
-    offsets: str
-    strings: str
-    path_lengths: tuple[int, ...]
+    folder: str
+    names: tuple[str, ...]
+    least: tuple[int, ...]
+    shapes: dict[int, tuple[int, ...]]
     bits: int = 64
 
 
@@ -85,62 +92,80 @@ def entries(spark: SparkSession, rules=RULES, block_list=BLOCK_LIST) -> DataFram
 
 
 def publish(table: DataFrame, bits: int = 64) -> DigestFiles:
-    """Sort the list by key on Spark, stream it into files, and offer these to all executors."""
+    """Sort the list (entry, kind) by key on Spark and write it in parts to the shared folder."""
     spark = table.sparkSession
     host, path = F.substring_index("entry", "/", 1), F.expr("substring(entry, length(substring_index(entry, '/', 1)) + 1)")
     ready = table.where("entry is not null").select(F.concat(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path).alias("entry"), "kind").distinct()
-    lengths = tuple(sorted(r[0] for r in ready.select(F.length("entry") - F.length(F.substring_index("entry", "/", 1))).distinct().collect()))
-    folder, tag = tempfile.mkdtemp(prefix="digests-"), uuid.uuid4().hex
-    names = [f"{tag}.{x}" for x in ("keys", "offsets", "strings")]
-    at = 0
-    with open(f"{folder}/{names[0]}", "wb") as keys, open(f"{folder}/{names[1]}", "wb") as offsets, open(f"{folder}/{names[2]}", "wb") as strings:
-        offsets.write(np.int64(0).tobytes())
-        for row in ready.orderBy(F.xxhash64("entry"), "entry", "kind").toLocalIterator():
-            data = bytes([row["kind"]]) + row["entry"].encode()
-            at += len(data)
-            keys.write(np.uint64(key_of(row["entry"], bits)).tobytes())
-            offsets.write(np.int64(at).tobytes())
-            strings.write(data)
-    for name in names:
-        spark.sparkContext.addFile(f"{folder}/{name}")
-    return DigestFiles(*names, lengths, bits)
-
-
-def _mapped(name: str, dtype) -> np.ndarray:
-    path = SparkFiles.get(name)
-    return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+    ready = kept(ready, "entries")
+    shapes: dict[int, tuple[int, ...]] = {}
+    for r in ready.select(F.length(host).alias("h"), F.length(path).alias("p")).distinct().orderBy("h", "p").collect():  # pairs of lengths
+        shapes[r["h"]] = (*shapes.get(r["h"], ()), r["p"])
+    folder = fresh_path(spark, "digests")
+    parts = 1 + ready.count() // ENTRIES_IN_PART
+    dealt = ready.repartitionByRange(parts, F.xxhash64("entry")).sortWithinPartitions(F.xxhash64("entry"), "entry", "kind").withColumn("part", F.spark_partition_id())
+    schema = pa.schema([("part", pa.int32()), ("name", pa.string()), ("least", pa.decimal128(20, 0))])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ends, strings = [], [np.zeros(1, np.int64)], []
+        at, part = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column("part")[0].as_py()
+            rows = [bytes([k]) + e.encode() for e, k in zip(batch.column("entry").to_pylist(), batch.column("kind").to_pylist(), strict=True)]
+            keys.append(np.fromiter((key_of(r[1:].decode(), bits) for r in rows), np.uint64, len(rows)))
+            ends.append(at + np.cumsum([len(r) for r in rows], dtype=np.int64))
+            at += sum(map(len, rows))
+            strings += rows
+        if at:
+            name, (store, root) = uuid.uuid4().hex, FileSystem.from_uri(folder)  # a name of its own for every attempt
+            store.create_dir(root, recursive=True)
+            for kind, data in zip(KINDS_OF_FILES, (np.concatenate(keys).tobytes(), np.concatenate(ends).tobytes(), b"".join(strings)), strict=True):
+                with store.open_output_stream(f"{root}/{name}.{kind}") as out:
+                    out.write(data)
+            yield record_batch(schema, [part], [name], [int(keys[0][0])])
+
+    written = sorted((r["part"], r["name"], int(r["least"])) for r in dealt.mapInArrow(write, "part int, name string, least decimal(20,0)").collect())
+    return DigestFiles(folder, tuple(n for _, n, _ in written), tuple(k for _, _, k in written), shapes, bits)
 
 
 class DigestArray:
     def __init__(self, files: DigestFiles):
-        self.keys, self.offsets = _mapped(files.keys, np.uint64), _mapped(files.offsets, np.int64)
-        self.strings, self.path_lengths, self.bits = _mapped(files.strings, np.uint8), files.path_lengths, files.bits
+        self.shapes, self.bits = files.shapes, files.bits
+        self.least = np.array(files.least, np.uint64)
+        store, root = FileSystem.from_uri(files.folder)
+        if not isinstance(store, LocalFileSystem):
+            local = tempfile.mkdtemp(prefix="digests-")  # a copy for this worker alone
+            copy_files(root, local, source_filesystem=store)
+            root = local
+        self.parts = [tuple(np.memmap(f"{root}/{n}.{k}", t, "r") for k, t in zip(KINDS_OF_FILES, (np.uint64, np.int64, np.uint8), strict=True)) for n in files.names]
 
     def candidates(self, host: str, path: str) -> list[str]:
         """Every string that an entry would have to equal to fit."""
         out = []
-        begins = [path[:n] for n in self.path_lengths if n <= len(path)]
-        at = 0
-        while host and begins:
-            out += [host[at:] + p for p in begins]
-            at = host.find(".", at) + 1
-            if not at:
-                break
+        for length, paths in self.shapes.items():
+            at = len(host) - length
+            if at == 0 or at > 0 and host[at - 1] == ".":
+                out += [host[at:] + path[:n] for n in paths if n <= len(path)]
         return out
 
     def find(self, texts: list[str]) -> list[tuple[int, int]]:
         """(place in ``texts``, kind) of every entry that equals one of them."""
-        if not texts or not len(self.keys):
+        if not texts or not self.parts:
             return []
         keys = np.fromiter((key_of(t, self.bits) for t in texts), np.uint64, len(texts))
-        first, last = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
         out = []
-        for i in np.flatnonzero(last > first).tolist():
-            want = texts[i].encode()
-            for j in range(int(first[i]), int(last[i])):  # more than one where keys collide
-                stored = self.strings[self.offsets[j] : self.offsets[j + 1]].tobytes()
-                if stored[1:] == want:
-                    out.append((i, stored[0]))
+        low, high = np.searchsorted(self.least, keys, "left"), np.searchsorted(self.least, keys, "right")
+        for p, (stored_keys, ends, strings) in enumerate(self.parts):
+            mine = np.flatnonzero((np.maximum(low, 1) - 1 <= p) & (p < high))  # more than one part where equal keys are dealt to several
+            first, last = np.searchsorted(stored_keys, keys[mine], "left"), np.searchsorted(stored_keys, keys[mine], "right")
+            for k in np.flatnonzero(last > first).tolist():
+                i = int(mine[k])
+                want = texts[i].encode()
+                for j in range(int(first[k]), int(last[k])):  # more than one where keys collide
+                    stored = strings[ends[j] : ends[j + 1]].tobytes()
+                    if stored[1:] == want:
+                        out.append((i, stored[0]))
         return out
 
 
@@ -148,9 +173,9 @@ _open: dict[str, DigestArray] = {}
 
 
 def _array(files: DigestFiles) -> DigestArray:
-    if files.keys not in _open:
-        _open[files.keys] = DigestArray(files)
-    return _open[files.keys]
+    if files.folder not in _open:
+        _open[files.folder] = DigestArray(files)
+    return _open[files.folder]
 
 
 def url_report(pages: DataFrame, files: DigestFiles) -> DataFrame:
