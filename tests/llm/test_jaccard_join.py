@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import ascii_lower, awkward, documents, rows, with_clashes, words
@@ -70,6 +72,46 @@ def test_lists_too_long_for_pairs(spark, monkeypatch):
     check(spark, near_copies(9, 50, 100, 4))
 
 
+def test_hot_shingles_are_one_entry_of_a_block():
+    """A passage in all documents is dealt out once for each block, whatever its documents."""
+    rng = np.random.default_rng(3)
+    for n_docs in (50, 500):
+        own = [np.unique(np.concatenate([np.arange(100, 140, dtype=np.uint64) << np.uint64(50), rng.integers(0, 1 << 60, 20, dtype=np.uint64)])) for _ in range(n_docs)]
+        n = np.array([len(x) for x in own])
+        rows_ = jaccard_join.block_rows(np.concatenate(own), n, np.arange(n_docs), n, 5, 96, 60).to_pylist()
+        often = np.concatenate([jaccard_join.unpack_sorted(r["often"]) for r in rows_])
+        runs = np.concatenate([jaccard_join.unpack(r["runs"], np.uint32) for r in rows_])
+        assert len(often) == 40 and (runs == n_docs).all()
+        assert sum(len(jaccard_join.unpack_sorted(r["tokens"])) for r in rows_) == 20 * n_docs
+        assert sum(r["home"] is not None for r in rows_) == 1
+
+
+def test_cost_of_a_block_does_not_grow_with_the_number_of_ranges():
+    rng = np.random.default_rng(4)
+    tokens = np.unique(rng.integers(0, 1 << 60, 200_000, dtype=np.uint64))
+    n = np.full(len(tokens) // 100, 100)
+    tokens = tokens[: n.sum()]
+    sets = np.concatenate([np.sort(x) for x in np.split(rng.permutation(tokens), len(n))])
+    took = {}
+    for n_ranges in (96, 80_000, 8_000_000):
+        began = time.process_time()
+        batch = jaccard_join.block_rows(sets, n, np.arange(len(n)), n, 7, n_ranges, 60)
+        took[n_ranges] = time.process_time() - began
+        assert batch.num_rows <= min(n_ranges, len(tokens) + 1)
+    assert took[8_000_000] < 20 * len(tokens) * 1e-6 + 5, took
+
+
+def test_boilerplate_in_all_documents(spark, monkeypatch):
+    """One shingle sequence that all share, in short and long documents, beside near copies."""
+    monkeypatch.setattr(jaccard_join, "SHARE_LIST", 10)
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 4)
+    rng = random.Random(8)
+    boiler = " ".join(f"b{i}" for i in range(8))
+    texts = {i: f"{boiler} " + " ".join(f"u{rng.randint(0, 40)}" for _ in range(rng.choice((0, 1, 2, 8)))) for i in range(70)}
+    texts |= {100 + i: f"{t} {boiler}" for i, t in near_copies(3, 15, 60, 2).items()}
+    check(spark, texts)
+
+
 def test_query_against_brute_force(spark, sf_dir):
     from treesift.llm.queries import queries
 

@@ -3,8 +3,10 @@
 Two documents link when the sets of their distinct five-word shingles have a
 Jaccard similarity of 0.8 or more.  The steps:
 
-1. Shingles are hashed and dealt out by hash range in packed, sorted blocks,
-   so every shingle's document frequency is counted over all documents.
+1. Shingles are hashed, and blocks of documents deal them out by hash range in
+   packed, sorted rows, so every shingle's document frequency is counted over all
+   documents.  A shingle that several documents of a block have is counted in the
+   block first and dealt out once, so the hottest one is one entry of each block.
 2. Each document learns which of its shingles occur elsewhere.  With the order
    "rarest first", a document of n shingles must share one of its first
    ``n - ceil(0.8 n) + 1`` shingles with any partner; if so many of its
@@ -13,10 +15,12 @@ Jaccard similarity of 0.8 or more.  The steps:
    frequencies say that this is cheaper: a pair of short lists is then verified
    only if it shares at least the smaller ``ell`` of the two in its prefixes.
    Pivots, and pairs of long lists in the last turn, are verified on one.
-4. Documents with equal sets become one class.  Within the list of a prefix
+4. Documents with equal sets become one class, known by the number of one of its
+   rows; sets are equal if two independent 64-bit sums and the sizes are.  Within the list of a prefix
    shingle, classes are compared with a pivot first; what the pivot links needs
    no further comparison, as only components are asked for.  Pairs that are
-   left are formed only across components, and every one of them is verified.
+   left are formed only across components, long lists in several shares, and
+   every one of them is verified.
 5. Verified links are joined into components.
 
 Defined results: null or blank text: no shingles, linked with nothing.  Rows
@@ -44,78 +48,128 @@ from treesift.llm.components import components
 from treesift.llm.hashed_words import mix, shingle_sets
 
 #: Bits of a shingle's hash.  Two different shingles of a pair meet by chance
-#: with a probability of their numbers' product over 2 ** BITS.
-BITS = 48
+#: with a probability of their numbers' product over 2 ** BITS; sizes of sets are of 64.
+BITS = 60
 #: Shingles that one block range holds and that one map-side block gathers.
 RANGE_SHINGLES = 2_000_000
 BLOCK_SHINGLES = 1_500_000
+#: Documents that one block holds at most, so that a row's number in it takes 20 bits.
+BLOCK_ROWS = 500_000
 #: Lists up to this length give all pairs across components at once.
 SHORT_LIST = 24
+#: Lists over this length are dealt out in shares of it before pairs are formed.
+SHARE_LIST = 2_000
 #: Rounds in which long lists are compared with one pivot before all pairs
 #: across components are formed.
 PIVOT_ROUNDS = 4
 MOST_MATCHES = 8
 #: Parts of the token space in which each set's tokens are counted, to bound overlaps.
 PARTS = 32
+#: Values that are packed without compression.
+FEW = 32
+_PLAIN = {size: bytes([128 + size]) for size in (4, 8)}
 NO_ID = np.iinfo(np.int64).max
 
-_BLOCK = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+_ROW = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary()), ("often", pa.binary()), ("runs", pa.binary()), ("home", pa.binary())])
+_ROW_DDL = "range int, block long, tokens binary, owners binary, often binary, runs binary, home binary"
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Values as byte planes, compressed; small or sorted ones shrink most."""
+    """Values as byte planes, compressed, as small or sorted ones shrink most; few as they are."""
     size = values.dtype.itemsize
+    if len(values) <= FEW:
+        return _PLAIN[size] + values.tobytes()
     return bytes([size]) + zstandard.compress(values.view(np.uint8).reshape(-1, size).T.tobytes(), 1)
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
+    if data[0] > 128:
+        return np.frombuffer(data, dtype, offset=1)
     planes = np.frombuffer(zstandard.decompress(data[1:], max_output_size=1 << 31), np.uint8)
     return np.ascontiguousarray(planes.reshape(data[0], -1).T).view(dtype).ravel()
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
+    if len(values) <= FEW:
+        return pack(values)
     return pack(np.diff(values, prepend=values.dtype.type(0)))
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+    values = unpack(data, np.uint64)
+    return values if data[0] > 128 else np.cumsum(values, dtype=np.uint64)
+
+
+def _packed_home(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit numbers in one value."""
+    parts = [pack(np.asarray(a).astype(np.uint64)) for a in arrays]
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _unpacked_home(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(unpack(data[at + 8 : at + 8 + n], np.uint64))
+        at += 8 + n
+    return out
+
+
+def block_rows(sets: np.ndarray, n: np.ndarray, ids: np.ndarray, sizes: np.ndarray, block: int, n_ranges: int, bits: int) -> pa.RecordBatch:
+    """One block of documents as rows for the ranges that it has shingles in: those of
+    one document with their owners, and those of several with their numbers only.
+    The block's home row keeps what is needed to put the answers together: ids, sizes
+    and the owners of shingles of several documents.  ``n``: shingles of each document."""
+    owners = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+    order = np.argsort(sets, kind="stable")
+    tokens, owners = sets[order], owners[order]
+    first = np.ones(len(tokens), bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    starts = np.flatnonzero(first)
+    runs = np.diff(np.append(starts, len(tokens)))
+    several = runs > 1
+    once, often, often_runs = starts[~several], tokens[starts[several]], runs[several].astype(np.uint32)
+    in_often = np.repeat(several, runs)
+    tokens_once, owners_once = tokens[once], owners[once]
+    range_of = lambda t: np.minimum((t.astype(np.float64) * (n_ranges / 2.0**bits)).astype(np.int64), n_ranges - 1)
+    of_once, of_often = range_of(tokens_once), range_of(often)
+    home = block % n_ranges
+    used = np.union1d(np.union1d(of_once, of_often), [home])
+    a, b = np.searchsorted(of_once, used, "left"), np.searchsorted(of_once, used, "right")
+    c, d = np.searchsorted(of_often, used, "left"), np.searchsorted(of_often, used, "right")
+    rows: dict[str, list] = {k: [] for k in _ROW.names}
+    for r, i, j, k, m in zip(used.tolist(), a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True):
+        own = _packed_home(ids.view(np.uint64), n, sizes, owners[in_often], often_runs) if r == home else None
+        values = (r, block, pack_sorted(tokens_once[i:j]), pack(owners_once[i:j]), pack_sorted(often[k:m]), pack(often_runs[k:m]), own)
+        for name, v in zip(_ROW.names, values, strict=True):
+            rows[name].append(v)
+    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _ROW], schema=_ROW)
 
 
 def _blocks(n_ranges: int, width: int, bits: int):
-    def flush(sets: list[np.ndarray], ids: list[np.ndarray], sizes: list[np.ndarray], number: int) -> pa.RecordBatch:
-        n = np.concatenate(sizes)
-        tokens = np.concatenate(sets)
-        owners = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-        order = np.argsort(tokens)
-        tokens, owners = tokens[order], owners[order]
-        bounds = np.searchsorted(tokens, (np.arange(n_ranges + 1, dtype=np.float64) * (2.0**bits / n_ranges)).astype(np.uint64))
-        bounds[0], bounds[-1] = 0, len(tokens)
-        block = (TaskContext.get().partitionId() << 24) + number
-        rows = {k: [] for k in _BLOCK.names}
-        home = block % n_ranges
-        for r in range(n_ranges):
-            a, b = bounds[r], bounds[r + 1]
-            if a == b and r != home:
-                continue
-            values = (r, block, pack_sorted(tokens[a:b]), pack(owners[a:b]), *((pack(np.concatenate(ids)), pack(n.astype(np.uint32))) if r == home else (None, None)))
-            for k, v in zip(_BLOCK.names, values, strict=True):
-                rows[k].append(v)
-        return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _BLOCK], schema=_BLOCK)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list] = ([], [], [])
-        n_held, number = 0, 0
+        held: list[tuple] = []
+        n_held = n_rows = number = 0
+
+        def flush() -> pa.RecordBatch:
+            block = (TaskContext.get().partitionId() << 24) + number
+            return block_rows(*(np.concatenate(x) for x in zip(*held, strict=True)), block, n_ranges, bits)
+
         for batch in batches:
-            sets, at = shingle_sets(batch.column("text"), width, bits)
-            held[0].append(sets)
-            held[1].append(batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))
-            held[2].append(np.diff(at))
-            n_held += len(sets)
-            if n_held >= BLOCK_SHINGLES:
-                yield flush(*held, number)
-                held, n_held, number = ([], [], []), 0, number + 1
-        if held[1]:
-            yield flush(*held, number)
+            sets, at = shingle_sets(batch.column("text"), width)
+            sizes = np.diff(at)
+            cut = sets >> np.uint64(64 - bits)
+            same = np.zeros(len(cut), bool)  # shingles of one document that only the bits cut off tell apart
+            same[1:] = cut[1:] == cut[:-1]
+            same[at[:-1][at[:-1] < len(cut)]] = False
+            n = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[same], minlength=len(sizes))
+            held.append((cut[~same], n, batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False), sizes))
+            n_held, n_rows = n_held + len(cut), n_rows + len(sizes)
+            if n_held >= BLOCK_SHINGLES or n_rows >= BLOCK_ROWS:
+                yield flush()
+                held, n_held, n_rows, number = [], 0, 0, number + 1
+        if held:
+            yield flush()
 
     return run
 
@@ -123,23 +177,26 @@ def _blocks(n_ranges: int, width: int, bits: int):
 def _count_range(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one hash range: for each block, what occurs in more than one document, and how often."""
     tokens = [unpack_sorted(x) for x in rows["tokens"]]
-    lengths = [len(x) for x in tokens]
-    every = np.concatenate(tokens)
+    often = [unpack_sorted(x) for x in rows["often"]]
+    weights = [unpack(x, np.uint32) for x in rows["runs"]]
+    lengths = [len(x) for x in tokens + often]
+    every = np.concatenate(tokens + often)
+    weight = np.concatenate([np.ones(sum(map(len, tokens)), np.uint32), *weights])
     order = np.argsort(every, kind="stable")
     ranked = every[order]
     new = np.ones(len(ranked), bool)
     new[1:] = ranked[1:] != ranked[:-1]
-    runs = np.diff(np.append(np.flatnonzero(new), len(ranked)))
+    starts = np.flatnonzero(new)
+    sums = np.add.reduceat(weight[order], starts) if len(starts) else weight
     counts = np.empty(len(ranked), np.uint32)
-    counts[order] = np.repeat(runs, runs)
-    out, begin = [], 0
-    for length, own, row in zip(lengths, tokens, rows.itertuples(index=False), strict=True):
-        c = counts[begin : begin + length]
-        begin += length
+    counts[order] = np.repeat(sums, np.diff(np.append(starts, len(ranked))))
+    parts = np.split(counts, np.cumsum(lengths)[:-1])
+    out = []
+    for own, more_own, c, d, row in zip(tokens, often, parts[: len(rows)], parts[len(rows) :], rows.itertuples(index=False), strict=True):
         more = c > 1
-        if more.any() or row.ids is not None:
-            out.append((row.block, pack_sorted(own[more]), pack(unpack(row.owners, np.uint32)[more]), pack(c[more]), row.ids, row.sizes))
-    return pd.DataFrame(out, columns=["block", "tokens", "owners", "counts", "ids", "sizes"])
+        if more.any() or len(more_own) or row.home is not None:
+            out.append((row.range, row.block, pack_sorted(own[more]), pack(unpack(row.owners, np.uint32)[more]), pack(c[more]), row.often if len(more_own) else None, pack(d), row.home))
+    return pd.DataFrame(out, columns=["range", "block", "tokens", "owners", "counts", "often", "sums", "home"])
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -164,47 +221,51 @@ def _choose_matches(costs: np.ndarray, base: int, unseen: int, n: int) -> int:
 
 def _gather_block(percent: int):
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        home = rows[rows["ids"].notna()].iloc[0]
-        ids, sizes = unpack(home["ids"], np.int64), unpack(home["sizes"], np.uint32).astype(np.int64)
-        tokens = np.concatenate([unpack_sorted(x) for x in rows["tokens"]])
-        owners = np.concatenate([unpack(x, np.uint32) for x in rows["owners"]])
-        counts = np.concatenate([unpack(x, np.uint32) for x in rows["counts"]])
+        rows = rows.sort_values("range")
+        ids, held, sizes, owners_often, runs = _unpacked_home(rows["home"].dropna().iloc[0])
+        ids, sizes = ids.view(np.int64), sizes.astype(np.int64)
+        with_often = rows[rows["often"].notna()]
+        often = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x) for x in with_often["often"])])
+        sums = np.concatenate([np.zeros(0, np.uint32), *(unpack(x, np.uint32) for x in with_often["sums"])])
+        runs = runs.astype(np.int64)
+        tokens = np.concatenate([*(unpack_sorted(x) for x in rows["tokens"]), np.repeat(often, runs)])
+        owners = np.concatenate([*(unpack(x, np.uint32) for x in rows["owners"]), owners_often.astype(np.uint32)])
+        counts = np.concatenate([*(unpack(x, np.uint32) for x in rows["counts"]), np.repeat(sums, runs)])
         seen = np.bincount(owners, minlength=len(ids))
         order = np.lexsort((tokens, counts, owners))
         tokens, counts = tokens[order].astype(np.int64), counts[order]
         ends = np.cumsum(seen)
-        number = np.uint64(home["block"]) << np.uint64(20)
+        number = int(rows["block"].iloc[0]) << 20
         out = []
-        for i, (doc, n) in enumerate(zip(ids.tolist(), sizes.tolist(), strict=True)):
-            base, unseen = n - least_overlap(n, percent) + 1, n - int(seen[i])
+        for i, (doc, n, n_held) in enumerate(zip(ids.tolist(), sizes.tolist(), held.astype(np.int64).tolist(), strict=True)):
+            base, unseen = n - least_overlap(n, percent) + 1, n_held - int(seen[i])
             if not n or unseen >= base:
-                out.append((doc, n, None, None, None, None, None))
+                out.append((number + i, doc, n, None, None, None, None, None))
                 continue
             own, c = tokens[ends[i] - seen[i] : ends[i]], counts[ends[i] - seen[i] : ends[i]]
             ell = _choose_matches(c, base, unseen, n)
-            key = mix(np.sort(own).view(np.uint64) + np.arange(1, len(own) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            mark = np.array([key.sum(dtype=np.uint64)]) + np.uint64(n)
-            if unseen:  # it has shingles that no other document has, so it equals none
-                mark += mix(np.array([number + np.uint64(i)]))
-            mark = int(mix(mark)[0])
-            out.append((doc, n, mark >> 1, ell, own[: base + ell - 1 - unseen], own, np.bincount(own % PARTS, minlength=PARTS)))
-        return pd.DataFrame(out, columns=["doc_id", "n", "node", "ell", "prefix", "tokens", "parts"])
+            sums_ = [int(mix(own.view(np.uint64) + np.uint64(salt)).sum(dtype=np.uint64)) for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+            # one with shingles that no other document has equals none
+            mark = b"".join(x.to_bytes(8, "little") for x in (*sums_, n, number + i + 1 if unseen else 0))
+            out.append((number + i, doc, n, mark, ell, own[: base + ell - 1 - unseen], own, np.bincount(own % PARTS, minlength=PARTS)))
+        return pd.DataFrame(out, columns=["row", "doc_id", "n", "mark", "ell", "prefix", "tokens", "parts"])
 
     return gather
 
 
 def linked_sets(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n, node, ell, prefix, tokens, parts) for every row: the last five are
-    null where frequencies alone show that the document has no partner; ``node``
-    is one number for all documents of equal sets."""
+    """(row, doc_id, n, mark, ell, prefix, tokens, parts) for every row: ``row`` is a
+    number of its own, and the last five are null where frequencies alone show that the
+    document has no partner; documents of equal sets have equal marks.  To be written
+    once and read again, as a row's number is that of its place in the input."""
     spark = docs.sparkSession
     texts = ids_and_texts(docs)
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = int(max(96, n_bytes / 6 / RANGE_SHINGLES))
     bound_batches(spark)
-    blocks = texts.mapInArrow(_blocks(n_ranges, width, BITS), "range int, block long, tokens binary, owners binary, ids binary, sizes binary")
-    counted = blocks.groupBy("range").applyInPandas(_count_range, "block long, tokens binary, owners binary, counts binary, ids binary, sizes binary")
-    return counted.groupBy("block").applyInPandas(_gather_block(percent), "doc_id long, n long, node long, ell int, prefix array<long>, tokens array<long>, parts array<int>")
+    blocks = texts.mapInArrow(_blocks(n_ranges, width, BITS), _ROW_DDL)
+    counted = blocks.groupBy("range").applyInPandas(_count_range, "range int, block long, tokens binary, owners binary, counts binary, often binary, sums binary, home binary")
+    return counted.groupBy("block").applyInPandas(_gather_block(percent), "row long, doc_id long, n long, mark binary, ell int, prefix array<long>, tokens array<long>, parts array<int>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -248,9 +309,10 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     list's largest component meets all of the list."""
     sizes = rows.groupBy("token", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("size", "root")).alias("top")).select("token", F.col("top.root").alias("top"))
-    few = rows.join(largest, "token").where("root <> top").drop("top")
-    other = rows.select("token", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "seen", "at", "parts", "ell", "root", "long")])
-    met = few.join(other, "token").where((F.col("root") != F.col("root_2")) & _may_link(percent, "", "_2") & _may_link_by_parts(percent, "", "_2"))
+    share = F.ceil(F.col("size") / SHARE_LIST).cast("int")
+    few = rows.join(largest, "token").where("root <> top").drop("top").withColumn("share", F.explode(F.sequence(F.lit(0), share - 1)))
+    other = rows.select("token", F.pmod(F.xxhash64("node"), share).cast("int").alias("share"), *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "seen", "at", "parts", "ell", "root", "long")])
+    met = few.join(other, ["token", "share"]).where((F.col("root") != F.col("root_2")) & _may_link(percent, "", "_2") & _may_link_by_parts(percent, "", "_2"))
     return (
         met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"), "token", F.least("ell", "ell_2").alias("ell"), F.least("long", "long_2").alias("long"))
         .distinct()
@@ -294,11 +356,11 @@ def node_components(nodes: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def _classes_and_roots(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(node, least, copies, n) of all classes of equal sets, and (node, root) of those that link."""
-    some = sets.where("node is not null")
-    classes = some.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("n").alias("n"))
-    first = some.join(classes.select("node", F.col("least").alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"])
-    nodes = kept(first.select("node", "n", "ell", "prefix", "tokens", "parts"), "nodes")
+    """(mark, node, least) of all classes of equal sets, and (node, root) of those that
+    link; a class is known by the least row number in it."""
+    some = sets.where("mark is not null")
+    classes = kept(some.groupBy("mark").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
+    nodes = kept(some.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "ell", "prefix", "tokens", "parts"), "nodes")
     return classes, kept(node_components(nodes, percent), "roots")
 
 
@@ -308,8 +370,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     classes, roots = _classes_and_roots(sets, percent)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    of_node = named.join(least, "root").select("node", "component")
-    out = sets.select("doc_id", "n", "node").join(of_node, "node", "left")
+    of_mark = named.join(least, "root").select("mark", "component")
+    out = sets.select("doc_id", "n", "mark").join(of_mark, "mark", "left")
     no_id = F.lit(int(NO_ID))
     return out.select(
         F.nullif("doc_id", no_id).alias("doc_id"),
@@ -328,11 +390,12 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80)
     own, text = F.col(names[docs.columns.index("doc_id")]).cast("long"), F.col(names[docs.columns.index("text")])
     held = docs.toDF(*names).withColumn("key", F.xxhash64(own, text))
     sets = kept(linked_sets(held.select(F.col("key").alias("doc_id"), text.alias("text")), width, percent), "sets")
-    _, roots = _classes_and_roots(sets, percent)
+    classes, roots = _classes_and_roots(sets, percent)
     ids = held.groupBy("key").agg(F.min(own).alias("own"))
-    members = sets.where("node is not null").select(F.col("doc_id").alias("key"), "node").distinct().join(roots, "node", "left").join(ids, "key")
-    winners = members.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("own").isNull(), "own", "key"))["key"].alias("key"))
-    alone = sets.where("node is null").select(F.col("doc_id").alias("key"), F.lit(False).alias("copies"))
+    named = classes.join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("root"))
+    members = sets.where("mark is not null").select(F.col("doc_id").alias("key"), "mark").distinct().join(named, "mark").join(ids, "key")
+    winners = members.groupBy("root").agg(F.min(F.struct(F.col("own").isNull(), "own", "key"))["key"].alias("key"))
+    alone = sets.where("mark is null").select(F.col("doc_id").alias("key"), F.lit(False).alias("copies"))
     first = kept(winners.select("key", F.lit(True).alias("copies")).union(alone).groupBy("key").agg(F.min("copies").alias("copies")), "first")
     turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
     return held.join(first, "key").withColumn("turn", turn).where("turn = 1 or not copies").select(names).toDF(*docs.columns)
