@@ -21,7 +21,7 @@ shuffled.
 
 Defined results: null or wordless text: no words, not contaminated.  Null or
 wordless items have no windows.  Items that repeat an item_id count once in
-``n_items``.  An empty table gives no rows (documents) or no hits (benchmark).
+``n_items``; a null item_id counts as the empty one.  An empty table gives no rows (documents) or no hits (benchmark).
 Each input row gives one row; other columns are not read.
 """
 
@@ -119,7 +119,7 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> It
     """The items in blocks of at most ``block_bytes`` (or one item) of text, one at a time."""
     block, held = BenchmarkBlock(), 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        size = len(row[1] or "") * 4
+        size = len((row[1] or "").encode())
         if held and held + size > block_bytes:
             yield block
             block, held = BenchmarkBlock(), 0
