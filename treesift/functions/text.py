@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from treesift.functions.paths import contains_any
 from treesift.functions.regex import to_java
@@ -67,24 +70,39 @@ def is_dangerous(line: Column) -> Column:
     return contains_any(F.lower(line), DANGEROUS)
 
 
-def entropy(line: Column) -> Column:
-    """Shannon entropy over the bytes of a line: by row, so lines need no key and no shuffle."""
-    data = F.regexp_extract_all(F.hex(line), F.lit(".."), 0)
-    size = F.octet_length(line).cast("double")
-    sorted_ = F.array_sort(data)
-    # runs in the sorted bytes: what has been added up, the byte of the open run, its length
-    term = lambda n: F.when(n > 0, -(n / size) * F.log2(n / size)).otherwise(0.0)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit("").alias("byte"), F.lit(0.0).alias("run"))
-    step = lambda a, b: F.struct(
-        F.when(a["byte"] == b, a["sum"]).otherwise(a["sum"] + term(a["run"])).alias("sum"), b.alias("byte"), F.when(a["byte"] == b, a["run"] + 1.0).otherwise(1.0).alias("run")
-    )
-    return F.when(size > 0, F.aggregate(sorted_, start, step, lambda a: a["sum"] + term(a["run"]))).otherwise(0.0)
+@F.pandas_udf(DoubleType())
+def entropy(lines: pd.Series) -> pd.Series:
+    """Shannon entropy over the bytes of each line: by row, so lines need no key and no
+    shuffle.  Counting bytes is an array operation, which expressions over arrays of
+    hexadecimal pairs only imitate."""
+
+    def one(line: str | None) -> float | None:
+        if line is None:
+            return None
+        data = np.frombuffer(line.encode(), np.uint8)
+        shares = np.bincount(data, minlength=1)
+        shares = shares[shares > 0] / max(1, len(data))
+        return float(-(shares * np.log2(shares)).sum()) + 0.0
+
+    return lines.map(one, na_action=None).astype("float64")
+
+
+#: Not pushed into filters and so computed once.
+entropy = entropy.asNondeterministic()
+
+
+#: Bytes at the beginning of a file that tell whether it is text.
+SAMPLE_BYTES = 8192
 
 
 def looks_text(content: Column) -> Column:
-    """Binary content whose first 8 KiB are UTF-8 without a zero byte."""
-    head = F.substring(content, 1, 8192)
-    return F.is_valid_utf8(head.cast("string")) & (F.instr(F.hex(head), "00") % 2 == 0) | (F.length(content) == 0)
+    """Binary content whose first 8 KiB are UTF-8 without a zero byte; a character
+    that the sample's end cuts is no fault."""
+    head = F.substring(content, 1, SAMPLE_BYTES)
+    valid = F.is_valid_utf8(head.cast("string"))
+    for n in (1, 2, 3):
+        valid |= (F.length(content) > SAMPLE_BYTES) & F.is_valid_utf8(F.substring(content, 1, SAMPLE_BYTES - n).cast("string"))
+    return valid & (F.instr(head.cast("string"), "\0") == 0)
 
 
 def executable_magic(content: Column) -> Column:

@@ -150,6 +150,7 @@ def staged_findings(files: DataFrame) -> DataFrame:
 
 # --- markup: text that is hidden and instructs --------------------------------------------------
 
+#: Instructions to an agent, and elements by how they lay out.
 _INSTRUCTION = re.compile(
     r"(?i)((ignore|disregard|override|forget)\s+(all\s+|any\s+|the\s+)?(previous|prior|earlier|above|system)\s+instructions?"
     r"|(?:reveal|show|print|disclose)\s+(your\s+|the\s+)?(system prompt|secrets?|credentials?))"
@@ -170,11 +171,24 @@ def _style(value: str) -> dict[str, str]:
     return {k: v for k, (_, v) in out.items()}
 
 
+#: Names of colours.
+COLOURS = {
+    "black": "#000000", "white": "#ffffff", "red": "#ff0000", "green": "#008000", "blue": "#0000ff", "yellow": "#ffff00", "gray": "#808080", "grey": "#808080", "silver": "#c0c0c0",
+    "maroon": "#800000", "purple": "#800080", "fuchsia": "#ff00ff", "lime": "#00ff00", "olive": "#808000", "navy": "#000080", "teal": "#008080", "aqua": "#00ffff",
+}
+#: What SVG elements may say in attributes as well as in their style.
+_PRESENTATION = ("display", "visibility", "opacity", "fill", "stroke", "fill-opacity", "color")
+
+
+def _none(opacity: str) -> bool:
+    """Whether an opacity is zero or less."""
+    m = re.match(r"\s*(-?[0-9.]+)", opacity)
+    return bool(m) and float(m[1].rstrip(".") or 1) <= 0
+
+
 def _rgb(value: str | None) -> tuple[int, int, int] | None:
     value = (value or "").strip()
-    named = {"black": (0, 0, 0), "white": (255, 255, 255), "red": (255, 0, 0), "green": (0, 128, 0), "blue": (0, 0, 255), "gray": (128, 128, 128), "yellow": (255, 255, 0)}
-    if value in named:
-        return named[value]
+    value = COLOURS.get(value, value)
     if m := re.fullmatch(r"#([0-9a-f]{3}|[0-9a-f]{6})", value):
         h = m[1] if len(m[1]) == 6 else "".join(c * 2 for c in m[1])
         return int(h[:2], 16), int(h[2:4], 16), int(h[4:], 16)
@@ -188,7 +202,7 @@ class _Hidden(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, dict]] = [("", {"gone": "", "visibility": "", "color": None, "background": None, "silent": False})]
+        self.stack: list[tuple[str, dict]] = [("", {"gone": "", "visibility": "", "color": None, "background": None, "silent": False, "svg": False, "fill": "", "stroke": "none"})]
         self.runs: list[tuple[int, str, str]] = []
         self.run: list[str] = []
         self.line, self.why = 0, ""
@@ -206,12 +220,17 @@ class _Hidden(HTMLParser):
         state = dict(self.stack[-1][1])
         given = dict(attrs)
         style = _style(given.get("style") or "")
+        state["svg"] = state["svg"] or tag == "svg"
+        if state["svg"]:
+            style = {k: given[k].strip().lower() for k in _PRESENTATION if given.get(k)} | style
         display = style.get("display", "")
         if display == "none" or "hidden" in given and not display:
             state["gone"] = "display"
-        opacity = re.match(r"\s*(-?[0-9.]+)", style.get("opacity", ""))
-        if opacity and float(opacity[1].rstrip(".") or 1) <= 0:
+        if _none(style.get("opacity", "")):
             state["gone"] = state["gone"] or "opacity"
+        if state["svg"]:  # text is painted by its fill and stroke
+            state["fill"] = "none" if _none(style.get("fill-opacity", "")) else style.get("fill", state["fill"])
+            state["stroke"] = style.get("stroke", state["stroke"])
         if "visibility" in style:
             state["visibility"] = style["visibility"] if style["visibility"] in ("hidden", "collapse") else ""
         if "color" in style:
@@ -238,6 +257,8 @@ class _Hidden(HTMLParser):
             return "visibility"
         if (state["color"] or "").strip() == "transparent":
             return "transparent"
+        if state["svg"] and state["fill"].strip() in ("none", "transparent") and state["stroke"].strip() in ("none", "transparent"):
+            return "transparent"
         a, b = _rgb(state["color"]), _rgb(state["background"])
         return "same colour" if a and b and all(abs(x - y) <= 1 for x, y in zip(a, b, strict=True)) else ""
 
@@ -266,9 +287,9 @@ def hidden_instructions(path: str, text: str) -> Iterator[Hit]:
 
 def hidden_findings(files: DataFrame) -> DataFrame:
     low = F.lower("text")
-    marked = contains_any(low, ("display", "opacity", "visibility", "transparent", "hidden", "color"))
+    marked = contains_any(low, ("display", "opacity", "visibility", "transparent", "hidden", "color", "fill"))
     spoken = contains_any(low, ("ignore", "disregard", "override", "forget", "reveal", "show", "print", "disclose"))
-    return detect(files, _ext().isin(".html", ".htm", ".svg", ".xhtml") & low.rlike(r"style\s*=|hidden") & marked & spoken, hidden_instructions)
+    return detect(files, _ext().isin(".html", ".htm", ".svg", ".xhtml") & low.rlike(r"style\s*=|hidden|(?:display|visibility|opacity|fill)\s*=") & marked & spoken, hidden_instructions)
 
 
 # --- SVG ----------------------------------------------------------------------------------------

@@ -36,36 +36,42 @@ def dedup(raw: DataFrame) -> DataFrame:
     return flat.withColumn("fingerprint", policy.fingerprint(F.col("rule_id"), F.col("path"), F.col("line"), F.col("message")))
 
 
-def stored_locations(raw: DataFrame, per_finding: int = MAX_PER_FINDING, per_repo: int = MAX_PER_REPO) -> DataFrame:
-    """The locations that are kept under both limits, in arrival order.
+def _places(raw: DataFrame) -> DataFrame:
+    """The distinct locations of each finding, when each arrived first and how often in all."""
+    return raw.groupBy(*KEY, "start_line", "end_line").agg(F.min("emit_seq").alias("emit_seq"), F.count("*").alias("arrivals"))
+
 
-    A repository's limit is taken in two steps, first within salted parts, so
-    that no task sorts all locations of a large one."""
-    places = raw.groupBy(*KEY, "start_line", "end_line").agg(F.min("emit_seq").alias("emit_seq"))
-    of_key = places.groupBy(*KEY).agg(F.count("*").alias("n"))
-    small = places.join(of_key.where(F.col("n") <= per_finding).select(*KEY), list(KEY), "left_semi")
-    large = places.join(of_key.where(F.col("n") > per_finding).select(*KEY), list(KEY), "left_semi")
-    salt = F.pmod(F.xxhash64("start_line", "end_line"), F.lit(SALTS))
+def _first(df: DataFrame, n: int, *by: str) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy("emit_seq")
+    return df.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= n).drop("turn")
 
-    def first(df: DataFrame, n: int, *by: str) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy("emit_seq")
-        return df.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= n).drop("turn")
 
-    kept = small.union(first(first(large.withColumn("salt", salt), per_finding, *KEY, "salt").drop("salt"), per_finding, *KEY))
+def _stored(places: DataFrame, per_finding: int, per_repo: int) -> DataFrame:
+    """The places that are kept under both limits.  A repository's limit is taken in two
+    steps, first within salted parts, so that no task sorts all places of a large one;
+    a finding's is taken before the shuffle already, as the planner does for first rows."""
+    kept = _first(places, per_finding, *KEY)
     spread = kept.withColumn("salt", F.pmod(F.xxhash64("emit_seq"), F.lit(SALTS)))
-    return first(first(spread, per_repo, "repo_id", "salt").drop("salt"), per_repo, "repo_id")
+    return _first(_first(spread, per_repo, "repo_id", "salt").drop("salt"), per_repo, "repo_id")
+
+
+def stored_locations(raw: DataFrame, per_finding: int = MAX_PER_FINDING, per_repo: int = MAX_PER_REPO) -> DataFrame:
+    """The locations that are kept under both limits, in arrival order."""
+    return _stored(_places(raw), per_finding, per_repo).drop("arrivals")
 
 
 def location_caps(raw: DataFrame, per_finding: int = MAX_PER_FINDING, per_repo: int = MAX_PER_REPO) -> DataFrame:
     """Stored and omitted locations of each finding.  An arrival is omitted if its
-    location is not stored, also when that location was omitted before."""
-    stored = stored_locations(raw, per_finding, per_repo).select(*KEY, "start_line", F.col("end_line"), F.lit(1).alias("kept"))
-    arrivals = raw.groupBy(*KEY, "start_line", "end_line").agg(F.count("*").alias("arrivals"))
-    same = [arrivals[c].eqNullSafe(stored[c]) for c in (*KEY, "start_line", "end_line")]
-    joined = arrivals.join(stored, on=_all(same), how="left").select(*[arrivals[c] for c in KEY], "arrivals", "kept")
-    return joined.groupBy(*KEY).agg(
-        F.count("kept").alias("locations_stored"), F.sum(F.when(F.col("kept").isNull(), F.col("arrivals")).otherwise(0)).alias("locations_omitted")
-    )
+    location is not stored, also when that location was omitted before.
+
+    Places carry their arrivals, so what is omitted is the rest of a sum and places
+    are not joined again."""
+    places = _places(raw)
+    totals = places.groupBy(*KEY).agg(F.sum("arrivals").alias("arrivals"))
+    stored = _stored(places, per_finding, per_repo).groupBy(*KEY).agg(F.count("*").alias("stored"), F.sum("arrivals").alias("held"))
+    same = _all([totals[c].eqNullSafe(stored[c]) for c in KEY])
+    joined = totals.join(stored, on=same, how="left").select(*[totals[c] for c in KEY], "arrivals", "stored", "held")
+    return joined.select(*KEY, F.coalesce("stored", F.lit(0)).alias("locations_stored"), (F.col("arrivals") - F.coalesce("held", F.lit(0))).alias("locations_omitted"))
 
 
 def _all(conditions: list[Column]) -> Column:

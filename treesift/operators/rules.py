@@ -171,9 +171,23 @@ def _skipped(rule_id: Column, context: Column, path: Column) -> Column:
     )
 
 
+def python_lines(files: DataFrame) -> DataFrame:
+    """Path configuration files with the line ends that Python takes for such, and without a byte order mark."""
+    plain = F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), r"\r\n|[\r\x0B\x0C\x1C\x1D\x1E\u0085\u2028\u2029]", "\n")
+    return files.where(extension(inner_path(F.col("path"))) == ".pth").withColumn("text", plain)
+
+
 def scan(files: DataFrame, rules: list[Rule] | None = None, fallback: bool = True) -> DataFrame:
     """Raw findings of the rules in ``files`` (repo_id, path, text)."""
     rules = builtin_rules() if rules is None else rules
+    at_start = [r for r in rules if r.id == "PY-004"]
+    if not at_start:
+        return _scan(files, rules, fallback)
+    others = _scan(files, [r for r in rules if r.id != "PY-004"], fallback)
+    return others.unionByName(_scan(python_lines(files), at_start, fallback))
+
+
+def _scan(files: DataFrame, rules: list[Rule], fallback: bool) -> DataFrame:
     catalogue = F.broadcast(rule_frame(files.sparkSession, rules).drop("pattern", "globs", "match_scope"))  # as long as the rule list
     matches = line_matches(files, rules)
     on_lines = matches.where(F.col("n") > 0).join(catalogue, "ordinal")

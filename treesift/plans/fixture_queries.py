@@ -231,7 +231,7 @@ def rule_match_builtin_x(spark, sf_dir):
 
 @query(
     f"""WITH {values_sql("c", "rule_id, category, severity, confidence, disposition", [(r[0], r[1], r[2], r[3], r[5]) for r in RULES])},
-    {values_sql("s", "rule_id, category, severity, confidence, disposition", [(*r, "") for r in STRUCTURED])},
+    {values_sql("s", "rule_id, category, severity, confidence, disposition", [(*r[:4], "") for r in STRUCTURED])},
     a AS (SELECT * FROM c UNION ALL SELECT * FROM s WHERE rule_id NOT IN (SELECT rule_id FROM c))
     SELECT rule_id, category, severity, confidence, CASE WHEN disposition <> '' THEN disposition
       WHEN rule_id IN ('CICD-003', 'JVMWRAP-002') OR starts_with(rule_id, 'REPO-') THEN 'harden'
@@ -240,7 +240,7 @@ def rule_match_builtin_x(spark, sf_dir):
 )
 def rule_catalog_x(spark, sf_dir):
     content_rules = rules.rule_frame(spark, rules.builtin_rules()).select("rule_id", "category", "severity", "confidence", "disposition")
-    other = spark.createDataFrame(list(STRUCTURED), "rule_id string, category string, severity string, confidence string")
+    other = spark.createDataFrame([r[:4] for r in STRUCTURED], "rule_id string, category string, severity string, confidence string")
     fresh = other.join(content_rules.select("rule_id"), "rule_id", "left_anti")
     own = policy.rule_disposition(F.col("rule_id"), F.col("category"), F.col("severity"), F.col("confidence"))
     return content_rules.unionByName(fresh.withColumn("disposition", own))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treesift.plans import finding_queries, fixture_queries, text_queries
+from treesift.plans import finding_queries, fixture_queries, scan_queries, text_queries
 
-MODULES = (finding_queries, text_queries, fixture_queries)
+MODULES = (finding_queries, text_queries, fixture_queries, scan_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

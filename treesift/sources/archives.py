@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from treesift.functions.paths import inner_path
 
 MAX_ENTRIES, MAX_BYTES, MAX_MEMBER, MAX_DEPTH = 10_000, 1 << 30, 50 << 20, 3
+#: Bytes of members that are given on at once, but for a larger single one.
+BATCH_BYTES = 32 << 20
 
 
 def _unsafe(name: str) -> bool:
@@ -66,29 +68,44 @@ def members(path: str, data: bytes, max_bytes: int = MAX_BYTES) -> Iterator[tupl
         yield "", None, f"unreadable: {type(e).__name__}"
 
 
+def _is_archive(path: str, data: bytes) -> bool:
+    return len(data) >= 4 and (data[:4] == b"PK\x03\x04" or path.lower().endswith((".tar", ".tar.gz", ".tgz")))
+
+
 def expand(files: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(repo_id, path, depth, content, problem) of ``files`` (repo_id, path, content)
-    and of all members of archives among them; paths of members are ``outer!inner``."""
+    and of all members of archives among them; paths of members are ``outer!inner``.
+    An archive deeper than ``depth`` has a row of its own with this problem.
+
+    Archives are opened once, level below level, inside the task that holds them."""
+
+    def nested(path: str, data: bytes, level: int) -> Iterator[tuple[str, int, bytes | None, str]]:
+        if level > depth:
+            yield path, level - 1, None, "archive-depth limit"
+            return
+        for name, body, problem in members(path, data):
+            inner = f"{path}!{name}"
+            yield inner, level, body, problem
+            if body is not None and _is_archive(name, body):
+                yield from nested(inner, body, level + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for repo, path, level, content in batch.itertuples(index=False):
-                rows = []
-                for name, body, problem in members(path, bytes(content)):
-                    rows.append((repo, f"{path}!{name}", level + 1, body, problem))
-                    if len(rows) == 64:
+            for repo, path, content in batch.itertuples(index=False):
+                rows, held = [], 0
+                for row in nested(path, bytes(content), 1):
+                    rows.append((repo, *row))
+                    held += len(row[2] or b"")
+                    if len(rows) == 64 or held > BATCH_BYTES:
                         yield pd.DataFrame(rows, columns=columns)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 
     columns = ["repo_id", "path", "depth", "content", "problem"]
     schema = "repo_id string, path string, depth int, content binary, problem string"
-    level = files.select("repo_id", "path", F.lit(0).alias("depth"), "content", F.lit("").alias("problem"))
-    out = level
-    for _ in range(depth):
-        name = F.lower(inner_path(F.col("path")))
-        is_archive = (F.hex(F.substring("content", 1, 4)) == "504B0304") | name.endswith(".tar") | name.endswith(".tar.gz") | name.endswith(".tgz")
-        level = level.where((F.length("content") >= 4) & is_archive).select("repo_id", "path", "depth", "content").mapInPandas(run, schema)
-        out = out.unionByName(level)
-    return out
+    base = files.select("repo_id", "path", F.lit(0).alias("depth"), "content", F.lit("").alias("problem"))
+    name = F.lower(inner_path(F.col("path")))
+    is_archive = (F.hex(F.substring("content", 1, 4)) == "504B0304") | name.endswith(".tar") | name.endswith(".tar.gz") | name.endswith(".tgz")
+    inner = base.where((F.length("content") >= 4) & is_archive).select("repo_id", "path", "content").mapInPandas(run, schema)
+    return base.unionByName(inner)
