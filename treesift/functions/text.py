@@ -93,6 +93,7 @@ entropy = entropy.asNondeterministic()
 
 #: Bytes at the beginning of a file that tell whether it is text.
 SAMPLE_BYTES = 8192
+_CUT = ("^(C[2-9A-F]|D.|E.|F[0-4])$", "^(E.|F[0-4])[89AB].$", "^F[0-4][89AB].[89AB].$")
 
 
 def looks_text(content: Column) -> Column:
@@ -100,8 +101,9 @@ def looks_text(content: Column) -> Column:
     that the sample's end cuts is no fault."""
     head = F.substring(content, 1, SAMPLE_BYTES)
     valid = F.is_valid_utf8(head.cast("string"))
-    for n in (1, 2, 3):
-        valid |= (F.length(content) > SAMPLE_BYTES) & F.is_valid_utf8(F.substring(content, 1, SAMPLE_BYTES - n).cast("string"))
+    for n, cut in enumerate(_CUT, 1):  # the first bytes of a character that goes on
+        rest = F.hex(F.substring(content, SAMPLE_BYTES - n + 1, n)).rlike(cut)
+        valid |= (F.length(content) > SAMPLE_BYTES) & rest & F.is_valid_utf8(F.substring(content, 1, SAMPLE_BYTES - n).cast("string"))
     return valid & (F.instr(head.cast("string"), "\0") == 0)
 
 
