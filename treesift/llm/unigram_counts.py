@@ -38,7 +38,7 @@ BLANK = "▁"
 #: How far an unknown character's score lies under the least of the vocabulary.
 UNKNOWN_PENALTY = 10.0
 #: Bytes of words and counts that a worker remembers, about, and the longest word among them.
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 128 << 20
 LONGEST_REMEMBERED = 64
 #: Bytes that an entry takes beside the word's own.
 ENTRY_BYTES = 100
@@ -69,10 +69,42 @@ class UnigramCounter:
 
     def count_word(self, word: str) -> int:
         """Pieces of the best segmentation of one pre-token."""
+        if len(word) > PLACES_HELD:
+            return self._count_long(word)
         size = len(word)
-        best, count = [0.0], [0]  # of the places from ``base`` on
-        base = done = 0  # places up to ``done`` are final
-        unset = -math.inf
+        best = [-math.inf] * (size + 1)
+        count = [0] * (size + 1)
+        best[0] = 0.0
+        done = 0  # places up to here are final
+        for last, (length, score) in self.automaton.iter(word):  # longest first at each place
+            end = last + 1
+            while done < last:
+                done += 1
+                self._settle(word, done, done, best, count)
+            start = end - length
+            total = best[start] + score
+            if total > best[end]:
+                best[end], count[end] = total, count[start] + 1
+            if length == 1:
+                done = end
+        while done < size:
+            done += 1
+            self._settle(word, done, done, best, count)
+        return count[size]
+
+    def _settle(self, word: str, end: int, at: int, best: list[float], count: list[int]) -> None:
+        """A character without a piece of its own may be unknown; ``at``: where its end is in the lists."""
+        if word[end - 1] in self.automaton:
+            return
+        total = best[at - 1] + self.unknown
+        if total > best[at]:
+            best[at], count[at] = total, count[at - 1] + len(word[end - 1].encode())
+
+    def _count_long(self, word: str) -> int:
+        """The same with scores of the last places only, from ``base`` on."""
+        size = len(word)
+        best, count = [0.0], [0]
+        base = done = 0
 
         def reach(end: int) -> None:
             nonlocal base
@@ -81,23 +113,15 @@ class UnigramCounter:
                 del best[: -self.longest - 1], count[: -self.longest - 1]
             more = end - base - len(best) + 1
             if more > 0:
-                best.extend([unset] * more)
+                best.extend([-math.inf] * more)
                 count.extend([0] * more)
 
-        def settle(end: int) -> None:
-            """A character without a piece of its own may be unknown."""
-            reach(end)
-            at = end - base
-            if word[end - 1] not in self.automaton:
-                total = best[at - 1] + self.unknown
-                if total > best[at]:
-                    best[at], count[at] = total, count[at - 1] + len(word[end - 1].encode())
-
-        for last, (length, score) in self.automaton.iter(word):  # longest first at each place
+        for last, (length, score) in self.automaton.iter(word):
             end = last + 1
             while done < last:
                 done += 1
-                settle(done)
+                reach(done)
+                self._settle(word, done, done - base, best, count)
             reach(end)
             start = end - length - base
             total = best[start] + score
@@ -107,7 +131,8 @@ class UnigramCounter:
                 done = end
         while done < size:
             done += 1
-            settle(done)
+            reach(done)
+            self._settle(word, done, done - base, best, count)
         return count[size - base]
 
     def _count_known(self, word: str) -> int:
