@@ -2,6 +2,8 @@ import collections
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import awkward, documents, with_clashes
 from treesift.llm import mixing
 
@@ -102,6 +104,63 @@ def test_plan_has_no_python(spark, sf_dir):
     assert not any(x in df._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
 
 
+def brute(docs, target):
+    """(doc_id, source, pass) of all that is read: plain bisection of the exponent, whole
+    passes, and a last pass in the order of the same hashes until its tokens are met."""
+    rows = [(r["doc_id"], r["source"], len((r["text"] or "").split())) for r in docs.collect()]
+    tokens = collections.Counter()
+    for _, source, n in rows:
+        tokens[source] += n
+    share = {s: n / sum(tokens.values()) for s, n in tokens.items()}
+
+    def repeats(alpha):
+        weight = {s: p**alpha for s, p in share.items() if p}
+        if target.budget is None:  # the least budget at which every source is read once
+            over = {s: w / share[s] for s, w in weight.items()}
+            return max(over.values()) / min(over.values())
+        return max(w / sum(weight.values()) * target.budget / tokens[s] for s, w in weight.items())
+
+    def bisect(fits_low):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if fits_low(mid) else (low, mid)
+        return low
+
+    alpha = 1.0 if entropy(tokens, 1.0) >= target.entropy else bisect(lambda a: entropy(tokens, a) >= target.entropy)
+    if repeats(alpha) > target.repeats:
+        alpha = bisect(lambda a: repeats(a) > target.repeats)
+    weight = {s: p**alpha for s, p in share.items() if p}
+    z = sum(weight.values())
+    budget = target.budget if target.budget is not None else max(tokens[s] / w for s, w in weight.items()) * z
+    epochs = {s: round(w / z * budget / tokens[s], 9) for s, w in weight.items()}
+    hashed = docs.select("doc_id").distinct().select("doc_id", *[mixing._ordered(mixing._place(F.lit(k), target.seed)).alias(f"p{k}") for k in range(8)]).collect()
+    place = {r["doc_id"]: r for r in hashed}
+    out = collections.Counter()
+    for source in tokens:
+        own = [r for r in rows if r[1] == source]
+        whole = int(epochs.get(source, 1.0))
+        out.update((d, source, k) for d, _, _ in own for k in range(whole))
+        rest, so_far = (epochs.get(source, 1.0) - whole) * tokens[source], 0
+        for d, _, n in sorted(own, key=lambda r: (place[r[0]][f"p{whole}"], r[0])):
+            if so_far < rest:
+                out[d, source, whole] += 1
+            so_far += n
+    return out, alpha
+
+
+def test_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(mixing, "BLOCKS_AT_ONCE", 4)
+    docs = skewed(spark, 5).cache()
+    for target in (mixing.MixTarget(), mixing.MixTarget(entropy=0.97, repeats=1.6), mixing.MixTarget(entropy=0.8, repeats=9.0, budget=7000.0)):
+        want, alpha = brute(docs, target)
+        got = collections.Counter((r["doc_id"], r["source"], r["pass"]) for r in mixing.mix_report(docs, target).collect())
+        differ = (want - got) + (got - want)
+        # the exponents agree to a few parts in a million, so a source's last document may fall on either side
+        assert sum(differ.values()) <= 4 and len({s for _, s, _ in differ}) >= sum(differ.values()), (alpha, differ)
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     rows = mixing.mix_report(with_clashes(docs)).collect()
