@@ -1,8 +1,10 @@
 """Detectors of active content over files of any size, and decoded literals."""
 
 import base64
+import gzip
+import struct
 
-from treesift.operators import active, content, rules
+from treesift.operators import active, content, packages, rules
 
 FILES = "repo_id string, path string, text string"
 PAD = "words of a long page " * 60_000
@@ -63,3 +65,29 @@ def test_decoded_values_meet_the_rules(spark):
         (2, 2, "CRED-001", "high"), (3, 3, "SECRET-002", "high"), (4, 4, "IPURL-001", "medium"), (5, 5, "REVSHELL-001", "critical"),
         (6, 6, "PERSIST-001", "critical"), (7, 8, "EXFIL-002", "high"),
     ]
+
+
+def _font(tables):
+    """A font file of these tables (tag, content)."""
+    at, directory, body = 12 + 16 * len(tables), b"", b""
+    for tag, data in tables:
+        directory += struct.pack(">4sIII", tag, 0, at + len(body), len(data))
+        body += data + b"\0" * (-len(data) % 4)
+    return b"\0\1\0\0" + struct.pack(">HHHH", len(tables), 0, 0, 0) + directory + body
+
+
+def _drawings(*documents, lie=0):
+    listed, at = b"", 2 + 12 * len(documents)
+    for i, d in enumerate(documents):
+        listed += struct.pack(">HHII", i, i, at, len(d) + lie)
+        at += len(d)
+    return struct.pack(">HII", 0, 10, 0) + struct.pack(">H", len(documents)) + listed + b"".join(documents)
+
+
+def test_drawings_of_a_fonts_glyphs():
+    still, acts = b"<svg><path/></svg>", b"<svg><script>x()</script></svg>"
+    rules_of = lambda *d, **k: packages.font_rules(".ttf", _font([(b"SVG ", _drawings(*d, **k))]))
+    assert rules_of(still) == ["FONT-002"]
+    assert rules_of(still, acts) == rules_of(still, gzip.compress(acts)) == ["FONT-002", "FONT-004"]
+    assert rules_of(still, lie=50) == rules_of(gzip.compress(b"<svg>" + b" " * (9 << 20) + b"</svg>")) == ["FONT-002", "FONT-003"]
+    assert packages.font_rules(".ttf", _font([(b"SVG ", _drawings(acts)), (b"prep", b"\0\0\0\0")])) == ["FONT-002", "FONT-004", "FONT-005"]

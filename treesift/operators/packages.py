@@ -7,6 +7,7 @@ Members of packages come from ``sources.archives.expand`` as files with paths
 from __future__ import annotations
 
 import struct
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +15,14 @@ from pyspark.sql.types import ArrayType, StringType
 
 from treesift.functions.paths import base_name, contains_any, extension, inner_path, outer_path
 from treesift.functions.text import executable_magic
+from treesift.operators.active import svg_active
 from treesift.operators.supply_chain import escapes_package
 
 #: Packages of office suites, what a hook should not do, fonts.
 OFFICE = (".docx", ".docm", ".dotx", ".dotm", ".xlsx", ".xlsm", ".xltx", ".xltm", ".pptx", ".pptm", ".potx", ".potm", ".ppsx", ".ppsm")
 SUSPICIOUS_HOOK = ("curl ", "wget ", "eval ", "node -e", "python -c", "bash -c", "powershell", "/dev/tcp/", "base64 -d")
+#: Fixed value: bytes that the drawings of a font's glyphs may unpack to.
+MAX_GLYPH_BYTES = 8 << 20
 FONTS = (".ttf", ".otf", ".ttc", ".woff", ".woff2")
 CONTRIBUTIONS = ("commands", "debuggers", "taskDefinitions", "terminalProfiles", "customEditors", "authentication", "notebooks", "notebookRenderer", "views")
 
@@ -108,9 +112,29 @@ def yarn_findings(files: DataFrame) -> DataFrame:
     return rows.select("repo_id", "path", "rule_id", (F.col("at") + 1).alias("line_no"), F.when(outside, "high").otherwise("medium").alias("severity"))
 
 
+def _glyph_documents(table: bytes) -> list[str]:
+    """The drawings of a font's glyphs, unpacked up to a limit in all."""
+    (at,) = struct.unpack(">I", table[2:6])
+    (count,) = struct.unpack(">H", table[at : at + 2])
+    out, left = [], MAX_GLYPH_BYTES
+    for i in range(count):
+        offset, length = struct.unpack(">II", table[at + 2 + 12 * i + 4 : at + 2 + 12 * i + 12])
+        data = table[at + offset : at + offset + length]
+        if len(data) < length:
+            raise ValueError("a drawing lies outside its table")
+        if data[:2] == b"\x1f\x8b":
+            data = zlib.decompressobj(31).decompress(data, left + 1)
+        left -= len(data)
+        if left < 0:
+            raise ValueError("drawings are too large")
+        out.append(data.decode("utf-8", "replace"))
+    return out
+
+
 def font_rules(suffix: str, data: bytes) -> list[str]:
-    """Rules that a font file meets: always the inventory; then what is wrong with
-    its table directory, or else whether it carries instructions."""
+    """Rules that a font file meets: always the inventory; then what is wrong with its
+    table directory, or else whether its glyphs' drawings act and whether it carries
+    instructions."""
     out = ["FONT-002"]
     if suffix not in (".ttf", ".otf"):
         magic = {".ttc": (b"ttcf",), ".woff": (b"wOFF",), ".woff2": (b"wOF2",)}[suffix]
@@ -137,6 +161,14 @@ def font_rules(suffix: str, data: bytes) -> list[str]:
     maxp = data[tables[b"maxp"][0] :][: tables[b"maxp"][1]] if b"maxp" in tables else None
     if maxp is not None and (len(maxp) < 6 or maxp[4:6] == b"\0\0"):
         return bad
+    if b"SVG " in tables:
+        offset, length = tables[b"SVG "]
+        try:
+            drawings = _glyph_documents(data[offset : offset + length])
+        except (struct.error, ValueError, zlib.error):
+            return bad
+        if any(True for x in drawings for _ in svg_active("glyph.svg", x)):
+            out.append("FONT-004")
     return [*out, "FONT-005"] if b"fpgm" in tables or b"prep" in tables else out
 
 
