@@ -70,6 +70,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read(spark, sf_dir, "documents"))
 
 
+def op11_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treesift.llm.line_field import quality_scores
+
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treesift.llm.spelling import variant_groups, word_counts
+
+    return variant_groups(word_counts(read(spark, sf_dir, "documents"), planted=True))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treesift.llm.periodic_runs import run_report
+
+    return run_report(read(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 WITH parts AS (
   SELECT page_id, coalesce(instr(url, '://'), 0) AS sep, substr(url, instr(url, '://') + 3) AS rest FROM pages
@@ -104,7 +122,7 @@ FROM named n LEFT JOIN best b USING (page_id, host, path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_html_extraction, op4_decontaminate, op5_quality_rules, op6_token_files, op7_token_counts, op8_secret_scan, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_html_extraction, op4_decontaminate, op5_quality_rules, op6_token_files, op7_token_counts, op8_secret_scan, op9_url_filter, op10_mixing, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
