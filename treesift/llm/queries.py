@@ -122,7 +122,7 @@ FROM named n LEFT JOIN best b USING (page_id, host, path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_html_extraction, op4_decontaminate, op5_quality_rules, op6_token_files, op7_token_counts, op8_secret_scan, op9_url_filter, op10_mixing, op11_line_field, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_html_extraction, op4_decontaminate, op5_quality_rules, op6_token_files, op7_token_counts, op8_secret_scan, op9_url_filter, op10_mixing, op11_line_field, op12_spelling_variants, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
