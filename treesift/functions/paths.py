@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -93,13 +94,22 @@ def looks_like_signature(line: Column) -> Column:
     )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def classify_context(path: Column, line: Column | None = None) -> Column:
     """An ordered decision: the first that fits counts.  Folders are sought in the
     whole path, names and extensions in the part inside the innermost archive."""
-    slashed = F.concat(F.lit("/"), F.regexp_replace(F.lower(path), "^/", ""))
     inner = F.lower(inner_path(path))
-    base, ext = base_name(inner), extension(inner)
-    line = F.lit("") if line is None else line
+    parts = F.struct(
+        F.concat(F.lit("/"), F.regexp_replace(F.lower(path), "^/", "")).alias("slashed"), base_name(inner).alias("base"), extension(inner).alias("ext"), (F.lit("") if line is None else line).alias("line")
+    )
+    return once(parts, lambda p: _context(p["slashed"], p["base"], p["ext"], p["line"]))
+
+
+def _context(slashed: Column, base: Column, ext: Column, line: Column) -> Column:
     any_of = lambda *n: contains_any(slashed, n)
     return (
         F.when(any_of("/.local-evidence/", "/evidence/"), "evidence")

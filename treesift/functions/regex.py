@@ -9,7 +9,7 @@ _BOUNDARY = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z
 _FLAGS = re.compile(r"\(\?([ims]+)\)")
 
 
-def _rewrite(pattern: str, java: bool) -> tuple[str, str]:
+def _rewrite(pattern: str, java: bool, many_lines: bool = False) -> tuple[str, str]:
     """(flags, body)."""
     flags = ""
     if m := _FLAGS.match(pattern):
@@ -48,7 +48,7 @@ def _rewrite(pattern: str, java: bool) -> tuple[str, str]:
             if pattern[i + 1] == "]":
                 out.append(r"\]")
                 i += 1
-        elif c == "$" and "m" not in flags:
+        elif c == "$" and "m" not in flags and not many_lines:
             out.append(r"\z" if java else r"\Z")
         else:
             out.append(c)
@@ -62,6 +62,13 @@ def to_java(pattern: str) -> str:
     return f"(?d{flags}{'u' if 'i' in flags else ''}){body}"
 
 
+def anywhere(pattern: str) -> str:
+    """A Java pattern that meets a text (lines ended by line feeds) wherever ``to_java``'s
+    meets one of its lines, and perhaps more: RE2 looks around at no other line than its own."""
+    flags, body = _rewrite(pattern.replace("\\z", "$").replace("\\A", "^"), java=True, many_lines=True)
+    return f"(?dm{flags}{'u' if 'i' in flags else ''}){body}"
+
+
 def to_python(pattern: str) -> re.Pattern:
     """For whole-file matches with offsets."""
     flags, body = _rewrite(pattern, java=False)

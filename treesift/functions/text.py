@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from treesift.functions.paths import contains_any
+from treesift.functions.paths import base_name, classify_context, contains_any, inner_path
 from treesift.functions.regex import to_java
 
 #: Calls beside which dense text is suspicious.
@@ -66,6 +66,16 @@ def sanitized(text: Column) -> Column:
     return v
 
 
+#: Bytes of a long and of a dense line, entropy of a dense one, lines from it to a call that executes.
+LONG_LINE, DENSE_LINE, DENSE_ENTROPY, NEAR = 600, 80, 4.8, 3
+
+
+def heuristics_apply(path: Column) -> Column:
+    """Files of which lines are judged by their shape: not maps, locks and what is generated."""
+    base = F.lower(base_name(inner_path(path)))
+    return ~(base.endswith(".map") | base.endswith(".lock") | base.isin("package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "yarn.lock")) & (classify_context(path) != "generated")
+
+
 def is_dangerous(line: Column) -> Column:
     return contains_any(F.lower(line), DANGEROUS)
 

@@ -16,6 +16,7 @@ import posixpath
 import re
 import shlex
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -27,6 +28,7 @@ from pyspark.sql.types import ArrayType, StringType
 from treesift.functions.code_projection import project
 from treesift.functions.paths import SCRIPT, applies, contains_any, extension, inner_path
 from treesift.functions.regex import to_java
+from treesift.operators.js_tables import table_values
 from treesift.operators.rules import builtin_rules
 
 Hit = tuple[str, int, int, str]
@@ -36,31 +38,38 @@ STAGED_LINES = 40
 _HITS = "repo_id string, path string, rule_id string, start_line int, end_line int, reason string"
 
 
-def inspected(files: DataFrame, gate: Column, detector: Callable[[str, str], Iterator[Hit]], what: str = "", max_bytes: int | None = None, max_hits: int | None = None) -> DataFrame:
-    """(repo_id, path, rule_id, start_line, end_line, reason) of the files that pass ``gate``;
-    a file of which a limit leaves something out has a row without rule_id that names the limit."""
+@dataclass(frozen=True)
+class Detector:
+    """What looks at one file: ``gate`` chooses files by path and cheap substrings, ``find``
+    says (rule_id, start_line, end_line, reason); a file of which a limit leaves something
+    out has a hit without rule_id that names the limit."""
+
+    gate: Callable[[], Column]
+    find: Callable[[str, str], Iterator[Hit]]
+    what: str = ""
+    max_bytes: int | None = None
+    max_hits: int | None = None
+
+    def hits(self, path: str, text: str) -> Iterator[Hit]:
+        if self.max_bytes is not None and len(text.encode()) > self.max_bytes:
+            yield None, 0, 0, f"{self.what} source-byte limit"
+            return
+        for n, hit in enumerate(self.find(path, text)):
+            if n == self.max_hits:
+                yield None, 0, 0, f"{self.what} finding limit"
+                return
+            yield hit
+
+
+def detect(files: DataFrame, detector: Detector) -> DataFrame:
+    """(repo_id, path, rule_id, start_line, end_line, reason) of the files (repo_id, path, text) that pass a detector's gate."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for repo, path, text in batch.itertuples(index=False):
-                if text is None:
-                    rows.append((repo, path, None, 0, 0, f"{what} source-byte limit"))
-                    continue
-                for n, hit in enumerate(detector(path, text)):
-                    if n == max_hits:
-                        rows.append((repo, path, None, 0, 0, f"{what} finding limit"))
-                        break
-                    rows.append((repo, path, *hit))
+            rows = [(repo, path, *hit) for repo, path, text in batch.itertuples(index=False) for hit in detector.hits(path, text)]
             yield pd.DataFrame(rows, columns=["repo_id", "path", "rule_id", "start_line", "end_line", "reason"])
 
-    text = F.col("text") if max_bytes is None else F.when(F.octet_length("text") <= max_bytes, F.col("text"))
-    return files.where(gate & F.col("text").isNotNull()).select("repo_id", "path", text.alias("text")).mapInPandas(run, _HITS)
-
-
-def detect(files: DataFrame, gate: Column, detector: Callable[[str, str], Iterator[Hit]]) -> DataFrame:
-    """The hits of a detector without limits."""
-    return inspected(files, gate, detector)
+    return files.where(detector.gate() & F.col("text").isNotNull()).select("repo_id", "path", "text").mapInPandas(run, _HITS)
 
 
 def _ext() -> Column:
@@ -143,9 +152,16 @@ def staged_execution(path: str, text: str) -> Iterator[Hit]:
             yield "CHAIN-004", i + 1, end + 1, destination
 
 
-def staged_findings(files: DataFrame) -> DataFrame:
+def _staged_gate() -> Column:
     script = _ext().isin(".sh", ".bash", ".zsh", ".fish", ".ps1", ".bat", ".cmd") | F.col("text").startswith("#!")
-    return detect(files, script & contains_any(F.lower("text"), _FETCHERS), staged_execution)
+    return script & contains_any(F.lower("text"), _FETCHERS)
+
+
+STAGED = Detector(_staged_gate, staged_execution)
+
+
+def staged_findings(files: DataFrame) -> DataFrame:
+    return detect(files, STAGED)
 
 
 # --- markup: text that is hidden and instructs --------------------------------------------------
@@ -285,11 +301,18 @@ def hidden_instructions(path: str, text: str) -> Iterator[Hit]:
             yield "AGENT-003", line, line, why
 
 
-def hidden_findings(files: DataFrame) -> DataFrame:
+def _hidden_gate() -> Column:
     low = F.lower("text")
     marked = contains_any(low, ("display", "opacity", "visibility", "transparent", "hidden", "color", "fill"))
     spoken = contains_any(low, ("ignore", "disregard", "override", "forget", "reveal", "show", "print", "disclose"))
-    return detect(files, _ext().isin(".html", ".htm", ".svg", ".xhtml") & low.rlike(r"style\s*=|hidden|(?:display|visibility|opacity|fill)\s*=") & marked & spoken, hidden_instructions)
+    return _ext().isin(".html", ".htm", ".svg", ".xhtml") & low.rlike(r"style\s*=|hidden|(?:display|visibility|opacity|fill)\s*=") & marked & spoken
+
+
+HIDDEN = Detector(_hidden_gate, hidden_instructions)
+
+
+def hidden_findings(files: DataFrame) -> DataFrame:
+    return detect(files, HIDDEN)
 
 
 # --- SVG ----------------------------------------------------------------------------------------
@@ -318,8 +341,11 @@ def svg_active(path: str, text: str) -> Iterator[Hit]:
         return
 
 
+SVG = Detector(lambda: (_ext() == ".svg") & F.lower("text").rlike(r"<[a-z:]*script|\son[a-z]+\s*=|javascript:"), svg_active)
+
+
 def svg_findings(files: DataFrame) -> DataFrame:
-    return detect(files, (_ext() == ".svg") & F.lower("text").rlike(r"<[a-z:]*script|\son[a-z]+\s*=|javascript:"), svg_active)
+    return detect(files, SVG)
 
 
 # --- workflows ----------------------------------------------------------------------------------
@@ -407,9 +433,11 @@ def workflow_risks(path: str, text: str) -> Iterator[Hit]:
                 yield "CICD-008", line(runner), line(runner), "self-hosted"
 
 
+WORKFLOW = Detector(lambda: F.concat(F.lit("/"), F.lower(inner_path(F.col("path")))).contains("/.github/workflows/"), workflow_risks)
+
+
 def workflow_findings(files: DataFrame) -> DataFrame:
-    inside = F.concat(F.lit("/"), F.lower(inner_path(F.col("path")))).contains("/.github/workflows/")
-    return detect(files, inside, workflow_risks)
+    return detect(files, WORKFLOW)
 
 
 # --- JavaScript ---------------------------------------------------------------------------------
@@ -546,36 +574,48 @@ def _script() -> Column:
     return _ext().isin(*SCRIPT)
 
 
-def _js_flows(files: DataFrame) -> DataFrame:
-    calls = F.col("text").contains("axios") & contains_any(F.col("text"), ("eval", "Function", "runIn"))
-    return inspected(files, _script() & calls, js_flow, "JavaScript flow", MAX_FLOW_SOURCE, MAX_FLOW_HITS)
+def _js_gate() -> Column:
+    return _script() & F.col("text").contains("axios") & contains_any(F.col("text"), ("eval", "Function", "runIn"))
+
+
+JS_FLOW = Detector(_js_gate, js_flow, "JavaScript flow", MAX_FLOW_SOURCE, MAX_FLOW_HITS)
+
+
+def decodes() -> Column:
+    """Files that may hold literals worth decoding."""
+    return _script() & F.col("text").rlike(r"\\|[A-Za-z0-9+/]{30}|[\"']\s*\+\s*[\"']|fromCharCode|Uint8Array|\[\s*[\"']")
+
+
+def js_literals(path: str, text: str) -> list[tuple[int, int, str, str | None, str | None]]:
+    """(start_line, end_line, method, raw, value) of decoded literals; one without value names
+    what was not decoded as its method."""
+    if len(text.encode()) > MAX_DECODE_SOURCE:
+        return [(0, 0, "JavaScript decoder source-byte limit", None, None)]
+    found, unsupported = js_decoded(path, text)
+    tables, more = table_values(text)
+    reasons = dict.fromkeys(x for x in ("unsupported JavaScript literal expression" if unsupported else "", more) if x)
+    return [*found, *tables, *((0, 0, x, None, None) for x in reasons)]
 
 
 def js_values(files: DataFrame) -> DataFrame:
-    """(repo_id, path, start_line, end_line, method, raw, value) of decoded literals;
-    a row without value names what was not decoded as its method."""
+    """(repo_id, path, start_line, end_line, method, raw, value) of ``js_literals`` of all files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for repo, path, text in batch.itertuples(index=False):
-                if text is None:
-                    rows.append((repo, path, 0, 0, "JavaScript decoder source-byte limit", None, None))
-                    continue
-                found, unsupported = js_decoded(path, text)
-                rows += [(repo, path, *x) for x in found]
-                if unsupported:
-                    rows.append((repo, path, 0, 0, "unsupported JavaScript literal expression", None, None))
+            rows = [(repo, path, *x) for repo, path, text in batch.itertuples(index=False) for x in js_literals(path, text)]
             yield pd.DataFrame(rows, columns=["repo_id", "path", "start_line", "end_line", "method", "raw", "value"])
 
-    worth = F.col("text").rlike(r"\\|[A-Za-z0-9+/]{30}|[\"']\s*\+\s*[\"']|fromCharCode|Uint8Array")
-    text = F.when(F.octet_length("text") <= MAX_DECODE_SOURCE, F.col("text"))
-    return files.where(_script() & worth).select("repo_id", "path", text.alias("text")).mapInPandas(run, "repo_id string, path string, start_line int, end_line int, method string, raw string, value string")
+    return files.where(decodes()).select("repo_id", "path", "text").mapInPandas(run, "repo_id string, path string, start_line int, end_line int, method string, raw string, value string")
 
 
 def js_decoded_findings(files: DataFrame) -> DataFrame:
-    """DECODE-001 for each decoded value and rule that it meets, with the rule's severity and
-    its id as ``contributing``; and, without one, for each literal that hides text that executes."""
+    """DECODE-001 of the literals of ``files`` (repo_id, path, text)."""
+    return decoded_findings(js_values(files))
+
+
+def decoded_findings(values: DataFrame) -> DataFrame:
+    """DECODE-001 for each decoded value (as of ``js_values``) and rule that it meets, with the rule's
+    severity and its id as ``contributing``; and, without one, for each literal that hides text that executes."""
     met = [
         F.when(applies(F.col("path"), r.globs) & F.col("value").rlike(to_java(r.pattern)), F.struct(F.lit(r.id).alias("contributing"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message")))
         for r in builtin_rules()
@@ -583,12 +623,12 @@ def js_decoded_findings(files: DataFrame) -> DataFrame:
     ]
     executes = F.col("value").rlike(to_java(_DECODED)) & ~F.col("raw").rlike(to_java(_DECODED))
     own = F.when(executes, F.struct(F.lit(None).cast("string").alias("contributing"), F.lit("high").alias("severity"), F.lit("text that executes").alias("message")))
-    hits = js_values(files).where("value is not null").select("*", F.inline(F.array_compact(F.array(*met, own))))
+    hits = values.where("value is not null").select("*", F.inline(F.array_compact(F.array(*met, own))))
     return hits.select("repo_id", "path", F.lit("DECODE-001").alias("rule_id"), "start_line", "end_line", F.concat(F.lit("Static "), F.col("method"), F.lit(" reveals "), F.col("message")).alias("reason"), "severity", "contributing")
 
 
 def js_findings(files: DataFrame) -> DataFrame:
-    return _js_flows(files).where("rule_id is not null").unionByName(js_decoded_findings(files), allowMissingColumns=True)
+    return detect(files, JS_FLOW).where("rule_id is not null").unionByName(js_decoded_findings(files), allowMissingColumns=True)
 
 
 # --- Python -------------------------------------------------------------------------------------
@@ -641,19 +681,21 @@ def py_flow(path: str, text: str) -> Iterator[Hit]:
             values.pop(d[1], None)
 
 
-def _py_flows(files: DataFrame) -> DataFrame:
+def _py_gate() -> Column:
     text = F.col("text")
-    calls = contains_any(text, ("requests", "httpx", "urlopen")) & contains_any(text, ("exec", "eval", "compile"))
-    return inspected(files, _ext().isin(".py", ".pyw") & calls, py_flow, "Python flow", MAX_FLOW_SOURCE, MAX_FLOW_HITS)
+    return _ext().isin(".py", ".pyw") & contains_any(text, ("requests", "httpx", "urlopen")) & contains_any(text, ("exec", "eval", "compile"))
+
+
+PY_FLOW = Detector(_py_gate, py_flow, "Python flow", MAX_FLOW_SOURCE, MAX_FLOW_HITS)
 
 
 def py_findings(files: DataFrame) -> DataFrame:
-    return _py_flows(files).where("rule_id is not null")
+    return detect(files, PY_FLOW).where("rule_id is not null")
 
 
 def skipped_files(files: DataFrame) -> DataFrame:
     """(repo_id, path, reason) of every file that a limit of a detector leaves out, in whole or in part."""
-    flows = _js_flows(files).union(_py_flows(files)).where("rule_id is null").select("repo_id", "path", "reason")
+    flows = detect(files, JS_FLOW).union(detect(files, PY_FLOW)).where("rule_id is null").select("repo_id", "path", "reason")
     return flows.union(js_values(files).where("value is null").select("repo_id", "path", F.col("method").alias("reason")))
 
 
@@ -670,9 +712,9 @@ def pdf_labels(data: bytes) -> list[str]:
     return sorted(k for k, p in _PDF.items() if re.search(p, data))
 
 
-@F.udf(ArrayType(StringType()))
-def _pdf(content):
-    return pdf_labels(bytes(content))
+@F.pandas_udf(ArrayType(StringType()))
+def _pdf(contents: pd.Series) -> pd.Series:
+    return contents.map(lambda c: pdf_labels(bytes(c)))
 
 
 def pdf_findings(files: DataFrame) -> DataFrame:

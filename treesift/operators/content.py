@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treesift.functions.paths import base_name, classify_context, inner_path
-from treesift.functions.text import entropy, is_dangerous, split_lines
-
-LONG_LINE, DENSE_LINE, DENSE_ENTROPY, NEAR = 600, 80, 4.8, 3
+from treesift.functions.paths import classify_context
+from treesift.functions.text import DENSE_ENTROPY, DENSE_LINE, LONG_LINE, NEAR, entropy, heuristics_apply, is_dangerous, split_lines
 
 
 def plain_lines(files: DataFrame) -> DataFrame:
@@ -23,15 +21,13 @@ def line_statistics(files: DataFrame) -> DataFrame:
     return files.select("repo_id", "path", F.size(sizes).alias("lines"), F.octet_length("text").alias("bytes"), F.coalesce(F.array_max(sizes), F.lit(0)).alias("longest"))
 
 
-def _heuristics_apply(path):
-    base = F.lower(base_name(inner_path(path)))
-    return ~(base.endswith(".map") | base.endswith(".lock") | base.isin("package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "yarn.lock")) & (classify_context(path) != "generated")
-
-
 def long_lines(files: DataFrame) -> DataFrame:
     """Very long lines outside generated files."""
-    kept = files.where(_heuristics_apply(F.col("path")))
-    lines = plain_lines(kept).where(F.octet_length("line") > LONG_LINE)
+    kept = files.where(heuristics_apply(F.col("path")))
+    return long_ones(plain_lines(kept).where(F.octet_length("line") > LONG_LINE))
+
+
+def long_ones(lines: DataFrame) -> DataFrame:
     return lines.select("repo_id", "path", "line_no", F.octet_length("line").alias("bytes"), classify_context(F.col("path"), F.col("line")).alias("context")).where("context <> 'generated'")
 
 
@@ -41,14 +37,19 @@ def dense_lines(files: DataFrame, near: int = NEAR) -> DataFrame:
     The range predicate becomes flags of neighbours inside each file's own array
     of lines, so no window and no shuffle is needed."""
     lines = split_lines(F.col("text"))
-    kept = files.where(_heuristics_apply(F.col("path"))).withColumn("lines", lines)
+    kept = files.where(heuristics_apply(F.col("path"))).withColumn("lines", lines)
     risky = kept.where(F.exists("lines", is_dangerous)).withColumn("risky", F.transform("lines", lambda x: is_dangerous(x)))
     rows = risky.select("repo_id", "path", "risky", F.posexplode("lines").alias("at", "line")).where(F.octet_length("line") >= DENSE_LINE)
     around = F.slice("risky", F.greatest(F.col("at") + 1 - near, F.lit(1)), F.lit(near) + 1 + F.least(F.col("at"), F.lit(near)))
-    dense = rows.where(F.exists(around, lambda x: x)).withColumn("entropy", entropy(F.col("line"))).where(F.col("entropy") >= DENSE_ENTROPY)
+    return dense_ones(rows.where(F.exists(around, lambda x: x)).select("repo_id", "path", (F.col("at") + 1).alias("line_no"), "line"))
+
+
+def dense_ones(lines: DataFrame) -> DataFrame:
+    """Those of high entropy among lines beside a call that executes."""
+    dense = lines.withColumn("entropy", entropy(F.col("line"))).where(F.col("entropy") >= DENSE_ENTROPY)
     context = classify_context(F.col("path"), F.col("line"))
     return dense.select(
-        "repo_id", "path", (F.col("at") + 1).alias("line_no"), F.round("entropy", 4).alias("entropy"), context.alias("context"),
+        "repo_id", "path", "line_no", F.round("entropy", 4).alias("entropy"), context.alias("context"),
         F.when(context == "executable", "medium").otherwise("low").alias("confidence"),
         F.format_string("entropy: %.2f; length: %d", F.col("entropy"), F.octet_length("line")).alias("evidence"),
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -172,9 +173,9 @@ def font_rules(suffix: str, data: bytes) -> list[str]:
     return [*out, "FONT-005"] if b"fpgm" in tables or b"prep" in tables else out
 
 
-@F.udf(ArrayType(StringType()))
-def _font(suffix, content):
-    return font_rules(suffix, bytes(content))
+@F.pandas_udf(ArrayType(StringType()))
+def _font(suffixes: pd.Series, contents: pd.Series) -> pd.Series:
+    return pd.Series([font_rules(s, bytes(c)) for s, c in zip(suffixes, contents, strict=True)], dtype=object)
 
 
 def font_findings(tree: DataFrame) -> DataFrame:

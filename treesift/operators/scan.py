@@ -6,25 +6,30 @@ the catalogue; with those of the rules they are deduplicated and correlated, and
 lead to a verdict.  Whatever was not looked at is a row of the gaps (repo_id,
 path, reason); a repository with one is incomplete.
 
-Texts are read by many detectors.  Members of archives are unpacked once: the
-files with their members are kept, as a checkpoint where the session names a
-folder for these, else in executors' storage."""
+The tree is read once and written as a table of files, with their texts, flags and
+first bytes; archives are opened once.  One stage then passes over all texts, for
+rules, lines and detectors alike (``pass_over``).  Settings and manifests, a folder of
+their own in that table, are read by their detectors; all else reads small columns."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from treesift.functions import policy
-from treesift.functions.paths import classify_context
-from treesift.functions.text import safe_evidence
+from treesift.functions.paths import base_name, classify_context, extension, walk_key
+from treesift.functions.regex import spans_lines, to_python
+from treesift.functions.text import looks_text, safe_evidence
 from treesift.operators import active, content, findings, packages, rules, supply_chain
 from treesift.operators.structured_table import CONTEXTS, PATH_CONTEXT, STRUCTURED, TONED_DOWN
 from treesift.sources import archives, files, manifests
+from treesift.sources.tables import kept
 
 #: Arrival of findings in one file: detectors before the rules, and after them.
 BEFORE, AFTER = -1000, 100_000
@@ -90,33 +95,100 @@ def raised(hits: DataFrame) -> DataFrame:
     )
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df``, computed once however often it is read."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=False)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+#: Source and prose, of which no detector of settings, manifests or packages reads the text.
+_PROSE = (
+    ".txt", ".md", ".markdown", ".rst", ".adoc", ".html", ".htm", ".svg", ".css", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".py", ".pyw", ".c", ".h", ".cc", ".cpp", ".go", ".java", ".kt", ".swift", ".php",
+)
 
 
-def _readable(tree: DataFrame) -> DataFrame:
-    return tree.where("link_target is null and problem is null and content is not null")
+def _is_setting(path: Column) -> Column:
+    base = F.lower(base_name(path))
+    prose = extension(path).isin(*_PROSE) & ~base.startswith("requirements") & ~base.startswith("gemfile")
+    return path.contains("!") | F.concat(F.lit("/"), path).contains("/.git/") | ~prose
 
 
-def unpacked(tree: DataFrame, max_files: int = files.MAX_FILES) -> DataFrame:
-    """(repo_id, path, content, executable, link_target, problem) of the files of a tree
-    up to its limit, and of the members of archives among them."""
-    first = files.first_files(_readable(tree), max_files)
-    modes = first.where("executable").select("repo_id", "path", F.lit(True).alias("executable"))
-    placed = archives.expand(first).join(modes, ["repo_id", "path"], "left")
-    return kept(placed.select("repo_id", "path", "content", F.coalesce("executable", F.lit(False)).alias("executable"), F.lit(None).cast("string").alias("link_target"), "problem"))
-
-
-def _bodies(every: DataFrame) -> DataFrame:
-    return every.where("problem = '' and content is not null")
+def _entries(rows: DataFrame, member: bool, digests: bool) -> DataFrame:
+    """Rows (repo_id, path, executable, link_target, content, problem) with what a scan asks of
+    their bytes: text, or else the bytes themselves (also of archives), the first of them, and flags."""
+    content = F.col("content")
+    readable = F.col("link_target").isNull() & F.col("problem").isNull() & content.isNotNull()
+    text = F.coalesce(readable & looks_text(content), F.lit(False))
+    archive = F.coalesce(readable & archives.is_archive(F.col("path"), content), F.lit(False))
+    return rows.select(
+        "repo_id", "path", F.coalesce("executable", F.lit(False)).alias("executable"), "link_target", "problem", F.lit(member).alias("member"), readable.alias("readable"), (archive & F.lit(not member)).alias("archive"),
+        F.when(readable, F.substring("content", 1, 4)).alias("head"), F.when(readable & F.lit(digests), F.sha2("content", 256)).alias("sha256"),
+        F.when(text, F.make_valid_utf8(content.cast("string"))).alias("text"), F.when(readable & (archive | ~text), content).alias("content"),
+        (readable & ~text & files.source_or_settings(F.col("path"), F.col("executable"), content)).alias("undecodable"), F.coalesce(_is_setting(F.col("path")), F.lit(True)).alias("setting"),
+    )
 
 
-def texts(every: DataFrame) -> DataFrame:
-    """(repo_id, path, text) of those that are text."""
-    return files.as_text(_bodies(every).select("repo_id", "path", "content")).select("repo_id", "path", "text")
+def listing(tree: DataFrame, max_files: int = files.MAX_FILES, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(every file, repositories over the limit of files): the tree is read once and written
+    as a table, split by what is a setting and what is prose; members of archives follow as
+    rows of their own.  Files beyond the limit are left out."""
+    first = kept(_entries(tree, False, digests), "entries", "setting")
+    over = kept(first.where("readable").groupBy("repo_id").count().where(F.col("count") > max_files).select("repo_id"), "over")
+    if not over.isEmpty():  # the last path of each such repository, from the paths alone
+        order = Window.partitionBy("repo_id").orderBy(walk_key(F.col("path")))
+        turns = first.where("readable").join(over, "repo_id", "left_semi").select("repo_id", "path", F.row_number().over(order).alias("turn"))
+        last = turns.where(F.col("turn") == max_files).select("repo_id", walk_key(F.col("path")).alias("last"))
+        first = first.join(last, "repo_id", "left").where(~F.col("readable") | F.col("last").isNull() | (walk_key(F.col("path")) <= F.col("last"))).drop("last")
+    packed = first.where("archive")
+    if packed.select("path").isEmpty():
+        return first, over
+    inner = archives.inside(packed).select("repo_id", "path", F.lit(False).alias("executable"), F.lit(None).cast("string").alias("link_target"), "content", F.nullif("problem", F.lit("")).alias("problem"))
+    return first.unionByName(kept(_entries(inner, True, digests), "members", "setting")), over
+
+
+#: What looks at one text, by the place of its findings among those of a file.
+PASS: dict[int, active.Detector] = {
+    BEFORE + 5: active.SVG, BEFORE + 6: active.HIDDEN, BEFORE + 7: active.JS_FLOW, BEFORE + 8: active.PY_FLOW, AFTER + 2: active.STAGED, AFTER + 3: active.WORKFLOW,
+}
+DECODED = BEFORE + 7
+
+
+def pass_over(texts: DataFrame, rule_list: list[rules.Rule]) -> DataFrame:
+    """What rules, line heuristics and detectors find in ``texts`` (repo_id, path, text), as
+    ``rules.FOUND``: one read of each text in one stage without a shuffle.  Rules and lines are
+    expressions over the file's row; a text goes to Python only if a detector's gate or a rule
+    that spans lines asks for it, once for all of these.  Of detectors, ``ordinal`` is their
+    place and a row without rule_id a gap; decoded literals have kind ``value``."""
+    gates = {**{n: d.gate() for n, d in PASS.items()}, 0: active.decodes()}
+    chosen = F.array_compact(F.array(*[F.when(g, F.lit(n)) for n, g in gates.items()]))
+    read = rules.matched(texts, rule_list, heuristics=True).withColumn("chosen", chosen)
+    patterns = {i: (r.pattern, r.match_scope()) for i, r in enumerate(rule_list) if spans_lines(r.pattern)}
+
+    def found_in(repo: str, path: str, text: str, code: str | None, tried: list[int], chosen: list[int], ready: dict) -> Iterator[tuple]:
+        for i, start, end, evidence, at in rules.across_lines(ready, text, code, tried):
+            yield repo, path, "span", i, None, start, end, 1, at, evidence, None, None
+        for n in chosen:
+            if n:
+                for rule_id, start, end, reason in PASS[n].hits(path, text):
+                    yield repo, path, "hit" if rule_id else "gap", n, rule_id, start, end, 1, 0, None, None, reason
+            else:
+                for start, end, method, raw, value in active.js_literals(path, text):
+                    yield repo, path, "gap" if value is None else "value", DECODED, None, start, end, 1, 0, raw, value, method
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = {i: (to_python(p), scope) for i, (p, scope) in patterns.items()}
+        for batch in batches:
+            yield rules.lines_in_batch(batch)
+            rows = []
+            for repo, path, text, code, tried, chosen in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "path", "text", "code_text", "tried", "chosen")), strict=True):
+                if text is not None and (tried or chosen):
+                    rows += found_in(repo, path, text, code, tried, chosen, ready)
+            yield rules.found_batch(rows)
+
+    worth = (F.size("tried") > 0) | (F.size("chosen") > 0)
+    return rules.only_worth(read, worth, "chosen").mapInArrow(run, rules.FOUND)
+
+
+def pass_hits(found: DataFrame) -> list[tuple[int, DataFrame]]:
+    """(order, hits) of the detectors and line heuristics in the result of ``pass_over``."""
+    hits = [(n, found.where((F.col("kind") == "hit") & (F.col("ordinal") == n)).select("repo_id", "path", "rule_id", "start_line", "end_line", "reason", F.lit("ci-workflow" if d is active.WORKFLOW else None).cast("string").alias("context"))) for n, d in PASS.items()]
+    values = found.where("kind = 'value'").select("repo_id", "path", "start_line", "end_line", F.col("reason").alias("method"), "raw", F.col("code").alias("value"))
+    lines = lambda kind: found.where((F.col("kind") == "line") & (F.col("ordinal") == kind)).select("repo_id", "path", F.col("start_line").alias("line_no"), F.col("raw").alias("line"))
+    return [*hits, (DECODED, active.decoded_findings(values)), (AFTER, _lines(content.long_ones(lines(rules.LONG)), "OBFS-004")), (AFTER + 1, _lines(content.dense_ones(lines(rules.DENSE)), "OBFS-005"))]
 
 
 def package_hits(text: DataFrame, advisories: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,35 +211,42 @@ def package_hits(text: DataFrame, advisories: DataFrame) -> tuple[DataFrame, Dat
     return hits, squats
 
 
-def archive_hits(unpacked: DataFrame) -> DataFrame:
+def archive_hits(every: DataFrame) -> DataFrame:
     """Members that would leave the folder an archive is unpacked to."""
-    return unpacked.where("problem = 'traversal'").select("repo_id", "path", F.lit("ARCHIVE-001").alias("rule_id"), F.lit("unsafe archive path").alias("evidence"))
+    return every.where("member and problem = 'traversal'").select("repo_id", "path", F.lit("ARCHIVE-001").alias("rule_id"), F.lit("unsafe archive path").alias("evidence"))
 
 
-def hash_hits(unpacked: DataFrame, indicators: DataFrame) -> DataFrame:
+def hash_hits(every: DataFrame, indicators: DataFrame) -> DataFrame:
     """Files whose bytes an indicator (sha256, family) names."""
-    digests = unpacked.where("content is not null").select("repo_id", "path", F.sha2("content", 256).alias("sha256"))
     last = indicators.groupBy(F.lower("sha256").alias("sha256")).agg(F.max("family").alias("family"))
     message = F.concat(F.lit("File SHA-256 matches a confirmed "), "family", F.lit(" indicator"))
-    return digests.join(last, "sha256").select("repo_id", "path", F.lit("IOC-HASH-SHA256").alias("rule_id"), message.alias("message"), F.concat(F.lit("sha256:"), "sha256").alias("evidence"))
+    return every.where("sha256 is not null").join(last, "sha256").select("repo_id", "path", F.lit("IOC-HASH-SHA256").alias("rule_id"), message.alias("message"), F.concat(F.lit("sha256:"), "sha256").alias("evidence"))
 
 
 def _lines(df: DataFrame, rule_id: str) -> DataFrame:
     return df.withColumn("rule_id", F.lit(rule_id))
 
 
-def structured_hits(unpacked: DataFrame, text: DataFrame) -> list[tuple[int, DataFrame]]:
-    """(order, hits) of every detector over binaries (``unpacked``: repo_id, path,
-    executable, link_target, content) and texts (repo_id, path, text)."""
-    before = [packages.binary_findings(unpacked), packages.font_findings(unpacked), active.pdf_findings(unpacked), packages.office_findings(text), packages.extension_findings(text)]
-    in_text = [active.svg_findings(text), active.hidden_findings(text), active.js_findings(text), active.py_findings(text)]
+def byte_hits(every: DataFrame) -> list[tuple[int, DataFrame]]:
+    """(order, hits) of the detectors that look at bytes: of all files the first four, of binaries all."""
+    heads = every.where("readable").select("repo_id", "path", "executable", "link_target", F.col("head").alias("content"))
+    binaries = every.where("setting and content is not null").select("repo_id", "path", "content")
+    return [(BEFORE + i, h) for i, h in enumerate((packages.binary_findings(heads), packages.font_findings(binaries), active.pdf_findings(binaries)))]
+
+
+def setting_hits(settings: DataFrame) -> list[tuple[int, DataFrame]]:
+    """(order, hits) of the detectors that look at settings, manifests and members of packages (repo_id, path, text)."""
+    before = [packages.office_findings(settings), packages.extension_findings(settings)]
     after = [
-        _lines(content.long_lines(text), "OBFS-004"), _lines(content.dense_lines(text), "OBFS-005"), active.staged_findings(text), active.workflow_findings(text).withColumn("context", F.lit("ci-workflow")),
-        packages.hook_findings(text), supply_chain.npm_scripts(text), supply_chain.npm_dependency_findings(text), supply_chain.npm_binaries(text), supply_chain.npm_overrides(text),
-        supply_chain.pip_sources(text), supply_chain.cargo_sources(text), supply_chain.jvm_wrappers(text), supply_chain.ruby_sources(text), supply_chain.go_replacements(text),
-        supply_chain.composer_sources(text), packages.dotnet_findings(text), packages.yarn_findings(text), supply_chain.implicit_build_scripts(text),
+        packages.hook_findings(settings), supply_chain.npm_scripts(settings), supply_chain.npm_dependency_findings(settings), supply_chain.npm_binaries(settings), supply_chain.npm_overrides(settings),
+        supply_chain.pip_sources(settings), supply_chain.cargo_sources(settings), supply_chain.jvm_wrappers(settings), supply_chain.ruby_sources(settings), supply_chain.go_replacements(settings),
+        supply_chain.composer_sources(settings), packages.dotnet_findings(settings), packages.yarn_findings(settings), supply_chain.implicit_build_scripts(settings),
     ]
-    return [(BEFORE + i, h) for i, h in enumerate(before + in_text)] + [(AFTER + i, h) for i, h in enumerate(after)]
+    return [(BEFORE + 3 + i, h) for i, h in enumerate(before)] + [(AFTER + 4 + i, h) for i, h in enumerate(after)]
+
+
+def _texts(every: DataFrame) -> DataFrame:
+    return every.where("text is not null").select("repo_id", "path", "text")
 
 
 def scan_everything(
@@ -181,23 +260,26 @@ def scan_everything(
     """Scan a tree as ``files.walk_tree`` gives it.  ``advisories`` (ecosystem, name,
     advisory_id, affected) and ``indicators`` (sha256, family) are looked up where given,
     ``custom`` rules stand beside the built-in ones, and ``repos`` (repo_id) may name
-    repositories without files."""
+    repositories without files.  The tree is read once, and every text in it once more."""
     spark = tree.sparkSession
-    every = unpacked(tree, max_files)
-    bodies, text = _bodies(every), texts(every)
-    hits = structured_hits(bodies, text)
-    hits += [(BEFORE - 10, archive_hits(every)), (AFTER + 500, hygiene_hits(tree, repos)), (AFTER - 10, files.link_findings(tree))]
+    rule_list = rules.builtin_rules() + (custom or [])
+    every, over = listing(tree, max_files, indicators is not None)
+    found = kept(pass_over(_texts(every), rule_list), "found")
+    settings = _texts(every.where("setting"))
+    hits = pass_hits(found) + byte_hits(every)
+    hits += [(BEFORE - 10, archive_hits(every)), (AFTER + 500, hygiene_hits(every.where("not member"), repos)), (AFTER - 10, files.link_findings(every.where("not member")))]
     if indicators is not None:
-        hits.append((BEFORE - 5, hash_hits(bodies, indicators)))
-    named, like = package_hits(text, advisories if advisories is not None else spark.createDataFrame([], "ecosystem string, name string, advisory_id string, affected array<string>"))
-    hits += [(BEFORE + 500, named), (BEFORE + 501, like)]
+        hits.append((BEFORE - 5, hash_hits(every, indicators)))
+    if not settings.select("path").isEmpty():
+        named, like = package_hits(settings, advisories if advisories is not None else spark.createDataFrame([], "ecosystem string, name string, advisory_id string, affected array<string>"))
+        hits += [*setting_hits(settings), (BEFORE + 500, named), (BEFORE + 501, like)]
     columns = ["repo_id", "path", "rule_id", "category", "severity", "confidence", "context", "message", "disposition", "start_line", "end_line", "evidence", "occurrences", "emit_seq"]
-    of_rules = rules.scan(text, None if custom is None else rules.builtin_rules() + custom).select(columns)
-    raw = of_rules.unionByName(raised(reduce(DataFrame.union, [as_hits(h, arrival) for arrival, h in hits])))
-    single = kept(findings.dedup(raw))
-    found = single.unionByName(findings.correlate(single), allowMissingColumns=True)
-    gaps = scan_gaps(tree, every, max_files)
-    return Scan(found, gaps, verdicts(tree if repos is None else repos, found, gaps))
+    of_rules = rules.rule_findings(found, rule_list).select(columns)
+    all_hits = kept(reduce(DataFrame.union, [as_hits(h, arrival) for arrival, h in hits]), "hits")
+    single = kept(findings.dedup(of_rules.unionByName(raised(all_hits))), "single")
+    done = single.unionByName(findings.correlate(single), allowMissingColumns=True)
+    gaps = kept(_gaps(every, over, found), "gaps")
+    return Scan(done, gaps, verdicts(every if repos is None else repos, done, gaps))
 
 
 def hygiene_hits(tree: DataFrame, repos: DataFrame | None = None) -> DataFrame:
@@ -206,13 +288,18 @@ def hygiene_hits(tree: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     return content.hygiene(everyone, tree).withColumn("path", F.lit("."))
 
 
-def scan_gaps(tree: DataFrame, every: DataFrame | None = None, max_files: int = files.MAX_FILES) -> DataFrame:
-    """(repo_id, path, reason) of everything that was not looked at, in whole or in part.
-    ``every``: the tree's files with their members, where these are at hand."""
-    every = unpacked(tree, max_files) if every is None else every
-    walked = tree.where("problem is not null").select("repo_id", "path", F.col("problem").alias("reason"))
-    inside = every.where("problem <> ''").select("repo_id", "path", F.when(F.col("problem") == "traversal", "unsafe archive entry").otherwise(F.concat(F.lit("archive: "), "problem")).alias("reason"))
-    return reduce(DataFrame.union, [walked, inside, files.undecodable(_bodies(every)), files.over_file_limit(_readable(tree), max_files), active.skipped_files(texts(every))]).distinct()
+def _gaps(every: DataFrame, over: DataFrame, found: DataFrame) -> DataFrame:
+    walked = every.where("not member and problem is not null").select("repo_id", "path", F.col("problem").alias("reason"))
+    inside = every.where("member and problem is not null").select("repo_id", "path", F.when(F.col("problem") == "traversal", "unsafe archive entry").otherwise(F.concat(F.lit("archive: "), "problem")).alias("reason"))
+    bytes_ = every.where("undecodable").select("repo_id", "path", F.lit("undecodable source or configuration").alias("reason"))
+    limits = over.select("repo_id", F.lit("").alias("path"), F.lit("file-count limit").alias("reason"))
+    return reduce(DataFrame.union, [walked, inside, bytes_, limits, found.where("kind = 'gap'").select("repo_id", "path", "reason")]).distinct()
+
+
+def scan_gaps(tree: DataFrame, max_files: int = files.MAX_FILES) -> DataFrame:
+    """(repo_id, path, reason) of everything that was not looked at, in whole or in part."""
+    every, over = listing(tree, max_files)
+    return _gaps(every, over, kept(pass_over(_texts(every), []), "found"))
 
 
 def verdicts(repos: DataFrame, found: DataFrame, gaps: DataFrame) -> DataFrame:

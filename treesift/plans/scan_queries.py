@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from treesift.operators import findings, rules, scan
 from treesift.plans.fixtures import values_sql
 from treesift.plans.rule_cases import CASES
+from treesift.plans.text_queries import CUSTOM, custom_rule_sql
 from treesift.sources import files
+from treesift.sources.files import CORPUS_SQL
 
 TREE = files.TREE
 #: (case, rule, files of the risky side, files of the harmless side); a file is (path, text).
@@ -131,5 +133,30 @@ def rule_cases_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(met, "rule_id", "left").fillna(False, ["found", "found_in_near_one"])
 
 
-QUERIES = {f.__name__: f for f in (paired_cases_x, scan_gaps_x, scan_verdicts_x, rule_cases_x)}
-SQL = {"paired_cases_x": PAIRS_SQL, "scan_gaps_x": GAPS_SQL, "scan_verdicts_x": VERDICTS_SQL, "rule_cases_x": RULE_CASES_SQL}
+#: Bytes over which a text of the tables is a gap.
+CORPUS_BYTES = 20_000
+
+CORPUS_SCAN_SQL = f"""WITH {CORPUS_SQL},
+small AS (SELECT repo_id, path, i AS line_no, regexp_replace(parts[i], '\\r$', '') AS line
+  FROM (SELECT s.repo_id, s.path, parts, unnest(range(1, len(parts) + 1)) AS i FROM split s JOIN files USING (repo_id, path) WHERE strlen(text) <= {CORPUS_BYTES})),
+met AS (
+  SELECT repo_id, path, rule_id, sum(n) AS n FROM ({custom_rule_sql("small")}) WHERE n > 0 GROUP BY ALL
+  UNION ALL SELECT repo_id, path, 'OBFS-004', count(*) FROM small WHERE strlen(line) > 600 GROUP BY ALL
+  UNION ALL SELECT DISTINCT repo_id, '.', rule_id, 1 FROM files, (VALUES ('REPO-001'), ('REPO-002')) r(rule_id)
+),
+gaps AS (SELECT repo_id, count(*) AS gaps FROM files WHERE strlen(text) > {CORPUS_BYTES} GROUP BY repo_id)
+SELECT repo_id, rule_id, count(*) AS findings, CAST(sum(n) AS BIGINT) AS occurrences, coalesce(max(gaps), 0) AS gaps, max(gaps) IS NULL AS complete,
+       CASE WHEN max(gaps) IS NULL THEN 'REVIEW REQUIRED' ELSE 'SCAN INCOMPLETE' END AS verdict
+FROM met LEFT JOIN gaps USING (repo_id) GROUP BY repo_id, rule_id"""
+
+
+def scan_corpus_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan of documents, pages and conversations as files, by built-in and own rules:
+    findings of each repository and rule, with the repository's gaps and verdict."""
+    done = scan.scan_everything(files.corpus_tree(spark, sf_dir, CORPUS_BYTES), custom=CUSTOM)
+    counts = done.findings.groupBy("repo_id", "rule_id").agg(F.count("*").alias("findings"), F.sum("occurrences").alias("occurrences"))
+    return counts.join(done.verdicts.select("repo_id", "gaps", "complete", "verdict"), "repo_id")
+
+
+QUERIES = {f.__name__: f for f in (paired_cases_x, scan_gaps_x, scan_verdicts_x, rule_cases_x, scan_corpus_t)}
+SQL = {"paired_cases_x": PAIRS_SQL, "scan_gaps_x": GAPS_SQL, "scan_verdicts_x": VERDICTS_SQL, "rule_cases_x": RULE_CASES_SQL, "scan_corpus_t": CORPUS_SCAN_SQL}

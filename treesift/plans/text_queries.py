@@ -18,12 +18,12 @@ CUSTOM = [
 MAX_BYTES = 20_000
 
 
-def _rule_sql() -> str:
+def custom_rule_sql(lines: str = "lines") -> str:
     parts = []
     for r in CUSTOM:
         pattern = r.pattern.replace("'", "''")
         where = {"TXT-001": "(path LIKE '%.txt' OR path LIKE '%.md')", "TXT-002": "true", "TXT-003": "path LIKE 'src/%/%.txt'"}[r.id]
-        parts.append(f"SELECT repo_id, path, line_no, '{r.id}' AS rule_id, len(regexp_extract_all(line, '{pattern}')) AS n FROM lines WHERE {where}")
+        parts.append(f"SELECT repo_id, path, line_no, '{r.id}' AS rule_id, len(regexp_extract_all(line, '{pattern}')) AS n FROM {lines} WHERE {where}")
     return " UNION ALL ".join(parts)
 
 
@@ -65,10 +65,31 @@ def repo_coverage_t(spark, sf_dir):
     return content.coverage(files, MAX_BYTES, active.skipped_files(files))
 
 
+def script_files(spark, sf_dir):
+    """A script for each part and each order: a table of words of the row, changed in some rows, and lookups in it."""
+    words = lambda name, *cs: F.concat(F.lit(f"const {name} = ['"), F.concat_ws("', '", *cs), F.lit("'];\n"))
+    part, order = spark.read.parquet(f"{sf_dir}/part.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("p_partkey")
+    change = F.when(key % 7 == 1, "t.push('x');\n").when(key % 7 == 2, "const u = t; u[0] = 'y';\n").when(key % 7 == 3, "t['push'](t['shift']());\n").when(key % 7 == 4, "{\n").otherwise("")
+    parts = part.select(F.lit("part").alias("repo_id"), F.concat(key.cast("string"), F.lit(".js")).alias("path"), F.concat(words("t", F.col("p_brand"), F.col("p_type"), F.col("p_name")), change, F.lit("f(t[2] + t[0], t[1]);\n")).alias("text"))
+    number = F.col("o_orderkey")
+    orders = order.select(F.lit("order").alias("repo_id"), F.concat(number.cast("string"), F.lit(".mjs")).alias("path"), F.concat(words("a", F.col("o_orderstatus"), F.col("o_orderpriority")), F.lit("let b = a["), (number % 3).cast("string"), F.lit("];\n")).alias("text"))
+    return parts.unionByName(orders)
+
+
+def js_tables_t(spark, sf_dir):
+    """What lookups in constant string tables say, and the files of which a table is changed."""
+    return active.js_values(script_files(spark, sf_dir)).select("repo_id", "path", "start_line", F.when(F.col("value").isNull(), F.col("method")).alias("gap"), "value")
+
+
 SQL = {
+    "js_tables_t": """WITH p AS (SELECT *, p_partkey % 7 AS k FROM part)
+        SELECT 'part' AS repo_id, p_partkey || '.js' AS path, 2 AS start_line, NULL AS gap, unnest([p_name || p_brand, p_type]) AS value FROM p WHERE k IN (0, 5, 6)
+        UNION ALL SELECT 'part', p_partkey || '.js', 0, CASE WHEN k = 3 THEN 'dynamic string-table rotation' ELSE 'unsupported JavaScript literal expression' END, NULL FROM p WHERE k IN (1, 2, 3)
+        UNION ALL SELECT 'order', o_orderkey || '.mjs', 2, NULL, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END FROM orders WHERE o_orderkey % 3 < 2""",
     "scan_lines_t": f"""WITH {CORPUS_SQL} SELECT f.repo_id, f.path, len(s.parts) AS lines, strlen(f.text) AS bytes,
         coalesce(list_max(list_transform(s.parts, lambda x: strlen(regexp_replace(x, '\\r$', '')))), 0) AS longest FROM files f JOIN split s USING (repo_id, path)""",
-    "rule_match_custom_t": f"""WITH {CORPUS_SQL}, hits AS ({_rule_sql()})
+    "rule_match_custom_t": f"""WITH {CORPUS_SQL}, hits AS ({custom_rule_sql()})
         SELECT repo_id, path, rule_id, CASE WHEN path LIKE '%.html' THEN 'executable' ELSE 'documentation' END AS context,
                CASE WHEN rule_id = 'TXT-001' THEN 'high' ELSE 'medium' END AS severity_raw, line_no, n FROM hits WHERE n > 0""",
     "long_lines_t": f"""WITH {CORPUS_SQL} SELECT repo_id, path, line_no, strlen(line) AS bytes, CASE WHEN path LIKE '%.html' THEN 'executable' ELSE 'documentation' END AS context

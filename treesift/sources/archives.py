@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treesift.functions.paths import inner_path
@@ -72,9 +72,20 @@ def _is_archive(path: str, data: bytes) -> bool:
     return len(data) >= 4 and (data[:4] == b"PK\x03\x04" or path.lower().endswith((".tar", ".tar.gz", ".tgz")))
 
 
+def is_archive(path: Column, content: Column) -> Column:
+    name = F.lower(inner_path(path))
+    return (F.length(content) >= 4) & ((F.hex(F.substring(content, 1, 4)) == "504B0304") | name.endswith(".tar") | name.endswith(".tar.gz") | name.endswith(".tgz"))
+
+
 def expand(files: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(repo_id, path, depth, content, problem) of ``files`` (repo_id, path, content)
-    and of all members of archives among them; paths of members are ``outer!inner``.
+    and of all members of archives among them; paths of members are ``outer!inner``."""
+    base = files.select("repo_id", "path", F.lit(0).alias("depth"), "content", F.lit("").alias("problem"))
+    return base.unionByName(inside(files.where(is_archive(F.col("path"), F.col("content"))), depth))
+
+
+def inside(files: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(repo_id, path, depth, content, problem) of all members of the archives ``files``.
     An archive deeper than ``depth`` has a row of its own with this problem.
 
     Archives are opened once, level below level, inside the task that holds them."""
@@ -104,8 +115,4 @@ def expand(files: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
 
     columns = ["repo_id", "path", "depth", "content", "problem"]
     schema = "repo_id string, path string, depth int, content binary, problem string"
-    base = files.select("repo_id", "path", F.lit(0).alias("depth"), "content", F.lit("").alias("problem"))
-    name = F.lower(inner_path(F.col("path")))
-    is_archive = (F.hex(F.substring("content", 1, 4)) == "504B0304") | name.endswith(".tar") | name.endswith(".tar.gz") | name.endswith(".tgz")
-    inner = base.where((F.length("content") >= 4) & is_archive).select("repo_id", "path", "content").mapInPandas(run, schema)
-    return base.unionByName(inner)
+    return files.select("repo_id", "path", "content").mapInPandas(run, schema)
