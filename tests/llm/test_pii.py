@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +85,22 @@ def test_redacted_text(spark):
     docs = spark.createDataFrame([(1, "é write x.34@mail7.example.com or +1 (243) 555-5526 now"), (2, "plain"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redacted(pii.find_spans(docs)).collect()}
     assert got == {1: "é write [email] or [phone] now", 2: "plain", 3: ""}
+
+
+def test_at_words_are_those_of_the_plain_pattern():
+    plain = re.compile(r"\s*[(\[{]\s*(?:at|AT|arroba)\s*[)\]}]\s*|\s+(?:at|AT)\s+(?=[A-Za-z0-9-]+\s*(?:[(\[{]\s*dot\s*[)\]}]|\s+dot\s+))")
+    random.seed(11)
+    parts = ["at", "AT", "arroba", "(", ")", "[", "]", "{", "}", " ", "  ", "\n", "dot", "name", "x", "@", ".", " at ", "(at)", " dot ", "[dot]", "host"]
+    for _ in range(20_000):
+        text = "".join(random.choice(parts) for _ in range(random.randrange(1, 14)))
+        assert list(pii.at_words(text)) == [m.span() for m in plain.finditer(text)], text
+
+
+def test_all_spans_take_time_in_proportion():
+    model = pii.weights()
+    n = 100_000
+    texts = [" " * 10 * n, "a (at)" + " " * n + "b", "x" + " " * n + "(at) host" + " " * n + "7", "(at)" * n, "x (at) " * n, "a@b.cc" + "(at)x" * n, "me at host dot " * n, "( " * n, "(" + " " * n + "at"]
+    for text in texts:
+        began = time.perf_counter()
+        pii.all_spans(text, model)
+        assert time.perf_counter() - began < 10, text[:20]

@@ -31,8 +31,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +58,7 @@ _MARK = re.compile(r"[0-9@]")
 _BLANK = re.compile(r"\s")
 _WORD = re.compile(r"[^\W\d_]+")
 _GROUP = re.compile(r" [(]?[0-9][0-9().-]*(?![^\s,;.])")
-_HOST = re.compile(r"\S+(?:\s*(?:[(\[{]\s*dot\s*[)\]}]|\s+dot\s+)\s*\S+)*")
+_HOST = re.compile(r"(\S+)(?:(?:\s*+[(\[{]\s*+dot\s*+[)\]}]|\s++dot\s)\s*+\S+)*")
 
 
 def luhn(digits: str) -> bool:
@@ -128,7 +130,31 @@ _FEATURES = (
     "letters", "luhn", "plus", "brackets", "groups", "cue email", "cue ip", "cue card", "cue phone",
 )
 _AT = {name: i for i, name in enumerate(_FEATURES)}
-_AT_WORD = re.compile(r"\s*[(\[{]\s*(?:at|AT|arroba)\s*[)\]}]\s*|\s+(?:at|AT)\s+(?=[A-Za-z0-9-]+\s*(?:[(\[{]\s*dot\s*[)\]}]|\s+dot\s+))")
+_AT_CORE = re.compile(r"at|AT|arroba")
+_DOT_AFTER = re.compile(r"[A-Za-z0-9-]+(?:\s*+[(\[{]\s*+dot\s*+[)\]}]|\s++dot\s)")
+_BLANKS = re.compile(r"\s*")
+_AT_OR_SIGN = re.compile(r"@|\bat\b")
+
+
+def at_words(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of at signs written out, with the white space around them: in brackets,
+    or as a word before a host whose dot is written out.  The word is found first and then
+    looked at outwards, so white space is passed over at most twice."""
+    done = 0
+    for m in _AT_CORE.finditer(text):
+        left = m.start()
+        while left > done and text[left - 1].isspace():
+            left -= 1
+        right = _BLANKS.match(text, m.end()).end()
+        if left > done and text[left - 1] in "([{" and text[right : right + 1] in (")", "]", "}"):
+            left -= 1
+            while left > done and text[left - 1].isspace():
+                left -= 1
+            done = _BLANKS.match(text, right + 1).end()
+            yield left, done
+        elif left < m.start() and right > m.end() and m[0] != "arroba" and _DOT_AFTER.match(text, right):
+            done = right
+            yield left, done
 
 
 class Token:
@@ -150,7 +176,7 @@ class Token:
         n = len(digits)
         f = [0]
         low = word.lower()
-        spelled = _AT_WORD.search(word)
+        spelled = next(at_words(word), None)
         has_at = "@" in word
         if has_at:
             f.append(_AT["at sign"])
@@ -179,7 +205,11 @@ class Token:
         self.features = f
         keys = []
         if has_at or spelled:
-            local = re.split(r"@|\s*[(\[{]?\s*\bat\b", low, maxsplit=1)[0].strip()
+            cut = _AT_OR_SIGN.search(low)
+            local = (low[: cut.start()] if cut else low).rstrip()
+            if cut and cut[0] == "at" and local.endswith(("(", "[", "{")):
+                local = local[:-1]
+            local = local.strip()
             if len(local) >= 4:
                 keys.append("l" + local)
         elif n >= 7:
@@ -199,14 +229,23 @@ def tokens_of(text: str, base: list[tuple[int, int, int]]) -> list[Token]:
     """Candidates in order; base spans are tokens of known label."""
     out = [Token(text, a, b, k) for k, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
-    for m in _AT_WORD.finditer(text):
-        a, b = m.start(), m.end()
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        tail = _HOST.match(text, b)
-        if tail and not any(x < tail.end() and a < y for x, y in taken):
-            out.append(Token(text, a, tail.end()))
-            taken.append((a, tail.end()))
+    begins, furthest = [a for a, _ in taken], [0, *accumulate((b for _, b in taken), max)]
+    blanks, run, last = _BLANK.finditer(text), 0, 0
+    blank, low, high, end = next(blanks, None), 0, 0, 0
+    for a, b in at_words(text):
+        while blank is not None and blank.end() <= a:  # where the unbroken run before it begins
+            run, blank = blank.end(), next(blanks, None)
+        if run < last:
+            continue
+        if not low <= b < high:  # the host goes on to the same place from all of an unbroken run
+            tail = _HOST.match(text, b)
+            if not tail:
+                continue
+            low, high, end = b, tail.end(1), tail.end()
+        if furthest[bisect_left(begins, end)] <= run:
+            out.append(Token(text, run, end))
+            last = end
+            taken.append((run, last))
     taken.sort()
     i, at, m = 0, 0, _MARK.search(text)
     while m:
@@ -386,7 +425,7 @@ def beliefs(text: str, tokens: list[Token], model) -> np.ndarray:
 def all_spans(text: str, model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans), both by kind, then start."""
     base = base_spans(text)
-    if not _MARK.search(text) and not _AT_WORD.search(text):
+    if not _MARK.search(text) and next(at_words(text), None) is None:
         return base, base
     tokens = tokens_of(text, base)
     if all(t.label is not None for t in tokens):
