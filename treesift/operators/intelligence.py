@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treesift.sources.json_tree import strict_problems
+
 
 def alias_components(candidates: DataFrame, keep) -> DataFrame:
     """(id, root): candidates that share an identifier, directly or by others.
@@ -49,6 +51,38 @@ def merge_snapshot(base: DataFrame, merged: DataFrame) -> DataFrame:
     return kept.select("ecosystem", "name", "advisory_id", "affected").unionByName(fresh.join(kept, same, "left_anti"))
 
 
+#: The fields of a snapshot, of its packages and of its file hashes, and rows of each at most.
+PACKAGE_FIELDS = (
+    "ecosystem", "name", "severity", "source", "source_url", "advisory_id", "aliases", "description", "added", "modified", "affected_versions", "typosquat_of", "campaign", "references", "snapshot_version",
+)
+HASH_FIELDS = ("sha256", "family", "source_url", "source", "context", "description", "added", "campaign", "actor", "references", "snapshot_version")
+MAX_ROWS = 100_000
+_LISTS = ("aliases", "affected_versions", "references")
+
+
+def snapshot_fields() -> list[str]:
+    """The fields that a snapshot may have, as ``json_tree.fields`` names them."""
+    own = ["$.snapshot_version", "$.snapshot_date"]
+    for section, names in (("packages", PACKAGE_FIELDS), ("file_hashes", HASH_FIELDS)):
+        own += [f"$.{section}", f"$.{section}[]", *(f"$.{section}[].{n}" for n in names), *(f"$.{section}[].{n}[]" for n in names if n in _LISTS)]
+    return own
+
+
+def read_snapshots(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(packages, problems) of snapshots ``texts`` (id, json), read strictly: a snapshot with an
+    unknown field, something after its end, or no or too many rows of a section has problems
+    (id, field, problem) and gives no packages."""
+    text = F.try_parse_json("json")
+    rows = lambda s: F.coalesce(F.size(F.try_variant_get(text, f"$.{s}", "array<variant>")), F.lit(0))
+    counted = texts.where(text.isNotNull()).select("id", F.explode(F.array(*[F.struct(F.lit(f"$.{s}").alias("field"), rows(s).alias("n")) for s in ("packages", "file_hashes")])).alias("s")).select("id", "s.*")
+    sizes = counted.where(~F.col("n").between(1, MAX_ROWS)).select("id", "field", F.lit("invalid number of rows").alias("problem"))
+    problems = strict_problems(texts, snapshot_fields()).unionByName(sizes)
+    good = texts.join(problems.select("id").distinct(), "id", "left_anti")
+    kinds = ", ".join(f"{n} {'array<string>' if n in _LISTS else 'string'}" for n in PACKAGE_FIELDS)
+    packages = good.select("id", F.inline(F.from_json(F.get_json_object("json", "$.packages"), f"array<struct<{kinds}>>")))
+    return packages.withColumnRenamed("affected_versions", "affected"), problems
+
+
 def _package_problem() -> Column:
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     return (

@@ -293,7 +293,8 @@ def _gaps(every: DataFrame, over: DataFrame, found: DataFrame) -> DataFrame:
     inside = every.where("member and problem is not null").select("repo_id", "path", F.when(F.col("problem") == "traversal", "unsafe archive entry").otherwise(F.concat(F.lit("archive: "), "problem")).alias("reason"))
     bytes_ = every.where("undecodable").select("repo_id", "path", F.lit("undecodable source or configuration").alias("reason"))
     limits = over.select("repo_id", F.lit("").alias("path"), F.lit("file-count limit").alias("reason"))
-    return reduce(DataFrame.union, [walked, inside, bytes_, limits, found.where("kind = 'gap'").select("repo_id", "path", "reason")]).distinct()
+    manifest = manifests.unreadable(_texts(every.where("setting")))
+    return reduce(DataFrame.union, [walked, inside, bytes_, limits, manifest, found.where("kind = 'gap'").select("repo_id", "path", "reason")]).distinct()
 
 
 def scan_gaps(tree: DataFrame, max_files: int = files.MAX_FILES) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from treesift.functions.paths import base_name, contains_any, directory, inner_path
 from treesift.functions.versions import all_exact, exact_version, is_affected, range_may_include
+from treesift.sources.json_tree import nested
 from treesift.sources.manifests import npm_alias, sectioned
 
 #: Names that resemble a package, and the package.
@@ -30,6 +31,7 @@ TYPO_TARGETS = {
     "reqeust": "request", "requset": "request", "requsets": "request", "requesrs": "requests",
     "reactt": "react", "react-js": "react", "djago": "django", "flaskk": "flask",
 }
+#: Scripts that an installation runs, and what a source other than a registry begins with.
 INSTALL_HOOKS = ("preinstall", "install", "postinstall", "prepare", "prepublish")
 SOURCE_PREFIXES = ("git+", "git:", "github:", "gitlab:", "bitbucket:", "http:", "https:", "file:", "link:")
 #: Parts of commands that fetch and that execute.
@@ -154,17 +156,13 @@ def npm_binaries(files: DataFrame) -> DataFrame:
     return some.select("repo_id", "path", F.lit("PKG-004").alias("rule_id"), F.lit("").alias("target")).union(bad.select("repo_id", "path", F.lit("PKG-006"), "target"))
 
 
-def npm_overrides(files: DataFrame, depth: int = 4) -> DataFrame:
-    """Overrides that lead a name elsewhere, nested to a fixed depth."""
+def npm_overrides(files: DataFrame) -> DataFrame:
+    """Overrides that lead a name elsewhere, nested to any depth."""
+    text = F.try_parse_json("text")
     some = files.where(_base() == "package.json")
-    sections = (("overrides", "$.overrides"), ("resolutions", "$.resolutions"), ("pnpm.overrides", "$.pnpm.overrides"))
-    level = reduce(DataFrame.union, (some.select("repo_id", "path", F.get_json_object("text", q).alias("tree")) for _, q in sections)).where("tree is not null")
-    found = []
-    for _ in range(depth):
-        entries = level.select("repo_id", "path", F.explode(F.from_json("tree", "map<string,string>")).alias("name", "value"))
-        found.append(entries.where(~F.col("value").startswith("{")))
-        level = entries.where(F.col("value").startswith("{")).select("repo_id", "path", F.col("value").alias("tree"))
-    rows = reduce(DataFrame.union, found)
+    trees = some.select("repo_id", "path", F.explode(F.array(*[F.try_variant_get(text, q, "variant") for q in ("$.overrides", "$.resolutions", "$.pnpm.overrides")])).alias("tree"))
+    leaves = nested(trees).where(F.schema_of_variant("item") == "STRING")
+    rows = leaves.select("repo_id", "path", "name", F.try_variant_get("item", "$", "string").alias("value"))
     target, _ = npm_alias(F.col("value"))
     reason = F.when(non_registry_source(F.col("value")).isNotNull(), non_registry_source(F.col("value"))).when(target.isNotNull() & (target != F.col("name")), F.concat(F.lit("identity: "), target))
     return rows.select("repo_id", "path", F.lit("PKG-008").alias("rule_id"), "name", reason.alias("reason")).where("reason is not null")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from treesift.functions.text import safe_evidence
 from treesift.operators import active, content, findings
 from treesift.operators.rules import Rule, scan
+from treesift.sources import json_tree, manifests
 from treesift.sources.files import CORPUS_SQL, corpus_files
 
 #: Rules of one's own, as a user would state them in a settings file.
@@ -82,7 +83,34 @@ def js_tables_t(spark, sf_dir):
     return active.js_values(script_files(spark, sf_dir)).select("repo_id", "path", "start_line", F.when(F.col("value").isNull(), F.col("method")).alias("gap"), "value")
 
 
+def lock_files(spark, sf_dir):
+    """A lockfile of the older form for each event, as deep as its user's number says."""
+    event = spark.read.parquet(f"{sf_dir}/events.parquet")
+    depth = F.when(F.col("event_id") % 200 == 7, 40).otherwise(1 + F.col("user_id") % 12).cast("int")
+    entry = lambda acc, i: F.concat(F.lit('{"n'), i.cast("string"), F.lit('": {"version": "'), i.cast("string"), F.lit("."), (F.col("event_id") % 10).cast("string"), F.lit('.0", "dependencies": '), acc, F.lit("}}"))
+    tree = F.aggregate(F.sequence(depth, F.lit(1), F.lit(-1)), F.lit("{}"), entry)
+    return event.select(F.lit("lock").alias("repo_id"), F.concat(F.col("event_id").cast("string"), F.lit("/package-lock.json")).alias("path"), F.concat(F.lit('{"lockfileVersion": 1, "dependencies": '), tree, F.lit("}")).alias("text"))
+
+
+def lock_tree_t(spark, sf_dir):
+    """The packages of nested lockfiles, however deep."""
+    return manifests.npm_lock(lock_files(spark, sf_dir)).select("path", "name", "version", "scope")
+
+
+def strict_json_t(spark, sf_dir):
+    """Fields and ends that a strict reader refuses, in the properties of events and changed ones."""
+    event = spark.read.parquet(f"{sf_dir}/events.parquet")
+    key = F.col("event_id")
+    more = F.concat(F.regexp_replace("props", r"}\s*$", ""), F.lit(', "list": [{"a": 1}, {"b": {"c": 2}}], "x": {"y": 1}}'))
+    json = F.when(key % 5 == 1, more).when(key % 5 == 2, F.concat("props", F.lit(" tail"))).when(key % 5 == 3, F.lit("{")).otherwise(F.col("props"))
+    return json_tree.strict_problems(event.select(key.alias("id"), json.alias("json")), ["$.k", "$.list", "$.list[]", "$.list[].a"])
+
+
 SQL = {
+    "lock_tree_t": """SELECT event_id || '/package-lock.json' AS path, 'n' || i AS name, i || '.' || (event_id % 10) || '.0' AS version, 'lockfile' AS scope
+        FROM (SELECT event_id, unnest(range(1, CASE WHEN event_id % 200 = 7 THEN 41 ELSE 2 + user_id % 12 END)) AS i FROM events)""",
+    "strict_json_t": """SELECT event_id AS id, unnest(['$.list[].b', '$.x']) AS field, 'unknown field' AS problem FROM events WHERE event_id % 5 = 1
+        UNION ALL SELECT event_id, '$', 'not JSON' FROM events WHERE event_id % 5 IN (2, 3)""",
     "js_tables_t": """WITH p AS (SELECT *, p_partkey % 7 AS k FROM part)
         SELECT 'part' AS repo_id, p_partkey || '.js' AS path, 2 AS start_line, NULL AS gap, unnest([p_name || p_brand, p_type]) AS value FROM p WHERE k IN (0, 5, 6)
         UNION ALL SELECT 'part', p_partkey || '.js', 0, CASE WHEN k = 3 THEN 'dynamic string-table rotation' ELSE 'unsupported JavaScript literal expression' END, NULL FROM p WHERE k IN (1, 2, 3)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treesift.functions.paths import base_name, inner_path
+from treesift.sources.json_tree import is_json, nested
 
 _OUT = ("repo_id", "path", "ecosystem", "name", "version", "scope", "alias")
 
@@ -54,20 +55,24 @@ def composer(files: DataFrame) -> DataFrame:
     return _rows(found, "composer", F.col("name"), F.col("version"), F.col("scope"))
 
 
-def npm_lock(files: DataFrame, depth: int = 8) -> DataFrame:
-    """Lockfiles: a flat map of packages, or else the nested tree of the older form,
-    to a fixed depth of nesting."""
-    locks = files.where(_base().isin("package-lock.json", "npm-shrinkwrap.json")).withColumn("packages", F.from_json(F.get_json_object("text", "$.packages"), "map<string,struct<version:string>>"))
+_LOCKS = ("package-lock.json", "npm-shrinkwrap.json")
+
+
+def npm_lock(files: DataFrame) -> DataFrame:
+    """Lockfiles: a flat map of packages, or else the nested tree of the older form, to any depth."""
+    locks = files.where(_base().isin(*_LOCKS)).withColumn("packages", F.from_json(F.get_json_object("text", "$.packages"), "map<string,struct<version:string>>"))
     flat = locks.select("repo_id", "path", F.explode("packages").alias("key", "item"))
     name = F.regexp_extract("key", r"^(?:.*node_modules/)(.+)$", 1)
     out = _rows(flat.where((F.coalesce(F.col("item.version"), F.lit("")) != "") & (name != "")), "npm", name, F.col("item.version"), F.lit("lockfile"))
-    level = locks.where(F.coalesce(F.size("packages"), F.lit(0)) <= 0).select("repo_id", "path", F.get_json_object("text", "$.dependencies").alias("tree"))
-    for _ in range(depth):
-        entries = level.select("repo_id", "path", F.explode(F.from_json("tree", "map<string,string>")).alias("name", "item"))
-        entry = entries.withColumn("version", F.get_json_object("item", "$.version"))
-        out = out.unionByName(_rows(entry.where(F.coalesce("version", F.lit("")) != ""), "npm", F.col("name"), F.col("version"), F.lit("lockfile")))
-        level = entry.select("repo_id", "path", F.get_json_object("item", "$.dependencies").alias("tree")).where("tree is not null")
-    return out
+    trees = locks.where(F.coalesce(F.size("packages"), F.lit(0)) <= 0).select("repo_id", "path", F.try_variant_get(F.try_parse_json("text"), "$.dependencies", "variant").alias("tree"))
+    entries = nested(trees, "$.dependencies").withColumn("version", F.try_variant_get("item", "$.version", "string"))
+    return out.unionByName(_rows(entries.where(F.coalesce("version", F.lit("")) != ""), "npm", F.col("name"), F.col("version"), F.lit("lockfile")))
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """(repo_id, path, reason) of manifests in JSON that are none, or too deeply nested for Spark's parser."""
+    json = files.where(_base().isin(*_LOCKS, "package.json", "composer.json"))
+    return json.where(~is_json(F.col("text"))).select("repo_id", "path", F.lit("unreadable JSON manifest").alias("reason"))
 
 
 def sectioned(files: DataFrame, header: str, comment: str | None, lower: bool = False) -> DataFrame:
