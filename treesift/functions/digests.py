@@ -38,9 +38,13 @@ def table_digest(df: DataFrame, range_rows: int = RANGE_ROWS) -> str:
 
 
 def digest_by(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(key, digest) of the rows of each key: as ``table_digest``, with ranges of one hexadecimal
-    digit pair below each key and one level above, for keys of up to a million rows."""
+    """(key, digest) of the rows of each key: as ``table_digest``, with beginnings of four
+    hexadecimal digits, then two, then none, so one key of a billion rows is 65,536 small groups."""
+
+    def joined(lines: Column) -> Column:
+        return F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n"), 256).alias("digest")
+
     leaves = df.groupBy(key, F.sha2(row_text(list(columns)), 256).alias("leaf")).agg(F.count("*").alias("n"))
-    line = F.concat("leaf", F.lit(":"), F.col("n").cast("string"))
-    ranges = leaves.groupBy(key, F.substring("leaf", 1, 2).alias("at")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
-    return ranges.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("at", F.lit(":"), "digest"))), "\n"), 256).alias("digest"))
+    level = leaves.groupBy(key, F.substring("leaf", 1, 4).alias("at")).agg(joined(F.concat("leaf", F.lit(":"), F.col("n").cast("string"))))
+    level = level.groupBy(key, F.substring("at", 1, 2).alias("up")).agg(joined(F.concat("at", F.lit(":"), "digest")))
+    return level.groupBy(key).agg(joined(F.concat("up", F.lit(":"), "digest")))

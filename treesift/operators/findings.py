@@ -196,18 +196,18 @@ def facets(findings: DataFrame) -> DataFrame:
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """One entry for each rule: its last finding's attributes, in arrival order."""
-    last = F.max_by(F.struct("message", "category", "severity", "confidence", "context", "disposition"), F.struct("repo_id", *_ORDER_KEYS))
-    return findings.withColumns(_order_columns("severity")).groupBy("rule_id").agg(last.alias("last")).select("rule_id", "last.*")
+    last = F.max_by(F.struct("message", "category", "severity", "confidence", "context", "disposition"), F.struct("repo_id", *ORDER_KEYS))
+    return findings.withColumns(order_columns("severity")).groupBy("rule_id").agg(last.alias("last")).select("rule_id", "last.*")
 
 
 def sarif_level(severity: Column) -> Column:
     return F.when(severity.isin("critical", "high"), "error").when(severity == "low", "note").otherwise("warning")
 
 
-_ORDER_KEYS = ("k_lead", "k_severity", "k_confidence", "path", "line", "rule_id", "message", "fingerprint", "context")
+ORDER_KEYS = ("k_lead", "k_severity", "k_confidence", "path", "line", "rule_id", "message", "fingerprint", "context")
 
 
-def _order_columns(group_by: str) -> dict[str, Column]:
+def order_columns(group_by: str) -> dict[str, Column]:
     lead = {"file": F.col("path"), "rule": F.col("rule_id")}.get(group_by, F.lpad((9 - disposition_rank()).cast("string"), 2, "0"))
     return {"k_lead": lead, "k_severity": -severity_rank(), "k_confidence": -confidence_rank()}
 
@@ -217,7 +217,7 @@ def presentation_rank(findings: DataFrame, group_by: str = "severity") -> DataFr
 
     A repository is cut into ranges of the order by its leading keys, counted,
     and ranked range by range, so one large repository is many tasks' work."""
-    keyed = findings.withColumns(_order_columns(group_by))
+    keyed = findings.withColumns(order_columns(group_by))
     part = ("repo_id", "k_lead", "k_severity", "k_confidence", "path")
     sizes = keyed.groupBy(*part).agg(F.count("*").alias("size"))
     groups = sizes.groupBy("repo_id", "k_lead", "k_severity", "k_confidence").agg(F.sum("size").alias("group_size"))
@@ -251,8 +251,8 @@ def search(findings: DataFrame, text: str = "", category: str = "", rule: str =
 def top_finding(findings: DataFrame, blocks_only: bool = False) -> DataFrame:
     """The first finding in display order of each repository."""
     chosen = findings.where(F.col("disposition") == "block") if blocks_only else findings
-    keyed = chosen.withColumns(_order_columns("severity"))
-    first = F.min(F.struct(*_ORDER_KEYS, "severity", "confidence", "disposition"))
+    keyed = chosen.withColumns(order_columns("severity"))
+    first = F.min(F.struct(*ORDER_KEYS, "severity", "confidence", "disposition"))
     return keyed.groupBy("repo_id").agg(first.alias("f")).select("repo_id", *[f"f.{c}" for c in ("rule_id", "path", "line", "message", "severity", "confidence", "disposition")])
 
 

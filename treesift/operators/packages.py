@@ -24,6 +24,8 @@ OFFICE = (".docx", ".docm", ".dotx", ".dotm", ".xlsx", ".xlsm", ".xltx", ".xltm"
 SUSPICIOUS_HOOK = ("curl ", "wget ", "eval ", "node -e", "python -c", "bash -c", "powershell", "/dev/tcp/", "base64 -d")
 #: Fixed value: bytes that the drawings of a font's glyphs may unpack to.
 MAX_GLYPH_BYTES = 8 << 20
+#: In place of a rule: a font of which the drawings were not looked at.
+LIMIT = "limit"
 FONTS = (".ttf", ".otf", ".ttc", ".woff", ".woff2")
 CONTRIBUTIONS = ("commands", "debuggers", "taskDefinitions", "terminalProfiles", "customEditors", "authentication", "notebooks", "notebookRenderer", "views")
 
@@ -49,15 +51,17 @@ def hook_findings(files: DataFrame) -> DataFrame:
 
 def office_findings(members: DataFrame) -> DataFrame:
     """Macros, content from elsewhere and data exchange fields, from members as text
-    (repo_id, path, text).  A field's instruction may be cut over several runs."""
+    (repo_id, path, text).  A field's instruction may be cut over several runs; runs of
+    different fields, between which a field begins, has its result or ends, are kept apart."""
     some = members.where(F.col("path").contains("!") & extension(outer_path(F.col("path"))).isin(*OFFICE))
     inner = F.lower(inner_path(F.col("path")))
     relations = F.regexp_extract_all("text", F.lit(r"(?is)<(?:\w+:)?Relationship\b[^>]*>"), 0)
     external = F.exists(relations, lambda r: r.rlike(r"""(?i)\sTargetMode\s*=\s*["']\s*External\s*["']"""))
     vba = F.exists(relations, lambda r: r.rlike(r"""(?i)relationships/vbaProject["']"""))
-    runs = F.array_join(F.regexp_extract_all("text", F.lit(r"(?is)<(?:\w+:)?instrText\b[^>]*>([^<]*)<"), 1), "")
-    simple = F.array_join(F.regexp_extract_all("text", F.lit(r"""(?is)<(?:\w+:)?fldSimple\b[^>]*\binstr\s*=\s*"([^"]*)\""""), 1), " ")
-    dde = F.concat_ws(" ", runs, simple).rlike(r"(?i)(?:^|\s)DDE(?:AUTO)?\s")
+    pieces = F.split("text", r"(?i)<(?:\w+:)?(?:fldChar|fldSimple|p)\b|</(?:\w+:)?(?:fldSimple|p)\s*>")
+    runs = F.transform(pieces, lambda x: F.array_join(F.regexp_extract_all(x, F.lit(r"(?is)<(?:\w+:)?instrText\b[^>]*>([^<]*)<"), 1), ""))
+    simple = F.regexp_extract_all("text", F.lit(r"""(?is)<(?:\w+:)?fldSimple\b[^>]*\binstr\s*=\s*(?:"([^"]*)"|'([^']*)')"""), 1)
+    dde = F.exists(F.concat(runs, simple), lambda x: x.rlike(r"(?i)(?:^|\s)DDE(?:AUTO)?\s"))
     found = F.array(F.when((base_name(inner) == "vbaproject.bin") | vba, "DOC-002"), F.when(inner.endswith(".rels") & external, "DOC-003"), F.when(inner.endswith(".xml") & dde, "DOC-004"))
     return _rows(some, found)
 
@@ -127,7 +131,7 @@ def _glyph_documents(table: bytes) -> list[str]:
             data = zlib.decompressobj(31).decompress(data, left + 1)
         left -= len(data)
         if left < 0:
-            raise ValueError("drawings are too large")
+            raise OverflowError("drawings are too large")
         out.append(data.decode("utf-8", "replace"))
     return out
 
@@ -166,6 +170,8 @@ def font_rules(suffix: str, data: bytes) -> list[str]:
         offset, length = tables[b"SVG "]
         try:
             drawings = _glyph_documents(data[offset : offset + length])
+        except OverflowError:
+            return [*out, LIMIT]
         except (struct.error, ValueError, zlib.error):
             return bad
         if any(True for x in drawings for _ in svg_active("glyph.svg", x)):
@@ -178,6 +184,15 @@ def _font(suffixes: pd.Series, contents: pd.Series) -> pd.Series:
     return pd.Series([font_rules(s, bytes(c)) for s, c in zip(suffixes, contents, strict=True)], dtype=object)
 
 
-def font_findings(tree: DataFrame) -> DataFrame:
+def _fonts(tree: DataFrame) -> DataFrame:
     suffix = extension(inner_path(F.col("path")))
     return tree.where(suffix.isin(*FONTS)).select("repo_id", "path", F.explode(_font(suffix, "content")).alias("rule_id"))
+
+
+def font_findings(tree: DataFrame) -> DataFrame:
+    return _fonts(tree).where(F.col("rule_id") != LIMIT)
+
+
+def font_gaps(tree: DataFrame) -> DataFrame:
+    """(repo_id, path, reason) of fonts whose drawings are too large to be looked at."""
+    return _fonts(tree).where(F.col("rule_id") == LIMIT).select("repo_id", "path", F.lit("font drawing limit").alias("reason"))

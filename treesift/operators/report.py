@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from treesift.functions import policy
 from treesift.functions.ranks import CONFIDENCES, DISPOSITIONS, SEVERITIES
-from treesift.operators.findings import sarif_level
+from treesift.functions.text import sanitized
+from treesift.operators.advice import advice
+from treesift.operators.findings import ORDER_KEYS, order_columns, sarif_level
 
 LOCATION = "struct<path: string, start_line: int, end_line: int, evidence: string>"
 FINDING = (
@@ -93,23 +96,98 @@ def with_rule_info(findings: DataFrame, catalogue: DataFrame, advisories: DataFr
     return out.join(first, "rule_id", "left").withColumn("description", F.coalesce(F.nullif(F.col("described"), F.lit("")), F.col("message"))).drop("described")
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """One SARIF result for each finding, as JSON."""
+def _shown(value: Column, kind: T.DataType) -> Column:
+    """A value with every string in it fit to be shown."""
+    if isinstance(kind, T.StringType):
+        return sanitized(value)
+    if isinstance(kind, T.ArrayType) and _has_text(kind):
+        return F.transform(value, lambda x: _shown(x, kind.elementType))
+    if isinstance(kind, T.StructType) and _has_text(kind):
+        return F.when(value.isNotNull(), F.struct(*[_shown(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.MapType) and _has_text(kind):
+        pairs = F.transform(F.map_entries(value), lambda e: F.struct(_shown(e["key"], kind.keyType).alias("key"), _shown(e["value"], kind.valueType).alias("value")))
+        keys = F.transform(pairs, lambda e: e["key"])
+        return F.map_from_entries(F.filter(pairs, lambda e, i: F.array_position(keys, e["key"]) == i + 1))  # keys may become equal: the first stays
+    return value
+
+
+def _has_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_text(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_text(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.MapType):
+        return _has_text(kind.keyType) or _has_text(kind.valueType)
+    return isinstance(kind, T.StringType)
+
+
+def sanitized_rows(df: DataFrame) -> DataFrame:
+    """Rows fit to be shown: control characters and credentials out of every string, however
+    deep it lies in structs, arrays and maps.  Every writer of this module passes through it."""
+    return df.select(*[_shown(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+#: Results of one part of a log, about.
+PART_RESULTS = 5000
+#: Fixed value: the schema that a log names.
+SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
+
+
+def _sarif_result() -> Column:
     place = F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.when(F.col("line") > 0, F.struct(F.col("line").alias("startLine"))).alias("region"))
     message = F.concat(F.col("message"), F.when(F.col("evidence") != "", F.concat(F.lit("; evidence: "), F.col("evidence"))).otherwise(F.lit("")))
-    result = F.struct(
+    return F.struct(
         F.col("rule_id").alias("ruleId"),
         sarif_level(F.col("severity")).alias("level"),
         F.struct(message.alias("text")).alias("message"),
         F.array(F.struct(place.alias("physicalLocation"))).alias("locations"),
         F.create_map(F.lit("treesift/v1"), F.col("fingerprint")).alias("fingerprints"),
     )
-    return findings.select("repo_id", F.to_json(result).alias("result"))
+
+
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """One SARIF result for each finding, as JSON."""
+    return sanitized_rows(findings).select("repo_id", F.to_json(_sarif_result()).alias("result"))
+
+
+def sarif_log(findings: DataFrame, coverage: DataFrame, part_results: int = PART_RESULTS) -> DataFrame:
+    """(repo_id, part, parts, results, log): SARIF 2.1.0 of each repository of ``coverage`` (repo_id,
+    complete, error), as JSON in parts of about ``part_results`` results.
+
+    Each part is a whole log with the rules of its results; a rule is described as the last of the
+    repository's findings has it.  A run was successful if the scan was complete without an error.
+    Parts are by a hash of the result, so no group grows with the repository."""
+    clean = sanitized_rows(findings)
+    sizes = clean.groupBy("repo_id").agg(F.greatest(F.ceil(F.count("*") / part_results), F.lit(1)).cast("int").alias("parts"))
+    repos = coverage.join(sizes, "repo_id", "left").select("repo_id", F.coalesce("parts", F.lit(1)).alias("parts"), (F.col("complete") & (F.coalesce("error", F.lit("")) == "")).alias("success"))
+    keyed = clean.withColumns(order_columns("severity")).join(repos.select("repo_id", "parts"), "repo_id")
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("fingerprint", "path", "line", "context", "severity", "confidence"), "parts").cast("int"))
+    described = F.struct("message", "category", "severity", "confidence", "context", "disposition")
+    last = keyed.groupBy("repo_id", "rule_id").agg(F.max_by(described, F.struct(*ORDER_KEYS)).alias("last"))
+    properties = F.struct(*[F.col(f"last.{c}").alias(c) for c in ("category", "severity", "confidence", "context", "disposition")], advice(F.col("last.category")).alias("advice"))
+    rule = F.struct(F.col("rule_id").alias("id"), F.struct(F.col("last.message").alias("text")).alias("shortDescription"), properties.alias("properties"))
+    used = keyed.select("repo_id", "part", "rule_id").distinct().join(last, ["repo_id", "rule_id"]).groupBy("repo_id", "part").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+    order = F.struct(*ORDER_KEYS)
+    results = keyed.groupBy("repo_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("order"), F.to_json(_sarif_result()).alias("result")))), lambda r: r["result"]).alias("results"))
+    every = repos.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(results, ["repo_id", "part"], "left").join(used, ["repo_id", "part"], "left")
+    listed = F.coalesce("results", F.array().cast("array<string>"))
+    driver = F.to_json(F.struct(F.lit("treesift").alias("name"), F.coalesce("rules", F.array().cast(used.schema["rules"].dataType)).alias("rules")))
+    success = F.when(F.col("success"), "true").otherwise("false")
+    run = F.concat(
+        F.lit(f'{{"version":"2.1.0","$schema":"{SARIF_SCHEMA}","runs":[{{"tool":{{"driver":'), driver, F.lit('},"results":['), F.array_join(listed, ","),
+        F.lit('],"invocations":[{"executionSuccessful":'), success, F.lit("}]}]}"),
+    )
+    return every.select("repo_id", "part", "parts", F.size(listed).alias("results"), run.alias("log"))
 
 
 def write_findings(findings: DataFrame, path: str, format: str = "parquet") -> None:
     """Findings as files in parts; nothing is gathered into one."""
-    findings.write.mode("errorifexists").format(format).save(path)
+    sanitized_rows(findings).write.mode("errorifexists").format(format).save(path)
+
+
+def write_log(findings: DataFrame, coverage: DataFrame, path: str) -> None:
+    """A log of each repository as text files, a part a line."""
+    sarif_log(findings, coverage).select("repo_id", F.col("log").alias("value")).write.mode("errorifexists").partitionBy("repo_id").text(path)
 
 
 def source_link(base: Column, host: Column, revision: Column, path: Column, start: Column, end: Column) -> Column:

@@ -27,6 +27,7 @@ from treesift.functions.paths import base_name, classify_context, extension, wal
 from treesift.functions.regex import spans_lines, to_python
 from treesift.functions.text import looks_text, safe_evidence
 from treesift.operators import active, content, findings, packages, rules, supply_chain
+from treesift.operators.advice import advised
 from treesift.operators.structured_table import CONTEXTS, PATH_CONTEXT, STRUCTURED, TONED_DOWN
 from treesift.sources import archives, files, manifests
 from treesift.sources.tables import kept
@@ -49,8 +50,8 @@ def structured_frame(spark: SparkSession) -> DataFrame:
     """The catalogue of detectors that are not patterns, and of the rules that detectors raise."""
     rows = list(STRUCTURED)
     own = {r[0] for r in rows}
-    rows += [(r.id, r.category, r.severity, r.confidence, r.message, "") for r in rules.builtin_rules() if r.id not in own]
-    return spark.createDataFrame(rows, "entry string, entry_category string, entry_severity string, entry_confidence string, entry_message string, remedy string")
+    rows += [(r.id, r.category, r.severity, r.confidence, r.message) for r in rules.builtin_rules() if r.id not in own]
+    return spark.createDataFrame(rows, "entry string, entry_category string, entry_severity string, entry_confidence string, entry_message string")
 
 
 HIT = ("repo_id", "path", "rule_id", "arrival", "start_line", "end_line", "evidence", "message", "severity", "confidence", "context")
@@ -277,7 +278,7 @@ def scan_everything(
     of_rules = rules.rule_findings(found, rule_list).select(columns)
     all_hits = kept(reduce(DataFrame.union, [as_hits(h, arrival) for arrival, h in hits]), "hits")
     single = kept(findings.dedup(of_rules.unionByName(raised(all_hits))), "single")
-    done = single.unionByName(findings.correlate(single), allowMissingColumns=True)
+    done = advised(single.unionByName(findings.correlate(single), allowMissingColumns=True))
     gaps = kept(_gaps(every, over, found), "gaps")
     return Scan(done, gaps, verdicts(every if repos is None else repos, done, gaps))
 
@@ -293,8 +294,9 @@ def _gaps(every: DataFrame, over: DataFrame, found: DataFrame) -> DataFrame:
     inside = every.where("member and problem is not null").select("repo_id", "path", F.when(F.col("problem") == "traversal", "unsafe archive entry").otherwise(F.concat(F.lit("archive: "), "problem")).alias("reason"))
     bytes_ = every.where("undecodable").select("repo_id", "path", F.lit("undecodable source or configuration").alias("reason"))
     limits = over.select("repo_id", F.lit("").alias("path"), F.lit("file-count limit").alias("reason"))
+    fonts = packages.font_gaps(every.where("setting and content is not null"))
     manifest = manifests.unreadable(_texts(every.where("setting")))
-    return reduce(DataFrame.union, [walked, inside, bytes_, limits, manifest, found.where("kind = 'gap'").select("repo_id", "path", "reason")]).distinct()
+    return reduce(DataFrame.union, [walked, inside, bytes_, limits, fonts, manifest, found.where("kind = 'gap'").select("repo_id", "path", "reason")]).distinct()
 
 
 def scan_gaps(tree: DataFrame, max_files: int = files.MAX_FILES) -> DataFrame:

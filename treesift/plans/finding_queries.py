@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treesift.functions.digests import digest_by
 from treesift.operators import findings as ops
 from treesift.operators import report
 from treesift.plans.projection import coverage, coverage_sql, raw_findings, raw_sql
@@ -85,6 +86,24 @@ def sarif_rules_f(spark, sf_dir):
     return ops.sarif_rules(_found(spark, sf_dir))
 
 
+def sarif_log_f(spark, sf_dir):
+    """The rules, results and outcome that each repository's log says, read back from its parts."""
+    logs = report.sarif_log(_found(spark, sf_dir), coverage(spark), 50)
+    said = "runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string, shortDescription: struct<text: string>, properties: struct<severity: string>>>>>, results: array<struct<ruleId: string, level: string>>, invocations: array<struct<executionSuccessful: boolean>>>>"
+    run = logs.select("repo_id", F.from_json("log", said)["runs"][0].alias("run")).select("repo_id", "run.results", F.col("run.tool.driver.rules").alias("rules"), F.col("run.invocations")[0]["executionSuccessful"].alias("successful"))
+    results = run.groupBy("repo_id").agg(F.sum(F.size("results")).alias("results"), F.sum(F.size(F.filter("results", lambda r: r["level"] == "error"))).alias("errors"), F.bool_and("successful").alias("successful"))
+    rules = run.select("repo_id", F.explode("rules").alias("r")).distinct().groupBy("repo_id").agg(F.count("*").alias("rules"), F.max_by(F.concat("r.shortDescription.text", F.lit(" "), "r.properties.severity"), "r.id").alias("last_rule"))
+    return results.join(rules, "repo_id", "left").fillna(0, ["rules"])
+
+
+def report_digest_f(spark, sf_dir):
+    """A digest of each repository's findings, in whatever order they are."""
+    return digest_by(_found(spark, sf_dir, fine=True), "repo_id", *DIGESTED)
+
+
+DIGESTED = ("rule_id", "path", "message", "context", "severity", "confidence", "occurrences", "fingerprint")
+
+
 def review_queue_f(spark, sf_dir):
     shown = ops.visible(_found(spark, sf_dir, fine=True), "review", "medium", "medium")
     return ops.presentation_rank(shown, "file").select("repo_id", "path", "line", "rule_id", "message", "severity", "confidence", "rank")
@@ -194,6 +213,17 @@ SQL = {
     "sarif_rules_f": f"""WITH {raw_sql()}, o AS (SELECT *, row_number() OVER (ORDER BY repo_id, {LEAD}, {TAIL}) AS n FROM found)
         SELECT rule_id, arg_max(message, n) AS message, arg_max(category, n) AS category, arg_max(severity, n) AS severity, arg_max(confidence, n) AS confidence,
                arg_max(context, n) AS context, arg_max(disposition, n) AS disposition FROM o GROUP BY rule_id""",
+    "sarif_log_f": f"""WITH {raw_sql()}, {coverage_sql()}, o AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {LEAD}, {TAIL}) AS n FROM found),
+        r AS (SELECT repo_id, count(*) AS results, count(*) FILTER (WHERE severity IN ('critical', 'high')) AS errors FROM found GROUP BY repo_id),
+        l AS (SELECT repo_id, rule_id, arg_max(message || ' ' || severity, n) AS said FROM o GROUP BY ALL),
+        k AS (SELECT repo_id, count(*) AS rules, arg_max(said, rule_id) AS last_rule FROM l GROUP BY repo_id)
+        SELECT c.repo_id, coalesce(results, 0) AS results, coalesce(errors, 0) AS errors, complete AND error = '' AS successful, coalesce(rules, 0) AS rules, last_rule
+        FROM coverage c LEFT JOIN r USING (repo_id) LEFT JOIN k USING (repo_id)""",
+    "report_digest_f": f"""WITH {raw_sql(True)},
+        leaves AS (SELECT repo_id, sha256({" || ".join(f"coalesce('=' || CAST({c} AS varchar), '') || chr(31)" for c in DIGESTED)}) AS leaf, count(*) AS n FROM found GROUP BY ALL),
+        a AS (SELECT repo_id, substr(leaf, 1, 4) AS head, sha256(string_agg(leaf || ':' || n, chr(10) ORDER BY leaf || ':' || n)) AS digest FROM leaves GROUP BY ALL),
+        b AS (SELECT repo_id, substr(head, 1, 2) AS up, sha256(string_agg(head || ':' || digest, chr(10) ORDER BY head || ':' || digest)) AS digest FROM a GROUP BY ALL)
+        SELECT repo_id, sha256(string_agg(up || ':' || digest, chr(10) ORDER BY up || ':' || digest)) AS digest FROM b GROUP BY repo_id""",
     "review_queue_f": f"""WITH {raw_sql(True)} SELECT repo_id, path, line, rule_id, message, severity, confidence, row_number() OVER (PARTITION BY repo_id ORDER BY path, {TAIL}) AS rank
         FROM found WHERE disposition <> 'informational' AND severity <> 'low' AND confidence <> 'low'""",
     "search_facets_f": f"""WITH {raw_sql(True)} SELECT repo_id, path, rule_id, message, severity, confidence FROM found

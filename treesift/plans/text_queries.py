@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import functions as F
 
 from treesift.functions.text import safe_evidence
@@ -9,6 +12,8 @@ from treesift.operators import active, content, findings
 from treesift.operators.rules import Rule, scan
 from treesift.sources import json_tree, manifests
 from treesift.sources.files import CORPUS_SQL, corpus_files
+from treesift.sources.snapshots import SnapshotStore, as_of
+from treesift.sources.tables import shared_dir
 
 #: Rules of one's own, as a user would state them in a settings file.
 CUSTOM = [
@@ -106,7 +111,34 @@ def strict_json_t(spark, sf_dir):
     return json_tree.strict_problems(event.select(key.alias("id"), json.alias("json")), ["$.k", "$.list", "$.list[]", "$.list[].a"])
 
 
+def versions_as_of_t(spark, sf_dir):
+    """The version of each customer's record (made of the orders) that was the last on three days."""
+    order = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    version = F.concat(F.date_format("o_orderdate", "yyyy.MM.dd"), F.lit("."), F.col("o_orderkey").cast("string"))
+    history = order.select("o_custkey", version.alias("version"), "o_orderpriority")
+    days = F.array(*[F.lit(d).cast("date") for d in ("1994-02-28", "1996-07-01", "1999-01-01")])
+    return as_of(history, order.select("o_custkey", F.explode(days).alias("day")).distinct(), "o_custkey")
+
+
+def document_store_t(spark, sf_dir):
+    """Two snapshots of documents, published, replaced and rolled back: rows that each pointer gives in the end."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    today = datetime.date(2026, 1, 2)
+    store.update(docs.where("doc_id % 2 = 0"), "2026.01.01.1", today)
+    store.update(docs, "2026.01.02.1", today)
+    store.rollback()
+    rows = [(name, store.version(name), store.pointer(name)) for name in ("active", "previous")]
+    of = lambda r: store.load(r[2]).groupBy("lang").agg(F.count("*").alias("documents")).select(F.lit(r[0]).alias("pointer"), F.lit(r[1]).alias("version"), "lang", "documents")
+    return of(rows[0]).unionByName(of(rows[1]))
+
+
 SQL = {
+    "versions_as_of_t": """WITH d AS (SELECT DISTINCT o_custkey, unnest([DATE '1994-02-28', DATE '1996-07-01', DATE '1999-01-01']) AS day FROM orders)
+        SELECT d.o_custkey, d.day, arg_max(strftime(o_orderdate, '%Y.%m.%d') || '.' || o_orderkey, (o_orderdate::DATE, o_orderkey)) AS version, arg_max(o_orderpriority, (o_orderdate::DATE, o_orderkey)) AS o_orderpriority
+        FROM d LEFT JOIN orders o ON d.o_custkey = o.o_custkey AND o.o_orderdate::DATE <= d.day GROUP BY d.o_custkey, d.day""",
+    "document_store_t": """SELECT 'active' AS pointer, '2026.01.01.1' AS version, lang, count(*) AS documents FROM documents WHERE doc_id % 2 = 0 GROUP BY lang
+        UNION ALL SELECT 'previous', '2026.01.02.1', lang, count(*) FROM documents GROUP BY lang""",
     "lock_tree_t": """SELECT event_id || '/package-lock.json' AS path, 'n' || i AS name, i || '.' || (event_id % 10) || '.0' AS version, 'lockfile' AS scope
         FROM (SELECT event_id, unnest(range(1, CASE WHEN event_id % 200 = 7 THEN 41 ELSE 2 + user_id % 12 END)) AS i FROM events)""",
     "strict_json_t": """SELECT event_id AS id, unnest(['$.list[].b', '$.x']) AS field, 'unknown field' AS problem FROM events WHERE event_id % 5 = 1
