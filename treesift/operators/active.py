@@ -164,6 +164,45 @@ def staged_findings(files: DataFrame) -> DataFrame:
     return detect(files, STAGED)
 
 
+def _targets(words: list[str]) -> str:
+    """What a command executes, as ``_runs`` compares it; empty for none."""
+    if words and words[0].lower() in ("chmod", "icacls"):
+        return ""
+    while words and _command(words[0]) in _RUNNERS | {"start-process"}:
+        words = words[1:]
+        if words and words[0].lower() == "-filepath":
+            words = words[1:]
+    return _normal(words[0]) if words else ""
+
+
+def staged_in_lines(lines: DataFrame, within: int = STAGED_LINES) -> DataFrame:
+    """(repo_id, path, start_line, end_line, destination): each line of ``lines`` (repo_id, path,
+    line_no, line) that downloads to a place, with the first line up to ``within`` lines on that
+    executes it; as ``staged_execution``, for files of any length, as a join.
+
+    Both sides are by file, place and a bin of lines, and a download looks into two bins.
+    A bin holds a line once for each place, so no group is larger than a bin."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for repo, path, number, line in batch.itertuples(index=False):
+                segments = _segments(line)
+                destination = next((d for s in segments if (d := _destination(s))), "")
+                if destination:
+                    rows.append((repo, path, number, _normal(destination), destination))
+                rows += [(repo, path, number, target, None) for target in {_targets(s) for s in segments} - {""}]
+            yield pd.DataFrame(rows, columns=["repo_id", "path", "line_no", "place", "destination"])
+
+    said = lines.where("line is not null").select("repo_id", "path", F.col("line_no").cast("int").alias("line_no"), "line").mapInPandas(run, "repo_id string, path string, line_no int, place string, destination string")
+    width = within + 1
+    bin_of = F.floor(F.col("line_no") / width).cast("int")
+    fetched = said.where("destination is not null").select("repo_id", "path", "place", F.col("line_no").alias("start_line"), "destination", F.explode(F.array(bin_of, bin_of + 1)).alias("bin"))
+    executed = said.where("destination is null").select("repo_id", "path", "place", F.col("line_no").alias("end_line"), bin_of.alias("bin"))
+    near = fetched.join(executed, ["repo_id", "path", "place", "bin"]).where(F.col("end_line").between(F.col("start_line"), F.col("start_line") + within))
+    return near.groupBy("repo_id", "path", "start_line", "destination").agg(F.min("end_line").alias("end_line")).select("repo_id", "path", "start_line", "end_line", "destination")
+
+
 # --- markup: text that is hidden and instructs --------------------------------------------------
 
 #: Instructions to an agent, and elements by how they lay out.

@@ -6,6 +6,7 @@ import datetime
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from treesift.functions.text import safe_evidence
 from treesift.operators import active, content, findings
@@ -111,6 +112,17 @@ def strict_json_t(spark, sf_dir):
     return json_tree.strict_problems(event.select(key.alias("id"), json.alias("json")), ["$.k", "$.list", "$.list[]", "$.list[].a"])
 
 
+def staged_lines_t(spark, sf_dir):
+    """Downloads and the lines that execute them, in a script for each user made of the events in their order."""
+    event = spark.read.parquet(f"{sf_dir}/events.parquet")
+    file = F.concat(F.lit("f"), (F.col("event_id") % 11).cast("string"), F.lit(".sh"))
+    kind = F.col("event_id") % 5
+    line = F.when(kind == 0, F.concat(F.lit("sudo curl -o "), file, F.lit(" https://files.example/a"))).when(kind == 1, F.concat(F.lit("cd /tmp && bash ./"), file)).when(kind == 2, F.concat(F.lit("chmod +x "), file)).otherwise(F.lit("echo done"))
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    lines = event.select(F.lit("users").alias("repo_id"), F.concat(F.col("user_id").cast("string"), F.lit(".sh")).alias("path"), number.alias("line_no"), line.alias("line"))
+    return active.staged_in_lines(lines)
+
+
 def versions_as_of_t(spark, sf_dir):
     """The version of each customer's record (made of the orders) that was the last on three days."""
     order = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -134,6 +146,9 @@ def document_store_t(spark, sf_dir):
 
 
 SQL = {
+    "staged_lines_t": """WITH l AS (SELECT user_id, event_id % 11 AS f, event_id % 5 AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+        SELECT 'users' AS repo_id, a.user_id || '.sh' AS path, CAST(a.n AS int) AS start_line, CAST(min(b.n) AS int) AS end_line, 'f' || a.f || '.sh' AS destination
+        FROM l a JOIN l b ON a.user_id = b.user_id AND a.f = b.f AND b.n BETWEEN a.n AND a.n + 40 WHERE a.kind = 0 AND b.kind = 1 GROUP BY a.user_id, a.n, a.f""",
     "versions_as_of_t": """WITH d AS (SELECT DISTINCT o_custkey, unnest([DATE '1994-02-28', DATE '1996-07-01', DATE '1999-01-01']) AS day FROM orders)
         SELECT d.o_custkey, d.day, arg_max(strftime(o_orderdate, '%Y.%m.%d') || '.' || o_orderkey, (o_orderdate::DATE, o_orderkey)) AS version, arg_max(o_orderpriority, (o_orderdate::DATE, o_orderkey)) AS o_orderpriority
         FROM d LEFT JOIN orders o ON d.o_custkey = o.o_custkey AND o.o_orderdate::DATE <= d.day GROUP BY d.o_custkey, d.day""",
