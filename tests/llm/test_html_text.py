@@ -138,3 +138,47 @@ def test_awkward_tables(spark):
     got = sorted(((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.page_report(pages).collect()))
     assert got == [(0, "a b c", 5), (1, "", 0), (2, "", 0), (2, "", 0)]
     assert html_text.page_report(pages.limit(0)).count() == 0
+
+
+WORDS = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor invidunt ut labore et dolore magna".split()
+
+
+def prose(n, seed):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def around(*parts, after=""):
+    menu = "<nav><ul>" + "".join(f'<li><a href="/">{w}</a></li>' for w in WORDS[:8]) + "</ul></nav>"
+    return f"<html><body>{menu}<article><h1>The title here</h1>{''.join(parts)}</article>{after}<footer>&copy; some site 2024</footer></body></html>"
+
+
+def whole(*parts):
+    items = html_text.pieces("<h1>The title here</h1>" + "".join(parts))
+    return html_text.text_of(items, [False] * len(items))
+
+
+def test_long_tables_lists_and_formulas_stay():
+    rows = lambda n: "<table>" + "".join(f"<tr><td>k{i}</td><td>v{i}</td></tr>" for i in range(n)) + "</table>"
+    entries = lambda n: "<ul>" + "".join(f"<li>e{i}</li>" for i in range(n)) + "</ul>"
+    terms = lambda n: "<dl>" + "".join(f"<dt>t{i}</dt><dd>d{i}</dd>" for i in range(n)) + "</dl>"
+    one, two = f"<p>{prose(40, 1)}</p>", f"<p>{prose(40, 2)}</p>"
+    cases = [
+        (one, rows(20), two, one), (one, rows(20), two, one, two, one), (one, entries(5), "<p>End text</p>"), (one, two, rows(60)), (one, two, entries(60)), (one, two, terms(40)),
+        ("<p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p>", one),
+    ]
+    for parts in cases:
+        assert html_text.main_text(around(*parts), html_text.model()) == whole(*parts)
+
+
+def test_sections_of_prose_stay_whatever_their_names():
+    for name in "more related share notice alert toc side bottom form search popular tags print follow".split():
+        parts = (f"<p>{prose(60, 3)}</p>", f"<p>{prose(50, 4)}</p>", f'<section class="{name}"><h2>A part</h2><p>{prose(50, 5)}</p><p>{prose(45, 6)}</p></section>')
+        assert html_text.main_text(around(*parts), html_text.model()) == whole(*parts), name
+
+
+def test_comments_under_any_name_stay_out():
+    parts = (f"<p>{prose(40, 7)}</p>", f"<p>{prose(40, 8)}</p>")
+    for name in ("feedback-thread", "c81ab3", "voices"):
+        comments = f'<div class="{name}">' + "".join(f'<div class="item"><p>{prose(12, i)}</p></div>' for i in range(6)) + "</div>"
+        assert html_text.main_text(around(*parts, after=comments), html_text.model()) == whole(*parts)

@@ -7,10 +7,16 @@ What a word and each kind of tag score is learned from labelled pages, so that
 the region of the highest score is the main text of as many of them as can be
 (an averaged perceptron over whole regions, begun from log odds).
 
+Where a page has an article element, words and tags inside it have scores of
+their own, and so have entries that begin or end with a link; so long tables and
+lists of short entries in an article are told from menus, and readers' comments
+after it from its text, whatever their names.
+
 The region may hold an advert, a form or a box between two paragraphs.  Such an
 element is a negative subtree: what is learned of its names and its kind is
-added to what is learned of its share of the page's words and of the headings
-and articles in it, and it is left out where the sum is negative.  So a name
+added to what a logistic fit has learned of its share of the page's words, of the
+headings and articles in it and of its words to a tag, and it is left out where the
+sum is negative.  So a name
 alone decides nothing: an element that is named after a sidebar or is a form,
 but holds the page's text, stays and is left to the scan.  A left-out element
 costs the scan what boxes have been found to cost, whatever is in it.  Only
@@ -37,6 +43,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +56,7 @@ BLOCKS = frozenset(
     "header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 NEVER_TEXT = frozenset(
-    "script style noscript template head title button select option optgroup textarea input label legend iframe frame object embed svg math canvas "
+    "script style noscript template head title button select option optgroup textarea input label legend iframe frame object embed svg canvas "
     "audio video map datalist meter progress applet noframes".split()
 )
 RAW_TEXT = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -78,6 +85,10 @@ _STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 TEXT, OPEN, CLOSE = 0, 1, 2
 WORD, BOX = "#word", "#box"
+#: Before a tag's feature: it stands in the article element; it is beside a link.
+INSIDE, LINKED = "in:", "a:"
+#: A word outside the article element of a page that has one.
+OUTER_WORD = "out:#word"
 
 
 def pieces(page: str) -> list[tuple[int, str, tuple[str, ...]]]:
@@ -136,16 +147,18 @@ Item = tuple[int, str, tuple[str, ...]]
 
 @dataclass
 class Model:
-    """What is learned: of each tag, of a word and of a box for the scan; of names and
+    """What is learned: of each tag, of words and of a box for the scan; of names and
     kinds, shares of words and headings for elements that may be boxes."""
 
     tags: dict[str, float]
     word: float
+    outer_word: float
     box: float
     unknown: float
     names: dict[str, float]
     shares: list[float]
     heads: list[float]
+    prose: list[float]
 
     def feature(self, kind: int, name: str, names: tuple[str, ...]) -> str:
         """The most telling of what is known of a tag."""
@@ -163,6 +176,7 @@ class Element:
     names: tuple[str, ...]
     share: int
     heads: int
+    prose: int
 
 
 def _ends(items: list[Item]) -> list[int]:
@@ -191,9 +205,10 @@ def elements(items: list[Item], ends: list[int]) -> Iterator[Element]:
     """The elements whose names or kind may tell that they are boxes, in order.
     ``share``: up to a twentieth of the page's words, up to half, or more.
     ``heads``: no heading and article in it, some, many articles without a main
-    heading, or some where others stand outside."""
-    words, articles, main, heads = ([0] for _ in range(4))  # numbers before each piece
+    heading, or some where others stand outside.  ``prose``: words to a tag, in steps."""
+    words, articles, main, heads, tags = ([0] for _ in range(5))  # numbers before each piece
     for kind, value, _ in items:
+        tags.append(tags[-1] + (kind == OPEN))
         words.append(words[-1] + (len(value.split()) if kind == TEXT else 0))
         articles.append(articles[-1] + (kind == OPEN and value == "article"))
         main.append(main[-1] + (kind == OPEN and value in ("article", "main")))
@@ -202,7 +217,9 @@ def elements(items: list[Item], ends: list[int]) -> Iterator[Element]:
         if kind != OPEN or name in NEVER_TEXT or not names and name not in TELLING or name in ("html", "body"):
             continue
         end = ends[i]
-        own_words, own_main, own_heads, own_articles = (x[end] - x[i] for x in (words, main, heads, articles))
+        own_words, own_main, own_heads, own_articles, own_tags = (x[end] - x[i] for x in (words, main, heads, articles, tags))
+        density = own_words / own_tags
+        prose = (0 if density < 5 else 1 if density < 15 else 2 if density < 30 else 3) if own_tags > 2 else 0
         share = 0 if 20 * own_words <= words[-1] else 1 if 2 * own_words <= words[-1] else 2
         if not own_main + own_heads:
             of = 0
@@ -210,12 +227,12 @@ def elements(items: list[Item], ends: list[int]) -> Iterator[Element]:
             of = 2
         else:
             of = 3 if heads[-1] > own_heads or main[-1] > own_main + (name in ("article", "main")) else 1
-        yield Element(i, end, (*names, *([name] if name in TELLING else ())), share, of)
+        yield Element(i, end, (*names, *([name] if name in TELLING else ())), share, of, prose)
 
 
 def is_box(e: Element, model: Model) -> bool:
     own = min((model.names[k] for k in e.names if k in model.names), default=0.0)
-    return own < 0.0 and own + model.shares[e.share] + model.heads[e.heads] < 0.0
+    return own < 0.0 and own + model.shares[e.share] + model.heads[e.heads] + model.prose[e.prose] < 0.0
 
 
 def box_marks(items: list[Item], model: Model) -> list[bool]:
@@ -233,12 +250,29 @@ def box_marks(items: list[Item], model: Model) -> list[bool]:
     return marks
 
 
+def article_at(items: list[Item], boxes: list[bool]) -> tuple[int, int]:
+    """The pieces inside the article element, or else main element, with the most words outside
+    boxes; of nested ones the outermost.  None: an empty range."""
+    words = [0]
+    for (kind, value, _), box in zip(items, boxes, strict=True):
+        words.append(words[-1] + (0 if box or kind != TEXT else len(value.split())))
+    ends = _ends(items)
+    for name in ("article", "main"):
+        found = [(words[ends[i]] - words[i], -i) for i, (kind, value, _) in enumerate(items) if kind == OPEN and value == name and not boxes[i]]
+        if found and max(found)[0]:
+            i = -max(found)[1]
+            return i + 1, ends[i] - 1
+    return 0, 0
+
+
 def scan_features(items: list[Item], boxes: list[bool], model: Model) -> list[tuple[str, int]]:
-    """(feature, how often) of each piece for the scan.  Boxes in a row count once,
-    by the tag that comes after them: a paragraph, or the end of what they stand in."""
+    """(feature, how often) of each piece for the scan.  Tags inside the article element are
+    told from others, and so are those of entries that begin with a link.  Boxes in a row count
+    once, by the tag that comes after them: a paragraph, or the end of what they stand in."""
     out = []
     known: dict[Item, str] = {}
     after = ""
+    first, last = article_at(items, boxes)
     for i in range(len(items) - 1, -1, -1):
         item = items[i]
         kind, value, _ = item
@@ -246,13 +280,14 @@ def scan_features(items: list[Item], boxes: list[bool], model: Model) -> list[tu
             out.append((BOX, 0) if i and boxes[i - 1] else (BOX + after, 1))
         elif kind == TEXT:
             n = len(value.split())
-            out.append((WORD, n))
+            out.append((WORD if first <= i < last or not last else OUTER_WORD, n))
             after = WORD if n else after
         else:
             feature = known.get(item)
             if feature is None:
                 feature = known[item] = model.feature(*item)
-            out.append((feature, 1))
+            linked = kind == OPEN and after == "a" or kind == CLOSE and i and items[i - 1][:2] == (CLOSE, "a")
+            out.append((f"{INSIDE if first <= i < last else ''}{LINKED if linked and value != 'a' else ''}{feature}", 1))
             after = f"/{value}" if kind == CLOSE else value
     out.reverse()
     return out
@@ -271,8 +306,16 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def _scores(features: list[tuple[str, int]], model: Model) -> list[float]:
-    known = {**dict.fromkeys({f for f, _ in features if f.startswith(BOX)}, model.box), **model.tags, WORD: model.word}
-    return [n * known.get(f, model.unknown) for f, n in features]
+    known = {**dict.fromkeys({f for f, _ in features if f.startswith(BOX)}, model.box), **model.tags, WORD: model.word, OUTER_WORD: model.outer_word}
+    return [n * _weight(known, f, model.unknown) for f, n in features]
+
+
+def _weight(known: dict[str, float], feature: str, unknown: float) -> float:
+    """What is known of a feature, or else of the tag in whatever place, or else of its place."""
+    for f in (feature, feature.removeprefix(INSIDE).removeprefix(LINKED)) if not feature.startswith(INSIDE) else (feature, feature.replace(LINKED, ""), INSIDE):
+        if f in known:
+            return known[f]
+    return unknown
 
 
 def text_of(items: list[Item], boxes: list[bool]) -> str:
@@ -373,6 +416,20 @@ def labelled_page(rng: random.Random) -> list[tuple[str, bool]]:
         if rng.random() < 0.2:
             p += rng.choice((f"<br>{words(1, 20)}", "<br>", f" <code>{words(1, 2)}</code>", '<img src="x">', f"<br/>{words(1, 9)}<br/>"))
         parts.append(rng.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<h3>{}</h3>", "<ul><li>{}</li></ul>", "<ol><li>{}</li></ol>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>", "<figure><figcaption>{}</figcaption></figure>", "<table><tr><td>{}</td></tr></table>")).format(p) if not in_divs else f"<div>{p}</div>")
+    rows = lambda: rng.choice((3, 8, 20, 60))
+    if rng.random() < 0.35 and not in_divs:
+        lists = rng.choice((
+            lambda: "<table>" + "".join(f"<tr><td>{words(1, 2)}</td><td>{words(1, 3)}</td></tr>" for _ in range(rows())) + "</table>",
+            lambda: "<ul>" + "".join(f"<li>{words(1, 2)}</li>" for _ in range(rows())) + "</ul>",
+            lambda: "<dl>" + "".join(f"<dt>{words(1, 2)}</dt><dd>{words(1, 4)}</dd>" for _ in range(rows())) + "</dl>",
+            lambda: f"<p>{words(1, 9)} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {words(1, 9)}</p>",
+        ))
+        for _ in range(rng.choice((1, 1, 2))):
+            parts.insert(rng.randint(min(1, len(parts)), len(parts)), lists())
+    if named and rng.random() < 0.4:
+        long = "".join(f"<p>{words(30, 110)}</p>" for _ in range(rng.randint(2, 4)))
+        of = rng.choice([x for x in AROUND if not re.match("comment|disqus|respond|repl|discussion|foot|copy|colophon|nav|menu|cookie|ad|sponsor|subscr|login|sign|register", x)])
+        parts.insert(rng.randint(min(1, len(parts)), len(parts)), f'<section class="{name(of)}"><h2>{words(1, 4)}</h2>{long}</section>')
     for i, part in enumerate(parts):
         out.append((part, True))
         if named and 0 < i < len(parts) - 1 and rng.random() < 0.06:
@@ -383,7 +440,7 @@ def labelled_page(rng: random.Random) -> list[tuple[str, bool]]:
             after.append(box(of, f"<ul>{links(rng.randint(2, 6), 'li')}</ul>{words(1, 8)}" if rng.random() < 0.5 else boxed(3, 30)))
         if rng.random() < 0.3:
             reader = rng.choice(("<li><article><p>{}</p></article></li>", "<li><p>{}</p></li>", "<div><p>{}</p></div>"))
-            after.append(f'<{rng.choice(("ol", "ul", "div", "section"))} class="{name(rng.choice(("comments", "comment", "commentlist", "replies", "discussion")))}">' + "".join(reader.format(words(3, 40)) for _ in range(rng.choice((1, 3, 6, 30)))) + "</section>")
+            after.append(f'<{rng.choice(("ol", "ul", "div", "section"))} class="{name(rng.choice(("comments", "comment", "commentlist", "replies", "discussion", *([f"x{hashed()}"] * 5 if semantic else []))))}">' + "".join(reader.format(words(3, 40)) for _ in range(rng.choice((1, 3, 6, 30)))) + "</section>")
             after[-1] = after[-1].replace("</section>", f"</{re.match('<([a-z]+)', after[-1])[1]}>")
         if rng.random() < 0.3:
             after.append(f"<aside>{words(5, 30)}</aside>")
@@ -411,9 +468,9 @@ def _odds(yes: float, no: float) -> float:
     return math.log((yes + 0.5) / (no + 0.5))
 
 
-def _box_scores(pages: list[tuple[list[Item], list[bool]]]) -> tuple[dict[str, float], list[float], list[float]]:
-    """Log odds of names and kinds to hold main text; and by how much shares of words
-    and headings change these for elements whose names are of boxes."""
+def _box_scores(pages: list[tuple[list[Item], list[bool]]]) -> tuple[dict[str, float], list[float], list[float], list[float]]:
+    """Log odds of names and kinds to hold main text; and what shares of words, headings and
+    words to a tag add to these for elements whose names are of boxes, by a logistic fit."""
     holds, not_ = Counter(), Counter()
     seen = []
     for items, labels in pages:
@@ -425,14 +482,21 @@ def _box_scores(pages: list[tuple[list[Item], list[bool]]]) -> tuple[dict[str, f
             (holds if main else not_).update(set(e.names))
             seen.append((e, main))
     names = {k: _odds(holds[k], not_[k]) for k in holds.keys() | not_.keys() if holds[k] + not_[k] >= 3}
-    shares, heads = [[0, 0] for _ in range(3)], [[0, 0] for _ in range(4)]
+    rows, right = [], []
     for e, main in seen:
-        if min((names[k] for k in e.names if k in names), default=0.0) < 0.0:
-            shares[e.share][main] += 1
-            heads[e.heads][main] += 1
-    n = [sum(x[k] for x in shares) for k in (0, 1)]
-    change = lambda counts: [_odds(c[1], c[0]) - _odds(n[1], n[0]) for c in counts]
-    return names, change(shares), change(heads)
+        own = min((names[k] for k in e.names if k in names), default=0.0)
+        if own < 0.0:
+            row = np.zeros(12)
+            row[[0, 1 + e.share, 4 + e.heads, 8 + e.prose]] = own, 1, 1, 1
+            rows.append(row)
+            right.append(main)
+    x, y, w = np.array(rows), np.array(right, float), np.zeros(12)
+    w[0] = 1.0
+    for _ in range(30):  # Newton steps with a small penalty
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(12), x.T @ (p - y) + 0.1 * w)
+    scaled = (w[1:] / max(0.1, w[0])).tolist()
+    return names, scaled[:3], scaled[3:7], scaled[7:]
 
 
 @lru_cache(1)
@@ -440,7 +504,7 @@ def model(seed: int = 11, n_pages: int = 800, rounds: int = 5) -> Model:
     """Learn from labelled pages; the same pages and order in every process."""
     rng = random.Random(seed)
     pages = [parsed(labelled_page(rng)) for _ in range(n_pages)]
-    names, shares, heads = _box_scores(pages)
+    names, shares, heads, prose = _box_scores(pages)
     tags_in, tags_out = Counter(), Counter()
     words = [0, 0]
     for items, labels in pages:
@@ -450,11 +514,11 @@ def model(seed: int = 11, n_pages: int = 800, rounds: int = 5) -> Model:
             else:
                 (tags_in if label else tags_out).update((f"/{value}",) if kind == CLOSE else (*own, value))
     tags = {k: min(-0.01, _odds(tags_in[k], tags_out[k])) for k in tags_in.keys() | tags_out.keys() if tags_in[k] + tags_out[k] >= 3}
-    out = Model(tags, max(0.05, _odds(words[1], words[0])), -1.0, min(-0.01, _odds(tags_in.total(), tags_out.total())), names, shares, heads)
+    out = Model(tags, max(0.05, _odds(words[1], words[0])), 0.05, -1.0, min(-0.01, _odds(tags_in.total(), tags_out.total())), names, shares, heads, prose)
 
     # regions of the highest score should be the labelled ones
-    weights = {**out.tags, WORD: out.word, BOX: out.box, "": out.unknown}
-    box_in, box_out = Counter(), Counter()
+    weights = {**out.tags, WORD: out.word, OUTER_WORD: out.outer_word, BOX: out.box, "": out.unknown}
+    box_in, box_out, tag_in, tag_out = (Counter() for _ in range(4))
     late, steps = Counter(), 0  # each change times the steps before it, for the mean over all steps
     ready = []
     for items, labels in pages:
@@ -464,11 +528,14 @@ def model(seed: int = 11, n_pages: int = 800, rounds: int = 5) -> Model:
         for i, (f, n) in enumerate(features):
             if n and f.startswith(BOX):
                 (box_in if first <= i < last else box_out)[f] += 1
+            elif f.startswith((INSIDE, LINKED)):
+                (tag_in if labels[i] else tag_out).update((f, INSIDE) if f.startswith(INSIDE) else (f,))
     weights |= {f: min(-0.01, _odds(box_in[f], box_out[f])) for f in box_in.keys() | box_out.keys()}
+    weights |= {f: min(-0.01, _odds(tag_in[f], tag_out[f])) for f in tag_in.keys() | tag_out.keys()}
     weights[BOX] = min(-0.01, _odds(box_in.total(), box_out.total()))
     for _ in range(rounds):
         for features, first, last in ready:
-            begin, end = best_region([n * weights.get(f, weights[""]) for f, n in features])
+            begin, end = best_region([n * _weight(weights, f, weights[""]) for f, n in features])
             lost, gained = features[first:last], features[begin:end]
             change = Counter()
             for f, n in lost:
@@ -479,12 +546,12 @@ def model(seed: int = 11, n_pages: int = 800, rounds: int = 5) -> Model:
                 if n:
                     k = f if f in weights else ""
                     moved = weights[k] + 0.02 * max(-5, min(5, n))
-                    moved = max(0.05, moved) if k == WORD else min(-0.01, moved)
+                    moved = max(0.05, moved) if k == WORD else max(0.01, moved) if k == OUTER_WORD else min(-0.01, moved)
                     late[k] += steps * (moved - weights[k])
                     weights[k] = moved
             steps += 1
     mean = {k: w - late[k] / max(1, steps) for k, w in weights.items()}
-    out.word, out.box, out.unknown = mean.pop(WORD), mean.pop(BOX), mean.pop("")
+    out.word, out.outer_word, out.box, out.unknown = mean.pop(WORD), mean.pop(OUTER_WORD), mean.pop(BOX), mean.pop("")
     out.tags = mean
     return out
 
