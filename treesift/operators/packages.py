@@ -6,8 +6,11 @@ Members of packages come from ``sources.archives.expand`` as files with paths
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +19,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from treesift.functions.paths import base_name, contains_any, extension, inner_path, outer_path
 from treesift.functions.text import executable_magic
-from treesift.operators.active import svg_active
+from treesift.operators.active import Detector, detect, svg_active
 from treesift.operators.supply_chain import escapes_package
 
 #: Packages of office suites, what a hook should not do, fonts.
@@ -85,36 +88,121 @@ def extension_findings(members: DataFrame) -> DataFrame:
     ).select("repo_id", "path", "f.*")
 
 
-def _attribute(node: Column, name: str) -> Column:
-    return F.regexp_extract(node, rf"""(?i)\s{name}\s*=\s*["']([^"']*)["']""", 1)
+def _elements(text: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """(event, name, attributes) of an XML text, names in lower case without namespaces; ends
+    with ParseError where the text is no XML any more."""
+    parser = ElementTree.XMLPullParser(events=("start", "end"))
+    local = lambda name: name.rpartition("}")[2].lower()
+    try:
+        for at in range(0, len(text), 1 << 16):
+            parser.feed(text[at : at + (1 << 16)])
+            for event, element in parser.read_events():
+                yield event, local(element.tag), {local(k): v for k, v in element.attrib.items()}
+        parser.close()
+    except ElementTree.ParseError:
+        for event, element in parser.read_events():
+            yield event, local(element.tag), {local(k): v for k, v in element.attrib.items()}
+        raise
+
+
+def _first_line(text: str, *values: str) -> int:
+    """The first line in which the first of the values stands that stands anywhere."""
+    return next((text.count("\n", 0, at) + 1 for v in values if v and (at := text.find(v)) >= 0), 1)
+
+
+def project_commands(path: str, text: str) -> Iterator[tuple[str, int, int, str]]:
+    """Commands that a .NET project runs, up to where it is no XML any more."""
+    root = True
+    try:
+        for event, name, attributes in _elements(text):
+            if event == "start":
+                if root and name != "project":
+                    return
+                root = False
+                if name == "exec" and attributes.get("command", "").strip():
+                    line = _first_line(text, attributes["command"], "Exec")
+                    yield "DOTNET-001", line, line, "high"
+    except ElementTree.ParseError:
+        return
+
+
+def _default_nuget(value: str) -> bool:
+    return re.fullmatch(r"https://api\.nuget\.org(?::443)?/v3/index\.json", value) is not None
+
+
+def nuget_sources(path: str, text: str) -> Iterator[tuple[str, int, int, str]]:
+    """Package sources other than the default; one that may give any package, or has no secure address, weighs more."""
+    stack, sources, wild, mapped = [], [], set(), ""
+    try:
+        for event, name, attributes in _elements(text):
+            if event == "end":
+                stack.pop()
+                continue
+            parent = stack[-1] if stack else ""
+            if not stack and name != "configuration":
+                return
+            if (parent, name) == ("packagesources", "add"):
+                sources.append((attributes.get("key", ""), attributes.get("value", "")))
+            elif (parent, name) == ("packagesourcemapping", "packagesource"):
+                mapped = attributes.get("key", "").lower()
+            elif (parent, name) == ("packagesource", "package") and attributes.get("pattern") == "*":
+                wild.add(mapped)
+            stack.append(name)
+    except ElementTree.ParseError:
+        return
+    for key, value in sources:
+        if value and not _default_nuget(value):
+            line = _first_line(text, value, key)
+            yield "NUGET-001", line, line, "high" if key.lower() in wild or value.lower().startswith("http://") else "medium"
+
+
+def _base_name() -> Column:
+    return F.lower(base_name(inner_path(F.col("path"))))
+
+
+PROJECT = Detector(lambda: _base_name().rlike(r"\.(?:csproj|fsproj|vbproj|props|targets|proj)$"), project_commands)
+NUGET = Detector(lambda: _base_name() == "nuget.config", nuget_sources)
 
 
 def dotnet_findings(files: DataFrame) -> DataFrame:
     """Commands that a project runs, and package sources other than the default."""
-    text = F.regexp_replace("text", r"(?s)<!--.*?-->", "")
-    name = F.lower(base_name(inner_path(F.col("path"))))
-    projects = files.where(name.rlike(r"\.(?:csproj|fsproj|vbproj|props|targets|proj)$") & F.col("text").rlike(r"(?is)<Project\b"))
-    commands = projects.select("repo_id", "path", F.explode(F.regexp_extract_all(text, F.lit(r"(?is)<Exec\b[^>]*>"), 0)).alias("node"))
-    executed = commands.where(F.trim(_attribute(F.col("node"), "Command")) != "").select("repo_id", "path", F.lit("DOTNET-001").alias("rule_id"), F.lit("high").alias("severity"))
-    configs = files.where(name == "nuget.config").withColumn("clean", text)
-    block = F.regexp_extract("clean", r"(?is)<packageSources\b[^>]*>(.*?)</packageSources>", 1)
-    mappings = F.regexp_extract_all("clean", F.lit(r"(?is)<packageSource\b[^>]*>.*?</packageSource>"), 0)
-    sources = configs.select("repo_id", "path", F.transform(F.filter(mappings, lambda m: m.rlike(r"""(?is)<package\b[^>]*pattern\s*=\s*["']\*["']""")), lambda m: F.lower(_attribute(m, "key"))).alias("wild"), F.explode(F.regexp_extract_all(block, F.lit(r"(?is)<add\b[^>]*>"), 0)).alias("node"))
-    value, key = _attribute(F.col("node"), "value"), F.lower(_attribute(F.col("node"), "key"))
-    other = sources.where((value != "") & ~value.rlike(r"^https://api\.nuget\.org(?::443)?/v3/index\.json$"))
-    high = F.array_contains("wild", key) | F.lower(value).startswith("http://")
-    return executed.union(other.select("repo_id", "path", F.lit("NUGET-001"), F.when(high, "high").otherwise("medium")))
+    found = detect(files, PROJECT).unionByName(detect(files, NUGET))
+    return found.select("repo_id", "path", "rule_id", "start_line", F.col("reason").alias("severity"))
+
+
+def yarn_runtime(path: str, text: str) -> Iterator[tuple[str, int, int, str]]:
+    """The Yarn executable and the plugins with a path; nothing of a file that is no YAML of this shape."""
+    import yaml
+
+    try:
+        root = yaml.compose(text, Loader=yaml.SafeLoader)
+    except yaml.YAMLError:
+        return
+    pairs = lambda node: {k.value: (k, v) for k, v in node.value if isinstance(k, yaml.ScalarNode)} if isinstance(node, yaml.MappingNode) else {}
+    top = pairs(root)
+    key, chosen = top.get("yarnPath", (None, None))
+    _, plugins = top.get("plugins", (None, None))
+    listed = plugins.value if isinstance(plugins, yaml.SequenceNode) else []
+    if chosen is not None and not isinstance(chosen, yaml.ScalarNode) or plugins is not None and (not isinstance(plugins, yaml.SequenceNode) or any(not isinstance(x, yaml.MappingNode) for x in listed)):
+        return
+    if chosen is not None and chosen.value:
+        line = key.start_mark.line + 1
+        yield "YARN-001", line, line, chosen.value
+    for plugin in listed:
+        _, value = pairs(plugin).get("path", (None, None))
+        if isinstance(value, yaml.ScalarNode) and value.value:
+            line = value.start_mark.line + 1
+            yield "YARN-002", line, line, value.value
+
+
+YARN = Detector(lambda: _base_name() == ".yarnrc.yml", yarn_runtime)
 
 
 def yarn_findings(files: DataFrame) -> DataFrame:
     """The Yarn executable and plugins that a project selects."""
-    some = files.where(F.lower(base_name(inner_path(F.col("path")))) == ".yarnrc.yml")
-    lines = some.select("repo_id", "path", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    clean = lambda c: F.regexp_replace(F.trim(F.regexp_replace(c, r"\s#.*$", "")), "^[\"']|[\"']$", "")
-    chosen, plugin = clean(F.regexp_extract("line", r"^yarnPath\s*:\s*(.+)$", 1)), clean(F.regexp_extract("line", r"^\s+(?:-\s+)?path\s*:\s*(.+)$", 1))
-    rows = lines.withColumns({"value": F.when(chosen != "", chosen).otherwise(plugin), "rule_id": F.when(chosen != "", "YARN-001").when(plugin != "", "YARN-002")}).where("rule_id is not null")
-    outside = escapes_package(F.col("value")) | F.col("value").contains("://")
-    return rows.select("repo_id", "path", "rule_id", (F.col("at") + 1).alias("line_no"), F.when(outside, "high").otherwise("medium").alias("severity"))
+    value = F.col("reason")
+    outside = escapes_package(value) | value.contains("://")
+    return detect(files, YARN).select("repo_id", "path", "rule_id", F.col("start_line").alias("line_no"), F.when(outside, "high").otherwise("medium").alias("severity"))
 
 
 def _glyph_documents(table: bytes) -> list[str]:
