@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import ascii_lower, awkward, documents, rows, with_clashes, words
 from treesift.llm import jaccard_join
@@ -153,3 +154,11 @@ def test_components_of_a_long_path(spark):
     got = {r["id"]: r["root"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(71)} | {200: 200, 201: 200, 202: 200}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_rows_whose_hashes_meet_stay_apart(spark):
+    rows_ = [(i % 150, f"text {i % 150}") for i in range(200)]
+    docs = spark.createDataFrame(rows_, "own long, text string")
+    held, keys = jaccard_join._keyed(docs, F.col("own"), F.col("text"), bits=5)
+    assert held.select("key", "own").distinct().count() == keys.count() == 150
+    assert sorted((r["own"], r["n"]) for r in keys.collect()) == [(i, 2 if i < 50 else 1) for i in range(150)]

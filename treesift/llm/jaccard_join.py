@@ -39,9 +39,8 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from treesift.llm.common import bound_batches, ids_and_texts, kept
 from treesift.llm.components import components
@@ -380,22 +379,40 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     )
 
 
+def _keyed(held: DataFrame, own: Column, text: Column, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``held`` with a ``key`` of 64 bits for each (own, text), and (key, own, n) of the keys.
+
+    Different rows may meet in one hash (of n rows about n^2 / 2^65 pairs do).  A second hash
+    shows them, and as long as there are any, the rows of these few keys get other keys."""
+    salt = 0
+    held = held.withColumns({"key": F.shiftrightunsigned(F.xxhash64(own, text), 64 - bits) if bits < 64 else F.xxhash64(own, text), "twin": F.xxhash64(F.lit(1), own, text)})
+    while True:
+        keys = kept(held.groupBy("key").agg(F.min(own).alias("own"), F.count("*").alias("n"), F.min("twin").alias("low"), F.max("twin").alias("high")), "keys")
+        met = keys.where("low <> high").select("key", F.lit(True).alias("met"))
+        if met.isEmpty():
+            return held.drop("twin"), keys.select("key", "own", "n")
+        salt += 2
+        held = held.join(met, "key", "left").withColumn("key", F.when(F.col("met"), F.xxhash64(F.lit(salt), "twin", "key")).otherwise(F.col("key"))).drop("met")
+
+
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, that come first in their
     component: exactly one of each, by doc_id, nulls last, and of rows that repeat
-    it the one with the least hash of doc_id and text.  This hash of 64 bits is a
-    row's key, so rows that differ in neither are copies; a row that links with
-    none stays, whatever its doc_id.  Column names of the input may repeat."""
+    it the one with the least key.  Rows that differ in neither doc_id nor text are
+    copies, of which any one stays; a row that links with none stays, whatever its
+    doc_id.  Column names of the input may repeat."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     own, text = F.col(names[docs.columns.index("doc_id")]).cast("long"), F.col(names[docs.columns.index("text")])
-    held = docs.toDF(*names).withColumn("key", F.xxhash64(own, text))
+    held, keys = _keyed(docs.toDF(*names), own, text)
     sets = kept(linked_sets(held.select(F.col("key").alias("doc_id"), text.alias("text")), width, percent), "sets")
     classes, roots = _classes_and_roots(sets, percent)
-    ids = held.groupBy("key").agg(F.min(own).alias("own"))
     named = classes.join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("root"))
-    members = sets.where("mark is not null").select(F.col("doc_id").alias("key"), "mark").distinct().join(named, "mark").join(ids, "key")
-    winners = members.groupBy("root").agg(F.min(F.struct(F.col("own").isNull(), "own", "key"))["key"].alias("key"))
-    alone = sets.where("mark is null").select(F.col("doc_id").alias("key"), F.lit(False).alias("copies"))
-    first = kept(winners.select("key", F.lit(True).alias("copies")).union(alone).groupBy("key").agg(F.min("copies").alias("copies")), "first")
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    return held.join(first, "key").withColumn("turn", turn).where("turn = 1 or not copies").select(names).toDF(*docs.columns)
+    members = sets.where("mark is not null").select(F.col("doc_id").alias("key"), "mark").distinct().join(named, "mark").join(keys, "key")
+    winners = members.groupBy("root").agg(F.min(F.struct(F.col("own").isNull(), "own", "key", "n")).alias("first")).select("first.key", "first.n")
+    alone = sets.where("mark is null").select(F.col("doc_id").alias("key")).distinct()
+    once = kept(winners.where("n = 1").select("key").union(alone), "once")
+    again = kept(winners.where("n > 1").select("key"), "again")
+    out = held.join(once, "key", "left_semi").select(names)
+    if not again.isEmpty():  # copies are brought down to one each before they meet
+        out = out.unionByName(held.join(again, "key", "left_semi").groupBy("key").agg(F.first(F.struct(*names)).alias("row")).select("row.*"))
+    return out.toDF(*docs.columns)
