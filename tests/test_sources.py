@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from treesift.functions.text import looks_text
 from treesift.operators import active, findings, report, rules
+from treesift.operators import scan as whole
 from treesift.operators.rules import Rule, scan
 from treesift.plans import fixtures, projection
 from treesift.sources import files, settings
@@ -52,6 +53,30 @@ def test_tree(spark, tree):
     assert {r["path"] for r in files.first_files(read.where("repo_id = 'clean'").select("repo_id", "path"), 2).collect()} == {"LICENSE", "README.md"}
 
 
+def test_trees_of_sparks_reader_say_what_they_do_not_list(spark, tmp_path):
+    for name in ("a/x.js", "a/.npmrc", "b/y.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("eval(atob(x))\n")
+    done = whole.scan_everything(files.read_as_tree(spark, str(tmp_path)))
+    assert sorted((r["repo_id"], r["path"], r["reason"]) for r in done.gaps.collect()) == [(r, "", "hidden names are not listed") for r in "ab"]
+    assert {r["repo_id"]: (r["complete"], r["verdict"]) for r in done.verdicts.collect()}["b"] == (False, "SCAN INCOMPLETE")
+    found = done.findings.where("path = 'x.js'").collect()
+    assert found and all(r["remediation"] or r["disposition"] == "informational" for r in found)
+
+
+def test_one_pass_reads_each_text_once(spark, tmp_path):
+    """One scan and no shuffle in the plan, and of a limit of files the first in walking order."""
+    for i in range(5):
+        (tmp_path / "a").mkdir(exist_ok=True)
+        (tmp_path / "a" / f"{i}.js").write_text("const t = ['.ssh/', 'id_rsa'];\nread(t[0] + t[1]);\n")
+    every, over = whole.listing(files.walk_tree(spark, str(tmp_path)), 3)
+    assert [r["repo_id"] for r in over.collect()] == ["a"] and sorted(r["path"] for r in every.collect()) == ["0.js", "1.js", "2.js"]
+    found = whole.pass_over(whole.listing(files.walk_tree(spark, str(tmp_path)))[0].where("text is not null").select("repo_id", "path", "text"), rules.builtin_rules())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    assert found.where("kind = 'value'").select("path").distinct().count() == 5
+
+
 def test_scan_to_verdict(spark, tree):
     text = files.as_text(files.read_tree(spark, tree)).select("repo_id", "path", "text").where("path in ('src/beacon.js', 'README.md', 'src/flow.js')")
     found = findings.dedup(scan(text))
