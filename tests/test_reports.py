@@ -7,7 +7,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from treesift.operators import active, packages, report
+from treesift.operators import active, display, packages, report
 from treesift.operators.advice import advice
 from treesift.operators.rules import builtin_rules
 from treesift.operators.structured_table import STRUCTURED
@@ -92,3 +92,18 @@ def test_the_range_join_gives_what_a_look_at_each_file_gives(spark):
     plain = sorted((p, a, b, d) for p, t in texts for _, a, b, d in active.staged_execution(p, t))
     rows = files.select("repo_id", "path", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("repo_id", "path", (F.col("at") + 1).alias("line_no"), "line")
     assert sorted((r.path, r.start_line, r.end_line, r.destination) for r in active.staged_in_lines(rows).collect()) == plain and len(plain) > 100
+
+
+def test_values_as_they_are_shown(spark):
+    one = lambda column, value: spark.range(1).select(column(F.lit(value))).first()[0]
+    sizes = {0: "0 B", 1023: "1023 B", 1024: "1.0 KiB", 1536: "1.5 KiB", 5 << 20: "5.0 MiB", 1 << 50: "1024.0 TiB"}
+    assert {n: one(display.byte_size, n) for n in sizes} == sizes
+    times = {0: "0s", 400_000: "0s", 1_500_000: "2ms", 999_400_000: "999ms", 999_600_000: "1s", 1_400_000_000: "1s", 61_000_000_000: "1m1s", 3_600_000_000_000: "1h0m0s", 90_061_000_000_000: "25h1m1s"}
+    assert {n: one(display.duration, n) for n in times} == times
+    targets = {
+        "https://me:pw@x.example/a/b?token=1#f": "https://[REDACTED]@x.example/a/b", "https://x.example": "https://x.example", "ssh://git@h/r.git": "ssh://[REDACTED]@h/r.git", "/a/b?c": "/a/b?c", "a@b": "a@b",
+    }
+    assert {t: one(display.display_target, t) for t in targets} == targets
+    assert one(display.display_text, "a\x1b[31m\u0085b") == "a�[31m�b"
+    homes = {"/home/me": "~", "/home/me/x": "~/x", "/home/men": "/home/men", "x": "x"}
+    assert {p: one(lambda c: display.abbreviated_home(c, "/home/me"), p) for p in homes} == homes

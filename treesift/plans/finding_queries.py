@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treesift.functions.digests import digest_by
+from treesift.operators import display, report
 from treesift.operators import findings as ops
-from treesift.operators import report
 from treesift.plans.projection import coverage, coverage_sql, raw_findings, raw_sql
 
 #: Location limits of the test query; the real ones do not bind at small scale.
@@ -86,6 +86,19 @@ def sarif_rules_f(spark, sf_dir):
     return ops.sarif_rules(_found(spark, sf_dir))
 
 
+def summary_lines_f(spark, sf_dir):
+    """What a terminal shows of each repository, a row a line."""
+    return display.summary_lines(_found(spark, sf_dir), coverage(spark), "review", "medium", "medium")
+
+
+def shown_values_f(spark, sf_dir):
+    """Sizes and durations as they are shown, of the prices and keys of line items."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    size = F.col("l_orderkey") * F.col("l_partkey") * F.col("l_suppkey")
+    time = F.col("l_orderkey") * F.col("l_partkey") * F.when(F.col("l_linenumber") % 2 == 0, 1_000_000).otherwise(1_000_000_000)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", display.byte_size(size).alias("size"), display.duration(time).alias("time"))
+
+
 def sarif_log_f(spark, sf_dir):
     """The rules, results and outcome that each repository's log says, read back from its parts."""
     logs = report.sarif_log(_found(spark, sf_dir), coverage(spark), 50)
@@ -213,6 +226,25 @@ SQL = {
     "sarif_rules_f": f"""WITH {raw_sql()}, o AS (SELECT *, row_number() OVER (ORDER BY repo_id, {LEAD}, {TAIL}) AS n FROM found)
         SELECT rule_id, arg_max(message, n) AS message, arg_max(category, n) AS category, arg_max(severity, n) AS severity, arg_max(confidence, n) AS confidence,
                arg_max(context, n) AS context, arg_max(disposition, n) AS disposition FROM o GROUP BY rule_id""",
+    "summary_lines_f": f"""{_RESULTS},
+        o AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {LEAD}, {TAIL}) AS n FROM found),
+        s AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {LEAD}, {TAIL}) AS rank FROM found WHERE disposition <> 'informational' AND severity <> 'low' AND confidence <> 'low'),
+        c AS (SELECT repo_id, {", ".join(f"count(*) FILTER (WHERE severity = '{x}') AS {x}" for x in ("critical", "high", "medium", "low"))},
+              arg_min(rule_id || ' at ' || path || CASE WHEN line > 0 THEN ':' || line ELSE '' END, n) AS first, arg_min(rule_id || ' at ' || path || CASE WHEN line > 0 THEN ':' || line ELSE '' END, n) FILTER (WHERE disposition = 'block') AS first_block FROM o GROUP BY repo_id),
+        k AS (SELECT repo_id, count(*) AS shown FROM s GROUP BY repo_id),
+        r AS (SELECT results.*, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, first, first_block, coalesce(shown, 0) AS shown
+              FROM results LEFT JOIN c USING (repo_id) LEFT JOIN k USING (repo_id))
+        SELECT repo_id, 0 AS section, CAST(0 AS BIGINT) AS rank, CASE WHEN NOT complete OR error <> '' OR verdict = 'SCAN INCOMPLETE' THEN 'SCAN INCOMPLETE' WHEN verdict = 'NO FINDINGS' THEN 'NO RELEVANT FINDINGS DETECTED'
+               WHEN verdict = 'DO NOT RUN' THEN 'FINDINGS DETECTED' ELSE 'REVIEW REQUIRED' END || ' · ' || repo_id AS text FROM r
+        UNION ALL SELECT repo_id, 1, 0, 'error: ' || error FROM r WHERE error <> ''
+        UNION ALL SELECT repo_id, 2, 0, 'critical ' || critical || ' · high ' || high || ' · medium ' || medium || ' · low ' || low || ' · ' || CASE WHEN complete THEN 'complete' ELSE 'incomplete' END FROM r
+        UNION ALL SELECT repo_id, 3, 0, 'why: ' || CASE verdict WHEN 'SCAN INCOMPLETE' THEN 'coverage was incomplete; look at warnings and skipped areas' WHEN 'NO FINDINGS' THEN 'no enabled rule matched in a completed scan' WHEN 'DO NOT RUN' THEN first_block ELSE first END FROM r
+        UNION ALL SELECT repo_id, 5, 0, 'showing ' || shown || ' of ' || findings || ' findings' FROM r WHERE shown < findings
+        UNION ALL SELECT repo_id, 4, rank, upper(severity) || ' · ' || upper(confidence) || '  ' || rule_id || ' · ' || message || ' · ' || path || CASE WHEN line > 0 THEN ':' || line ELSE '' END FROM s""",
+    "shown_values_f": """WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey * l_partkey * l_suppkey AS b, l_orderkey * l_partkey * CASE WHEN l_linenumber % 2 = 0 THEN 1000000 ELSE 1000000000 END AS t FROM lineitem),
+        s AS (SELECT *, CAST(round(t / 1000000000.0) AS BIGINT) AS sec, CAST(round(t / 1000000.0) AS BIGINT) AS ms FROM v)
+        SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0) WHEN b < 1099511627776 THEN printf('%.1f GiB', b / 1073741824.0) ELSE printf('%.1f TiB', b / 1099511627776.0) END AS size,
+               CASE WHEN t < 1000000000 AND ms = 0 THEN '0s' WHEN t < 1000000000 AND ms < 1000 THEN ms || 'ms' ELSE CASE WHEN sec >= 3600 THEN (sec // 3600) || 'h' ELSE '' END || CASE WHEN sec >= 60 THEN (sec % 3600 // 60) || 'm' ELSE '' END || (sec % 60) || 's' END AS time FROM s""",
     "sarif_log_f": f"""WITH {raw_sql()}, {coverage_sql()}, o AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {LEAD}, {TAIL}) AS n FROM found),
         r AS (SELECT repo_id, count(*) AS results, count(*) FILTER (WHERE severity IN ('critical', 'high')) AS errors FROM found GROUP BY repo_id),
         l AS (SELECT repo_id, rule_id, arg_max(message || ' ' || severity, n) AS said FROM o GROUP BY ALL),
