@@ -137,6 +137,26 @@ def correlate(findings: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: places that a finding names.
+MAX_LOCATIONS = 1000
+
+
+def combination_locations(raw: DataFrame, combined: DataFrame, most: int = MAX_LOCATIONS) -> DataFrame:
+    """(repo_id, path, rule_id, place, start_line, end_line, evidence): the places of the signals
+    that meet in each finding of ``combined`` (as ``correlate`` gives it), from raw findings.
+
+    A place (start and end) that several signals name counts once, with the evidence that came
+    first; places are in their order, the first ``most`` of each finding.  They are counted
+    and their evidence chosen before any are brought together."""
+    used = raw.where((F.col("confidence") != "low") & (F.col("context") == "executable") & (F.col("disposition") != "informational"))
+    of = F.array_compact(F.array(*[F.when(F.col("category").isin(*[c for s in sets for c in SIGNALS[s]]), F.lit(rule)) for rule, _, _, _, sets in COMBINATIONS]))
+    each = used.select("repo_id", "path", F.explode(of).alias("rule_id"), F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce(F.when(F.col("end_line") > F.col("start_line"), F.col("end_line")), "start_line").alias("end_line"), "evidence", "emit_seq")
+    met = each.join(combined.select("repo_id", "path", "rule_id").distinct(), ["repo_id", "path", "rule_id"])
+    places = met.groupBy("repo_id", "path", "rule_id", "start_line", "end_line").agg(F.min_by("evidence", F.struct("emit_seq", "evidence")).alias("evidence"))
+    turn = F.row_number().over(Window.partitionBy("repo_id", "path", "rule_id").orderBy("start_line", "end_line"))
+    return places.withColumn("place", turn).where(F.col("place") <= most).select("repo_id", "path", "rule_id", "place", "start_line", "end_line", "evidence")
+
+
 def unsuppressed(findings: DataFrame, suppressions: DataFrame, today: Column) -> DataFrame:
     """Findings without a suppression (fingerprint, reason, expires) in force.
     One that expires on a day holds for all of that day."""

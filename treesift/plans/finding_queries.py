@@ -86,6 +86,12 @@ def sarif_rules_f(spark, sf_dir):
     return ops.sarif_rules(_found(spark, sf_dir))
 
 
+def combo_locations_f(spark, sf_dir):
+    """The places that each finding of signals that meet names."""
+    raw = raw_findings(spark, sf_dir, True)
+    return ops.combination_locations(raw, ops.correlate(ops.dedup(raw)), 5)
+
+
 def summary_lines_f(spark, sf_dir):
     """What a terminal shows of each repository, a row a line."""
     return display.summary_lines(_found(spark, sf_dir), coverage(spark), "review", "medium", "medium")
@@ -226,6 +232,12 @@ SQL = {
     "sarif_rules_f": f"""WITH {raw_sql()}, o AS (SELECT *, row_number() OVER (ORDER BY repo_id, {LEAD}, {TAIL}) AS n FROM found)
         SELECT rule_id, arg_max(message, n) AS message, arg_max(category, n) AS category, arg_max(severity, n) AS severity, arg_max(confidence, n) AS confidence,
                arg_max(context, n) AS context, arg_max(disposition, n) AS disposition FROM o GROUP BY rule_id""",
+    "combo_locations_f": f"""WITH combos AS ({_combo_sql()}), {raw_sql(True)},
+        sets(rule_id, category) AS (VALUES {", ".join(f"('{rule}', '{c}')" for rule, _, _, _, used in ops.COMBINATIONS for s in used for c in ops.SIGNALS[s])}),
+        p AS (SELECT r.repo_id, r.path, c.rule_id, start_line, arg_min(evidence, seq) AS evidence FROM raw r JOIN sets s USING (category) JOIN combos c ON c.repo_id = r.repo_id AND c.path = r.path AND c.rule_id = s.rule_id
+              WHERE confidence <> 'low' AND context = 'executable' AND disposition <> 'informational' GROUP BY ALL),
+        n AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path, rule_id ORDER BY start_line) AS place FROM p)
+        SELECT repo_id, path, rule_id, place, start_line, start_line AS end_line, evidence FROM n WHERE place <= 5""",
     "summary_lines_f": f"""{_RESULTS},
         o AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {LEAD}, {TAIL}) AS n FROM found),
         s AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {LEAD}, {TAIL}) AS rank FROM found WHERE disposition <> 'informational' AND severity <> 'low' AND confidence <> 'low'),
