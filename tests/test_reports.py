@@ -80,7 +80,7 @@ def test_fonts_over_the_drawing_limit_are_a_gap(spark, monkeypatch):
     table = struct.pack(">HIxxxx", 0, 10) + struct.pack(">H", 1) + struct.pack(">HHII", 0, 0, 14, len(data)) + data
     font = struct.pack(">4sHHHH", b"OTTO", 1, 0, 0, 0) + struct.pack(">4sIII", b"SVG ", 0, 28, len(table)) + table
     files = spark.createDataFrame([("r", "a.otf", bytearray(font))], "repo_id string, path string, content binary")
-    assert [r.rule_id for r in packages.font_findings(files).collect()] == ["FONT-002"]
+    assert [r.rule_id for r in packages.font_findings(files).collect()] == ["FONT-002", "FONT-003"]
     assert [r.reason for r in packages.font_gaps(files).collect()] == ["font drawing limit"]
 
 

@@ -27,7 +27,7 @@ OFFICE = (".docx", ".docm", ".dotx", ".dotm", ".xlsx", ".xlsm", ".xltx", ".xltm"
 SUSPICIOUS_HOOK = ("curl ", "wget ", "eval ", "node -e", "python -c", "bash -c", "powershell", "/dev/tcp/", "base64 -d")
 #: Fixed value: bytes that the drawings of a font's glyphs may unpack to.
 MAX_GLYPH_BYTES = 8 << 20
-#: In place of a rule: a font of which the drawings were not looked at.
+#: Beside the rules: a font of which the drawings were not looked at.
 LIMIT = "limit"
 FONTS = (".ttf", ".otf", ".ttc", ".woff", ".woff2")
 CONTRIBUTIONS = ("commands", "debuggers", "taskDefinitions", "terminalProfiles", "customEditors", "authentication", "notebooks", "notebookRenderer", "views")
@@ -225,6 +225,11 @@ def _glyph_documents(table: bytes) -> list[str]:
 
 
 def font_rules(suffix: str, data: bytes) -> list[str]:
+    """The rules of ``_font_rules`` alone."""
+    return [r for r in _font_rules(suffix, data) if r != LIMIT]
+
+
+def _font_rules(suffix: str, data: bytes) -> list[str]:
     """Rules that a font file meets: always the inventory; then what is wrong with its
     table directory, or else whether its glyphs' drawings act and whether it carries
     instructions."""
@@ -259,7 +264,7 @@ def font_rules(suffix: str, data: bytes) -> list[str]:
         try:
             drawings = _glyph_documents(data[offset : offset + length])
         except OverflowError:
-            return [*out, LIMIT]
+            return [*bad, LIMIT]
         except (struct.error, ValueError, zlib.error):
             return bad
         if any(True for x in drawings for _ in svg_active("glyph.svg", x)):
@@ -269,7 +274,7 @@ def font_rules(suffix: str, data: bytes) -> list[str]:
 
 @F.pandas_udf(ArrayType(StringType()))
 def _font(suffixes: pd.Series, contents: pd.Series) -> pd.Series:
-    return pd.Series([font_rules(s, bytes(c)) for s, c in zip(suffixes, contents, strict=True)], dtype=object)
+    return pd.Series([_font_rules(s, bytes(c)) for s, c in zip(suffixes, contents, strict=True)], dtype=object)
 
 
 def _fonts(tree: DataFrame) -> DataFrame:
