@@ -107,3 +107,17 @@ def test_values_as_they_are_shown(spark):
     assert one(display.display_text, "a\x1b[31m\u0085b") == "a�[31m�b"
     homes = {"/home/me": "~", "/home/me/x": "~/x", "/home/men": "/home/men", "x": "x"}
     assert {p: one(lambda c: display.abbreviated_home(c, "/home/me"), p) for p in homes} == homes
+
+
+def test_products_of_large_keys_are_shown(spark, tmp_path):
+    from treesift.plans.finding_queries import shown_values_f
+
+    rows = [(1, 1, 3, 5), (9_000_000, 1, 1_200_000, 60_000), (9_000_000, 2, 1_200_000, 60_000), (60_000_000, 1, 8_000_000, 400_000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    shown = {(r.l_orderkey, r.l_linenumber): (r.size, r.time) for r in shown_values_f(spark, str(tmp_path)).collect()}
+    tib = lambda n: f"{n / 1024**4:.1f} TiB"
+    clock = lambda s: f"{s // 3600}h{s % 3600 // 60}m{s % 60}s"
+    assert shown == {
+        (1, 1): ("15 B", "3s"), (9_000_000, 1): (tib(9_000_000 * 1_200_000 * 60_000), clock(9_000_000 * 1_200_000)), (9_000_000, 2): (tib(9_000_000 * 1_200_000 * 60_000), clock(9_000_000 * 1_200)),
+        (60_000_000, 1): (tib(60_000_000 * 8_000_000 * 400_000), clock(60_000_000 * 8_000_000)),
+    }

@@ -41,8 +41,9 @@ def byte_size(n: Column) -> Column:
 
 def duration(ns: Column) -> Column:
     """Nanoseconds in whole milliseconds below a second, in hours, minutes and seconds from one on."""
-    ms = F.round(ns / 1_000_000).cast("long")
-    s = F.round(ns / 1_000_000_000).cast("long")
+    exact = ns.cast("double")  # as a long is divided, also where the numbers are wider
+    ms = F.round(exact / 1_000_000).cast("long")
+    s = F.round(exact / 1_000_000_000).cast("long")
     hours, minutes, seconds = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
     text = lambda c, unit: F.concat(c.cast("long").cast("string"), F.lit(unit))
     long = F.concat(F.when(hours > 0, text(hours, "h")).otherwise(""), F.when(s >= 60, text(minutes, "m")).otherwise(""), text(seconds, "s"))

@@ -100,8 +100,9 @@ def summary_lines_f(spark, sf_dir):
 def shown_values_f(spark, sf_dir):
     """Sizes and durations as they are shown, of the prices and keys of line items."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    size = F.col("l_orderkey") * F.col("l_partkey") * F.col("l_suppkey")
-    time = F.col("l_orderkey") * F.col("l_partkey") * F.when(F.col("l_linenumber") % 2 == 0, 1_000_000).otherwise(1_000_000_000)
+    key = lambda c: F.col(c).cast("decimal(19,0)")  # products of large keys do not fit a long
+    size = key("l_orderkey") * key("l_partkey") * key("l_suppkey")
+    time = key("l_orderkey") * key("l_partkey") * F.when(F.col("l_linenumber") % 2 == 0, 1_000_000).otherwise(1_000_000_000)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", display.byte_size(size).alias("size"), display.duration(time).alias("time"))
 
 
