@@ -124,3 +124,29 @@ def test_globs_and_archive_paths(spark):
 def test_spans_lines():
     assert regex.spans_lines(r"(?is)a.b") and regex.spans_lines(r"a\s+b") and not regex.spans_lines(r"AKIA[0-9A-Z]{16}")
     assert re.match(regex.glob_to_java("*.js"), "a.js") and not re.match(regex.glob_to_java("*.js"), "b/a.js")
+
+
+def test_a_pattern_meets_only_texts_with_one_of_its_needles(spark):
+    from treesift.functions.regex import needles, to_java
+    from treesift.functions.text import folded
+    from treesift.plans.rule_cases import CASES
+
+    assert needles(r"(?i)(powershell|pwsh)(?:\.exe)?\s+-e") == ("powershell", "pwsh")
+    assert needles(r"(?i)\b(?:Rust|Runs?)\s*\(") == ("run", "rust") and needles(r"a b|[^x]cd{2}") == () and needles(r"(?:ab)?c*x?") == () and needles("[ab]c[^x]") == ("ac", "bc")
+    assert sum(bool(needles(r.pattern)) for r in builtin_rules()) > 60
+    of = {r.id: r for r in builtin_rules()}
+    odd = str.maketrans("skSKiI", "ſKſKıİ")
+    rows = [(rule, to_java(of[rule].pattern), text) for rule, _, *texts in CASES if rule in of for near in texts for text in (near, near.upper(), near.translate(odd))]
+    met = spark.createDataFrame(rows, "rule string, pattern string, text string").where(F.rlike("text", F.col("pattern"))).select("rule", folded(F.col("text")).alias("folded")).collect()
+    assert len(met) > 50
+    for row in met:
+        wanted = needles(of[row.rule].pattern)
+        assert not wanted or any(n in row.folded for n in wanted), row
+
+
+def test_texts_kept_are_read_by_many_tasks(spark, tmp_path):
+    from treesift.sources.tables import kept
+
+    rows = spark.range(30_000).coalesce(1).select(F.repeat(F.sha2(F.col("id").cast("string"), 512), 6).alias("text"))
+    once = kept(rows, "many").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(once) > 1  # one group of rows would be one task
