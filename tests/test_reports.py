@@ -121,3 +121,19 @@ def test_products_of_large_keys_are_shown(spark, tmp_path):
         (1, 1): ("15 B", "3s"), (9_000_000, 1): (tib(9_000_000 * 1_200_000 * 60_000), clock(9_000_000 * 1_200_000)), (9_000_000, 2): (tib(9_000_000 * 1_200_000 * 60_000), clock(9_000_000 * 1_200)),
         (60_000_000, 1): (tib(60_000_000 * 8_000_000 * 400_000), clock(60_000_000 * 8_000_000)),
     }
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_are_not_shuffled_where_none_are_counted(spark, sf_dir):
+    from treesift.operators import findings as ops
+    from treesift.plans.finding_queries import group_headers_f
+    from treesift.plans.projection import raw_findings
+
+    raw = raw_findings(spark, sf_dir)
+    few, whole = ops.dedup(raw, count_places=False), ops.dedup(raw)
+    assert _plan(few).count("Aggregate [") == 1 and "n_locations" not in few.columns
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, whole.drop("n_locations").collect()))
+    assert "l_orderkey" not in _plan(group_headers_f(spark, sf_dir))  # ranks are of findings kept, not of the table read twice
