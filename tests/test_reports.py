@@ -137,3 +137,9 @@ def test_places_are_not_shuffled_where_none_are_counted(spark, sf_dir):
     assert _plan(few).count("Aggregate [") == 1 and "n_locations" not in few.columns
     assert sorted(map(repr, few.collect())) == sorted(map(repr, whole.drop("n_locations").collect()))
     assert "l_orderkey" not in _plan(group_headers_f(spark, sf_dir))  # ranks are of findings kept, not of the table read twice
+
+
+def test_logs_work_findings_out_once(spark, sf_dir):
+    from treesift.plans.finding_queries import sarif_log_f
+
+    assert "l_orderkey" not in _plan(sarif_log_f(spark, sf_dir))

@@ -12,6 +12,7 @@ from treesift.functions.ranks import CONFIDENCES, DISPOSITIONS, SEVERITIES
 from treesift.functions.text import sanitized
 from treesift.operators.advice import advice
 from treesift.operators.findings import ORDER_KEYS, order_columns, sarif_level
+from treesift.sources.tables import kept
 
 LOCATION = "struct<path: string, start_line: int, end_line: int, evidence: string>"
 FINDING = (
@@ -156,8 +157,9 @@ def sarif_log(findings: DataFrame, coverage: DataFrame, part_results: int = PART
 
     Each part is a whole log with the rules of its results; a rule is described as the last of the
     repository's findings has it.  A run was successful if the scan was complete without an error.
-    Parts are by a hash of the result, so no group grows with the repository."""
-    clean = sanitized_rows(findings)
+    Parts are by a hash of the result, so no group grows with the repository.  The findings,
+    asked for by sizes, rules and results, are worked out once and kept."""
+    clean = kept(sanitized_rows(findings), "clean")
     sizes = clean.groupBy("repo_id").agg(F.greatest(F.ceil(F.count("*") / part_results), F.lit(1)).cast("int").alias("parts"))
     repos = coverage.join(sizes, "repo_id", "left").select("repo_id", F.coalesce("parts", F.lit(1)).alias("parts"), (F.col("complete") & (F.coalesce("error", F.lit("")) == "")).alias("success"))
     keyed = clean.withColumns(order_columns("severity")).join(repos.select("repo_id", "parts"), "repo_id")
