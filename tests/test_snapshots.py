@@ -94,3 +94,15 @@ def test_snapshots_are_read_strictly(spark):
         (2, "$", "not JSON"), (3, "$.packages[].nam", "unknown field"), (4, "$.file_hashes", "invalid number of rows"), (5, "$.extra", "unknown field"), (6, "$", "not JSON"),
     ]
     assert json_tree.fields(spark.createDataFrame([(1, "[[1], {\"a\": []}]")], "id long, json string").select("id", "json")).count() == 4
+
+
+def test_lock_trees_are_walked_without_a_shuffle(spark):
+    flat = '{"packages": {"": {"version": "0"}, "node_modules/a": {"version": "1"}, "node_modules/b/node_modules/@s/c": {"version": "2"}, "node_modules/d": {}}}'
+    wide = '{"dependencies": {"x": {"version": "1", "dependencies": {"y": {"version": "{"}, "z": {"dependencies": {"w": {"version": "3"}}}}}, "v": {"version": 4}, "u": 5, "t": {"version": "6", "dependencies": [{"q": {"version": "7"}}]}}}'
+    texts = [flat, wide, nested(300), '{"dependencies": []}', '{"dependencies": {}}', "{}", "[1]", "{", "", None, '{"packages": {}, "dependencies": {"k": {"version": "8"}}}']
+    files = spark.createDataFrame([(str(i), "package-lock.json", t) for i, t in enumerate(texts)], "repo_id string, path string, text string")
+    out = manifests.npm_lock(files)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and "UnionLoop" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(r.repo_id, r.name, r.version) for r in out.collect()]
+    assert sorted(r for r in rows if r[0] != "2") == [("0", "@s/c", "2"), ("0", "a", "1"), ("1", "t", "6"), ("1", "v", "4"), ("1", "w", "3"), ("1", "x", "1"), ("1", "y", "{"), ("10", "k", "8")]
+    assert len({r for r in rows if r[0] == "2"}) == 300
